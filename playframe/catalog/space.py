@@ -193,7 +193,7 @@ def best_value_nearby(spark, folder):
 
 
 _NEAR = """
-cells AS (SELECT i, j, i * 105.0::DOUBLE / {n} AS gx, j * 68.0::DOUBLE / {n} AS gy FROM (SELECT unnest(generate_series(0, {n})) AS i) a, (SELECT unnest(generate_series(0, {n})) AS j) b),
+cells AS (SELECT i, j, i * (105.0::DOUBLE / {n}) AS gx, j * (68.0::DOUBLE / {n}) AS gy FROM (SELECT unnest(generate_series(0, {n})) AS i) a, (SELECT unnest(generate_series(0, {n})) AS j) b),
 p AS (SELECT match_id, frame_idx, side, player_rank, x, y FROM pl WHERE x IS NOT NULL AND {where}),
 near AS (SELECT match_id, frame_idx, i, j, arg_min(side, (d, side = 'away', player_rank)) AS owner, arg_min(player_rank, (d, side = 'away', player_rank)) AS who
   FROM (SELECT p.*, i, j, sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy)) AS d FROM p, cells) GROUP BY 1, 2, 3, 4),
@@ -201,7 +201,7 @@ players AS (SELECT match_id, frame_idx, count(*) AS n FROM p GROUP BY 1, 2)"""
 
 
 _OWN = """
-cells AS (SELECT i, j, i * 105.0::DOUBLE / {nx} AS gx, j * 68.0::DOUBLE / {ny} AS gy FROM (SELECT unnest(generate_series(0, {nx})) AS i) a, (SELECT unnest(generate_series(0, {ny})) AS j) b),
+cells AS (SELECT i, j, i * (105.0::DOUBLE / {nx}) AS gx, j * (68.0::DOUBLE / {ny}) AS gy FROM (SELECT unnest(generate_series(0, {nx})) AS i) a, (SELECT unnest(generate_series(0, {ny})) AS j) b),
 p AS (SELECT match_id, frame_idx, side, x, y FROM pl WHERE x IS NOT NULL AND frame_idx % {stride} = 0),
 players AS (SELECT match_id, frame_idx, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 4),
 near AS (SELECT match_id, frame_idx, i, j, coalesce(min(d) FILTER (WHERE side = 'home'), 'inf'::DOUBLE) <= coalesce(min(d) FILTER (WHERE side = 'away'), 'inf'::DOUBLE) AS home
@@ -258,12 +258,12 @@ def dangerous_space(spark, folder):
 
 @catalog.query("hull_areas", f"""
 WITH {PLAYERS}, p AS (SELECT DISTINCT match_id, frame_idx, x, y FROM pl WHERE side = 'home' AND x IS NOT NULL),
-e AS (SELECT a.match_id, a.frame_idx, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM p a JOIN p b ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND (a.x, a.y) <> (b.x, b.y)),
-h AS (SELECT e.match_id, e.frame_idx, ax, ay, bx, by FROM e JOIN p c ON e.match_id = c.match_id AND e.frame_idx = c.frame_idx GROUP BY ALL
-  HAVING bool_and((round((bx - ax) * 10) * round((c.y - ay) * 10) - round((by - ay) * 10) * round((c.x - ax) * 10)) > 0
-    OR ((round((bx - ax) * 10) * round((c.y - ay) * 10) - round((by - ay) * 10) * round((c.x - ax) * 10)) = 0
-        AND (c.x - ax) * (c.x - bx) + (c.y - ay) * (c.y - by) <= 1e-9))),
-s AS (SELECT match_id, frame_idx, sum(ax * by - bx * ay) / 2 AS area, count(*) AS n FROM h GROUP BY 1, 2)
+e AS (SELECT a.match_id, a.frame_idx, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND (a.x, a.y) <> (b.x, b.y)),
+h AS (SELECT e.match_id, e.frame_idx, ax, ay, bx, b_y FROM e JOIN p c ON e.match_id = c.match_id AND e.frame_idx = c.frame_idx GROUP BY ALL
+  HAVING bool_and((round((bx - ax) * 10) * round((c.y - ay) * 10) - round((b_y - ay) * 10) * round((c.x - ax) * 10)) > 0
+    OR ((round((bx - ax) * 10) * round((c.y - ay) * 10) - round((b_y - ay) * 10) * round((c.x - ax) * 10)) = 0
+        AND (c.x - ax) * (c.x - bx) + (c.y - ay) * (c.y - b_y) <= 1e-9))),
+s AS (SELECT match_id, frame_idx, sum(ax * b_y - bx * ay) / 2 AS area, count(*) AS n FROM h GROUP BY 1, 2)
 SELECT match_id, frame_idx, {r('area', 'area')} FROM s WHERE n >= 3""")
 def hull_areas(spark, folder):
     a = kernels.with_areas(tables.frames(spark, folder))

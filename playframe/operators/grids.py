@@ -89,29 +89,33 @@ def centroid_x(cells: DataFrame, keys: list[str], value: str, n_cols, length: fl
 
 def smooth(maps: DataFrame, cells: str, n_rows: int, n_cols: int, sigma: float, truncate: float = 4.0) -> DataFrame:
     """Gaussian smoothing of dense maps, separable, with mirrored borders."""
-    import math
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
 
     radius = int(truncate * sigma + 0.5)
-    taps = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    norm = sum(taps)
-    kernel = F.lit([t / norm for t in taps])
+    taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    taps /= taps.sum()
 
-    def mirrored(i: Column, n: int) -> Column:
-        m = F.pmod(i, F.lit(2 * n))
-        return F.when(m < n, m).otherwise(F.lit(2 * n - 1) - m)
+    def mixing(n: int) -> np.ndarray:
+        """Row i holds the weights of the cells that make up output cell i."""
+        m = np.zeros((n, n))
+        at = np.arange(n)[:, None] + np.arange(-radius, radius + 1)[None, :]
+        at = np.mod(at, 2 * n)
+        at = np.where(at < n, at, 2 * n - 1 - at)
+        np.add.at(m, (np.repeat(np.arange(n), len(taps)), at.ravel()), np.tile(taps, n))
+        return m
 
-    def along(a: Column, columns: bool) -> Column:
-        def tap(i: Column) -> Column:
-            r, c = (i / n_cols).cast("int"), i % n_cols
-            def term(k: Column) -> Column:
-                o = k - F.lit(radius)
-                at = r * n_cols + mirrored(c + o, n_cols) if columns else mirrored(r + o, n_rows) * n_cols + c
-                return F.get(kernel, k) * F.get(a, at)
-            return F.aggregate(F.sequence(F.lit(0), F.lit(2 * radius)), F.lit(0.0), lambda s, k: s + term(k))
-        return F.transform(F.sequence(F.lit(0), F.lit(n_rows * n_cols - 1)), tap)
+    by_row, by_col = mixing(n_rows), mixing(n_cols)
 
-    rows_done = maps.withColumn(cells, along(F.col(cells), False))
-    return rows_done.withColumn(cells, along(F.col(cells), True))
+    @pandas_udf("array<double>")
+    def apply(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        grid = np.stack(v.to_numpy()).reshape(-1, n_rows, n_cols)
+        return pd.Series(list((by_row @ grid @ by_col.T).reshape(len(grid), -1)))
+
+    return maps.withColumn(cells, apply(F.col(cells)))
 
 
 def total_variation(cells: Column, n_rows: int, n_cols: int) -> Column:
@@ -173,7 +177,7 @@ def label_correlation(cells: DataFrame, label: str, value: str, n_cells: int, la
     rows = gram(vectors, "v", len(labels))
 
     pairs = rows.filter(F.col("i") >= 0).select("i", F.posexplode("products").alias("j", "dot"))
-    sums = rows.filter(F.col("i") < 0).select(F.posexplode("products").alias("k", "s"))
+    sums = rows.filter(F.col("i") == -1).select(F.posexplode("products").alias("k", "s"))
     squares = pairs.filter(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.col("dot").alias("ss"))
     one = sums.join(squares, "k")
     left = one.select(F.col("k").alias("i"), F.col("s").alias("si"), F.col("ss").alias("ssi"))

@@ -30,9 +30,12 @@ def displacement_stats(before: Column, after: Column, key: str) -> Column:
         return F.struct(
             n.alias("n_valid"), F.when(n > 0, mean).alias("mean_disp"), F.when(n > 0, median).alias("median_disp"),
             F.array_max(s).alias("max_disp"), F.array_min(s).alias("min_disp"),
-            *[F.size(F.filter(s, lambda v, t=t: v > t)).alias(f"n_above_{t}m") for t in (1, 2, 5)],
+            *[above(s, t).alias(f"n_above_{t}m") for t in (1, 2, 5)],
         )
 
+    def above(s: Column, metres: int) -> Column:
+        return F.size(F.filter(s, lambda v: v > metres))
+
     def with_std(b: Column) -> Column:
         # the deviation is taken about the mean, not from the square sums
         dev = F.aggregate(b["s"], F.lit(0.0), lambda a, v: a + (v - b["m"]["mean_disp"]) * (v - b["m"]["mean_disp"]))
