@@ -10,6 +10,7 @@ from playframe.functions import stats
 from playframe.functions.nulls import ratio, rounded
 from playframe.operators import ordered as od
 from playframe.operators import segments
+from playframe.operators.quantiles import exact_quantiles
 from playframe.sources import tables
 
 catalog = Catalog()
@@ -108,12 +109,13 @@ def next_event_move(spark, folder):
     nxt = od.ordered(fr.select("match_id", "elapsed", "frame_idx", "x", "y"), MATCH, ["elapsed", "frame_idx"], 5 * DAY,
                      lead={"n": F.struct("x", "y")})
     moved = nxt.withColumn("d", F.hypot(F.col("n.x") - F.col("x"), F.col("n.y") - F.col("y")))
-    return moved.groupBy("match_id").agg(
-        F.count("d").alias("n_valid"), rounded(F.avg("d")).alias("mean_disp"),
-        rounded(F.percentile("d", F.lit(0.5))).alias("median_disp"), rounded(F.max("d")).alias("max_disp"),
+    g = moved.groupBy("match_id").agg(
+        F.count("d").alias("n_valid"), rounded(F.avg("d")).alias("mean_disp"), rounded(F.max("d")).alias("max_disp"),
         rounded(F.min("d")).alias("min_disp"), rounded(F.stddev_pop("d")).alias("std_disp"),
         F.count_if(F.col("d") > 20).alias("n_above"),
     )
+    median = exact_quantiles(moved.select("match_id", "d"), MATCH, "d", [0.5])
+    return g.join(median, "match_id", "left").select(*g.columns, rounded(F.get("q", F.lit(0))).alias("median_disp"))
 
 
 @catalog.query("series_statistics", f"""
@@ -206,7 +208,7 @@ def sequence_extent(spark, folder):
 def quantiles(spark, folder):
     qs = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
     li = tables.table(spark, folder, "lineitem")
-    g = li.groupBy(F.col("l_returnflag").alias("grp")).agg(F.percentile("l_extendedprice", F.array(*[F.lit(q) for q in qs])).alias("p"))
+    g = exact_quantiles(li.select(F.col("l_returnflag").alias("grp"), "l_extendedprice"), ["grp"], "l_extendedprice", list(qs), "p")
     return g.select("grp", *[rounded(F.col("p")[i]).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
 
 

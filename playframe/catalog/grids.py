@@ -10,6 +10,7 @@ from playframe.catalog.views import BALL, BALL_POINTS, CELLS, PLAYERS, SPANS, r
 from playframe.config import EngineConfig
 from playframe.functions.nulls import rounded
 from playframe.operators import grids
+from playframe.operators.quantiles import exact_quantiles
 from playframe.operators.ranges import points_in_intervals
 from playframe.plans import maps
 from playframe.sources import tables
@@ -222,13 +223,14 @@ def phase_ball_paths(spark, folder):
                     *[rounded(c).alias(c) for c in ("path_length_m", "net_displacement_m", "straightness")])
 
 
-@catalog.query("phase_control_cells")
-def phase_control_cells(spark, folder):
-    """Controlled cells per phase on cells of a metre: too many frame and cell
-    pairs for SQL on whole tables; checked by brute force in the tests."""
+@catalog.query("phase_control")
+def phase_control(spark, folder):
+    """Controlled cells of a metre per phase, summed up: too many frame and
+    cell pairs for SQL on whole tables; brute force checks it in the tests."""
     cfg = EngineConfig.clustering_preset()
     c = maps.phase_control(_phase_frames(spark, folder), cfg.phase_control_stride, cfg.control_min_players)
-    return c.select("match_id", "window_id", "row", "col", "valid_pitch_control_frame_count", rounded("pitch_control_frac").alias("pitch_control_frac"))
+    return c.groupBy("match_id", "window_id", "team", "valid_pitch_control_frame_count").agg(
+        F.count(F.lit(1)).alias("n_cells"), rounded(F.sum("pitch_control_frac"), 4).alias("controlled_cells"))
 
 
 @catalog.query("share_violations", f"""
@@ -247,7 +249,7 @@ WITH {CELLS}, {_UNIT}, {_SPINE} SELECT map_id, {r('quantile_cont(v, 0.995)', 'vm
 def positive_peak(spark, folder):
     """Display scale: a high quantile of the positive cells."""
     c = _unit_cells(spark, folder).filter(F.col("v") > 0)
-    return c.groupBy("map_id").agg(rounded(F.percentile("v", F.lit(0.995))).alias("vmax"))
+    return exact_quantiles(c, ["map_id"], "v", [0.995]).select("map_id", rounded(F.get("q", F.lit(0))).alias("vmax"))
 
 
 @catalog.query("grid_extents", f"""

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -95,7 +96,6 @@ class Components:
 def _rowwise(df: DataFrame, vector: str, out: str, fn) -> DataFrame:
     """Apply a matrix function to an array column, one Arrow batch at a time."""
     from pyspark.sql.functions import pandas_udf
-    import pandas as pd
 
     @pandas_udf("array<double>")
     def apply(v: pd.Series) -> pd.Series:

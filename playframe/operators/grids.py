@@ -7,6 +7,8 @@ the number of cells of the grid, so it is bounded whatever the data.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from playframe.functions.gridding import edge_bin, rotate_cell
@@ -89,8 +91,6 @@ def centroid_x(cells: DataFrame, keys: list[str], value: str, n_cols, length: fl
 
 def smooth(maps: DataFrame, cells: str, n_rows: int, n_cols: int, sigma: float, truncate: float = 4.0) -> DataFrame:
     """Gaussian smoothing of dense maps, separable, with mirrored borders."""
-    import numpy as np
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     radius = int(truncate * sigma + 0.5)
