@@ -38,27 +38,28 @@ s AS (SELECT c.*, compactness, CASE WHEN width > 1e-6 THEN depth / width END AS
   FROM c JOIN d USING (match_id, frame_idx, side) LEFT JOIN n USING (match_id, frame_idx, side) LEFT JOIN w USING (match_id, frame_idx, side))"""
 
 
-def _one_side(df, side):
-    return df.filter(F.size(side) > 0).select(*KEY, F.lit(side).alias("side"), fx.team_shape(side).alias("s"))
+def _geometry(spark, folder):
+    return kernels.frame_geometry(tables.frames(spark, folder))
 
 
 @catalog.query("team_shape", _SHAPES + f"""
 SELECT match_id, frame_idx, side, {r('cx', 'centroid_x')}, {r('cy', 'centroid_y')}, {r('compactness', 'compactness')}, {r('width', 'width')},
   {r('depth', 'depth')}, {r('elongation', 'elongation')} FROM s""")
 def team_shape(spark, folder):
-    f = tables.frames(spark, folder)
-    both = f.select(*KEY, F.explode(F.array(
-        F.struct(F.lit("home").alias("side"), fx.team_shape("home").alias("s")),
-        F.struct(F.lit("away").alias("side"), fx.team_shape("away").alias("s")))).alias("e")).select(*KEY, "e.side", "e.s")
     names = ("centroid_x", "centroid_y", "compactness", "width", "depth", "elongation")
-    return both.filter(F.col("s").isNotNull()).select(*KEY, "side", *[rounded(F.col(f"s.{c}")).alias(c) for c in names])
+
+    def side(s):
+        return F.struct(F.lit(s).alias("side"), F.size(s).alias("n"), *[rounded(f"{s}_{c}").alias(c) for c in names])
+
+    both = _geometry(spark, folder).select(*KEY, F.explode(F.array(side("home"), side("away"))).alias("e"))
+    return both.filter(F.col("e.n") > 0).select(*KEY, "e.side", *[F.col(f"e.{c}") for c in names])
 
 
 @catalog.query("team_distances", _SHAPES + f"""
 SELECT match_id, frame_idx, {r('nearest', 'nearest_teammate_distance')}, {r('pairwise', 'pairwise_distance')} FROM s WHERE side = 'home'""")
 def team_distances(spark, folder):
-    s = _one_side(tables.frames(spark, folder), "home")
-    return s.select(*KEY, *[rounded(F.col(f"s.{c}")).alias(c) for c in ("nearest_teammate_distance", "pairwise_distance")])
+    g = _geometry(spark, folder).filter(F.size("home") > 0)
+    return g.select(*KEY, *[rounded(f"home_{c}").alias(c) for c in ("nearest_teammate_distance", "pairwise_distance")])
 
 
 @catalog.query("nearest_opponent", f"""
@@ -67,8 +68,8 @@ m AS (SELECT a.match_id, a.frame_idx, a.player_rank, min(sqrt((a.x - b.x) ** 2 +
   ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND a.side = 'home' AND b.side = 'away' GROUP BY 1, 2, 3)
 SELECT match_id, frame_idx, {r('avg(d)', 'nearest_opponent_distance')} FROM m GROUP BY 1, 2""")
 def nearest_opponent(spark, folder):
-    f = tables.frames(spark, folder).filter((F.size("home") > 0) & (F.size("away") > 0))
-    return f.select(*KEY, rounded(fx.nearest_opponent("home", "away")).alias("nearest_opponent_distance"))
+    g = _geometry(spark, folder).filter((F.size("home") > 0) & (F.size("away") > 0))
+    return g.select(*KEY, rounded("home_nearest_opponent").alias("nearest_opponent_distance"))
 
 
 @catalog.query("team_interactions", _SHAPES + f""",
@@ -79,13 +80,12 @@ SELECT match_id, frame_idx, {r('sqrt((hx - ax) ** 2 + (hy - ay) ** 2)', 'centroi
   {r('hd - ad', 'depth_difference')}, {r('CASE WHEN ad > 1e-6 THEN hd / ad END', 'depth_ratio')},
   {r('hc - ac', 'compactness_difference')}, {r('CASE WHEN ac > 1e-6 THEN hc / ac END', 'compactness_ratio')} FROM j""")
 def team_interactions(spark, folder):
-    f = tables.frames(spark, folder).filter((F.size("home") > 0) & (F.size("away") > 0))
+    g = _geometry(spark, folder).filter((F.size("home") > 0) & (F.size("away") > 0))
 
-    def shape(side):
-        return fx.team_shape(side).withField("area", F.lit(None).cast("double"))
+    def side(s):
+        return F.struct(*[F.col(f"{s}_{c}").alias(c) for c in kernels.SHAPE_FIELDS])
 
-    s = f.select(*KEY, "home", "away", shape("home").alias("h"), shape("away").alias("a"))
-    s = s.withColumn("i", fx.interactions(F.col("h"), F.col("a"), "home", "away"))
+    s = g.withColumn("i", fx.interactions(side("home"), side("away"), F.col("home_nearest_opponent")))
     names = [n for n in fx.INTERACTION_FIELDS if "area" not in n and n != "nearest_opponent_distance"]
     return s.select(*KEY, *[rounded(F.col(f"i.{c}")).alias(c) for c in names])
 
@@ -98,15 +98,15 @@ SELECT p.match_id, p.frame_idx, p.side, {r('count(*) FILTER (WHERE p.x > b.ball_
 FROM pl p JOIN ball b ON p.match_id = b.match_id AND p.frame_idx = b.frame_idx
 WHERE p.x IS NOT NULL AND b.ball_x IS NOT NULL GROUP BY 1, 2, 3""")
 def ahead_behind(spark, folder):
-    f = tables.frames(spark, folder).filter(F.col("ball_x").isNotNull())
+    g = _geometry(spark, folder).filter(F.col("ball_x").isNotNull())
 
-    def relations(side):
-        return F.struct(F.lit(side).alias("side"), F.size(side).alias("n"),
-                        fx.ball_relations(side, fx.team_shape(side), F.col("ball_x"), F.col("ball_y"), F.lit(1)).alias("b"))
+    def side(s):
+        return F.struct(F.lit(s).alias("side"), F.size(s).alias("n"), rounded(f"{s}_ahead_right").alias("players_ahead_of_ball"),
+                        rounded(f"{s}_behind_right").alias("players_behind_ball"),
+                        rounded(f"{s}_centroid_to_ball_distance").alias("centroid_to_ball_distance"))
 
-    e = f.select(*KEY, F.explode(F.array(relations("home"), relations("away"))).alias("e")).filter(F.col("e.n") > 0)
-    return e.select(*KEY, "e.side", *[rounded(F.col(f"e.b.{c}")).alias(c) for c in
-                                      ("players_ahead_of_ball", "players_behind_ball", "centroid_to_ball_distance")])
+    e = g.select(*KEY, F.explode(F.array(side("home"), side("away"))).alias("e")).filter(F.col("e.n") > 0)
+    return e.select(*KEY, "e.side", *[F.col(f"e.{c}") for c in ("players_ahead_of_ball", "players_behind_ball", "centroid_to_ball_distance")])
 
 
 @catalog.query("reliability", f"""
@@ -266,7 +266,7 @@ h AS (SELECT e.match_id, e.frame_idx, ax, ay, bx, b_y FROM e JOIN p c ON e.match
 s AS (SELECT match_id, frame_idx, sum(ax * b_y - bx * ay) / 2 AS area, count(*) AS n FROM h GROUP BY 1, 2)
 SELECT match_id, frame_idx, {r('area', 'area')} FROM s WHERE n >= 3""")
 def hull_areas(spark, folder):
-    a = kernels.with_areas(tables.frames(spark, folder))
+    a = _geometry(spark, folder)
     return a.filter(F.col("home_area").isNotNull()).select(*KEY, rounded("home_area").alias("area"))
 
 

@@ -2,7 +2,8 @@
 
 A frame holds its players as two arrays of structs (rank, pid, x, y, reliable),
 in rank order and without missing positions. A roster bounds the arrays, so
-everything here is a narrow projection: no explode, no join, no shuffle.
+everything here is a narrow projection: no explode, no join, no shuffle. The
+measures over all pairs of players are made by ``operators.kernels``.
 """
 
 from __future__ import annotations
@@ -34,89 +35,21 @@ def distance(ax, ay, bx, by) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def total(values: Column, start: float = 0.0) -> Column:
-    return F.aggregate(values, F.lit(start), lambda a, v: a + v)
-
-
-def mean_of(values: Column) -> Column:
-    """Mean of the non-null elements, null when there are none."""
-    def run(v: Column) -> Column:
-        return F.when(F.size(v) > 0, total(v) / F.size(v))
-
-    return let(F.filter(values, lambda v: v.isNotNull()), run)
-
-
-def team_shape(players: Column | str) -> Column:
-    """Struct with the eight shape measures; nulls for an empty side."""
-    p = col(players)
-    n = F.size(p)
-    xs, ys = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
-
-    def measures(s: Column) -> Column:
-        cx, cy = total(s["xs"]) / n, total(s["ys"]) / n
-        width = F.array_max(s["ys"]) - F.array_min(s["ys"])
-        depth = F.array_max(s["xs"]) - F.array_min(s["xs"])
-        return F.struct(
-            cx.alias("centroid_x"), cy.alias("centroid_y"), width.alias("width"), depth.alias("depth"),
-            ratio(depth, width, EPS).alias("elongation"),
-        )
-
-    def spread(b: Column) -> Column:
-        to_centre = F.transform(p, lambda q: distance(q["x"], q["y"], b["centroid_x"], b["centroid_y"]))
-        nearest = F.transform(
-            p, lambda q, i: F.array_min(F.transform(p, lambda r, j: F.when(i != j, distance(q["x"], q["y"], r["x"], r["y"]))))
-        )
-        apart = F.transform(
-            p, lambda q, i: total(F.transform(p, lambda r, j: F.when(i < j, distance(q["x"], q["y"], r["x"], r["y"])).otherwise(0.0)))
-        )
-        return F.struct(
-            b["centroid_x"].alias("centroid_x"), b["centroid_y"].alias("centroid_y"),
-            mean_of(to_centre).alias("compactness"), b["width"].alias("width"), b["depth"].alias("depth"),
-            b["elongation"].alias("elongation"), mean_of(nearest).alias("nearest_teammate_distance"),
-            F.when(n > 1, total(apart) / (n * (n - 1) / 2)).alias("pairwise_distance"),
-        )
-
-    shape = let(let(F.struct(xs.alias("xs"), ys.alias("ys")), measures), spread)
-    return F.when(n > 0, shape)
-
-
-def ball_relations(players: Column | str, shape: Column, ball_x: Column, ball_y: Column,
-                   direction: Column) -> Column:
-    """Centroid-to-ball distance and the counts ahead of and behind the ball
-    for a direction; a player level with the ball counts as behind."""
-    p = col(players)
-    has_ball = ball_x.isNotNull() & ball_y.isNotNull()
-    ahead = F.size(F.filter(p, lambda q: F.when(direction == 1, q["x"] > ball_x).otherwise(q["x"] < ball_x)))
-    return F.struct(
-        distance(shape["centroid_x"], shape["centroid_y"], ball_x, ball_y).alias("centroid_to_ball_distance"),
-        F.when(has_ball, ahead.cast("double")).alias("players_ahead_of_ball"),
-        F.when(has_ball, (F.size(p) - ahead).cast("double")).alias("players_behind_ball"),
-    )
-
-
-def nearest_opponent(attack: Column | str, defence: Column | str) -> Column:
-    """Mean over attackers of the distance to the closest defender."""
-    a, d = col(attack), col(defence)
-    return mean_of(
-        F.transform(a, lambda q: F.array_min(F.transform(d, lambda r: distance(q["x"], q["y"], r["x"], r["y"]))))
-    )
-
-
-def interactions(attack: Column, defence: Column, attack_players: Column | str,
-                 defence_players: Column | str) -> Column:
-    """Twelve attacker-defender measures from two shape structs that also
-    carry ``area``."""
-    def pair(name: str) -> list[Column]:
-        a, d = attack[name], defence[name]
-        return [(a - d).alias(f"{name}_difference"), ratio(a, d, EPS).alias(f"{name}_ratio")]
-
-    return F.struct(
-        distance(attack["centroid_x"], attack["centroid_y"], defence["centroid_x"], defence["centroid_y"]).alias("centroid_distance"),
-        (attack["centroid_x"] - defence["centroid_x"]).alias("longitudinal_centroid_difference"),
-        (attack["centroid_y"] - defence["centroid_y"]).alias("lateral_centroid_difference"),
-        *pair("width"), *pair("depth"), *pair("compactness"), *pair("area"),
-        nearest_opponent(attack_players, defence_players).alias("nearest_opponent_distance"),
-    )
+def interactions(attack: Column, defence: Column, opponent: Column) -> Column:
+    """Twelve attacker-defender measures from two shape structs that also carry
+    ``area``, and from the distance to the closest opponent."""
+    def compare(s: Column) -> Column:
+        a, d = s["a"], s["d"]
+        out = [
+            distance(a["centroid_x"], a["centroid_y"], d["centroid_x"], d["centroid_y"]).alias("centroid_distance"),
+            (a["centroid_x"] - d["centroid_x"]).alias("longitudinal_centroid_difference"),
+            (a["centroid_y"] - d["centroid_y"]).alias("lateral_centroid_difference"),
+        ]
+        for name in ("width", "depth", "compactness", "area"):
+            out += [(a[name] - d[name]).alias(f"{name}_difference"), ratio(a[name], d[name], EPS).alias(f"{name}_ratio")]
+        return F.struct(*out, s["opp"].alias("nearest_opponent_distance"))
+
+    return let(F.struct(attack.alias("a"), defence.alias("d"), opponent.alias("opp")), compare)
 
 
 def closest(players: Column | str, x: Column, y: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from playframe.functions.gridding import edge_bin, rotate_cell
 from playframe.functions.nulls import ratio
@@ -35,10 +36,21 @@ def densify(cells: DataFrame, keys: list[str], value: str, n_rows: int, n_cols:
     """One array per map; absent cells are zero and repeated cells add up."""
     index = (F.col("row") * n_cols + F.col("col")).cast("int")
     summed = cells.groupBy(*keys, index.alias("__i")).agg(F.sum(F.col(value).cast("double")).alias("__v"))
-    packed = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("__m"))
-    spine = F.sequence(F.lit(0), F.lit(n_rows * n_cols - 1))
-    dense = F.transform(spine, lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0)))
-    return packed.select(*keys, dense.alias(out))
+    packed = summed.groupBy(*keys).agg(F.collect_list(F.struct("__i", "__v")).alias("__m"))
+    pairs = packed.select(*keys, F.transform("__m", lambda s: s["__i"]).alias("__i"), F.transform("__m", lambda s: s["__v"]).alias("__v"))
+    return pairs.select(*keys, _scatter(n_rows * n_cols)("__i", "__v").alias(out))
+
+
+def _scatter(size: int):
+    """Arrow function from cell indices and values to a dense array."""
+    @pandas_udf("array<double>")
+    def fill(at: pd.Series, value: pd.Series) -> pd.Series:
+        out = np.zeros((len(at), size))
+        for row, (i, v) in enumerate(zip(at, value)):
+            out[row, i] = v
+        return pd.Series(list(out))
+
+    return fill
 
 
 def sparsify(maps: DataFrame, keys: list[str], cells: str, n_cols: int, value: str = "value") -> DataFrame:
@@ -91,7 +103,6 @@ def centroid_x(cells: DataFrame, keys: list[str], value: str, n_cols, length: fl
 
 def smooth(maps: DataFrame, cells: str, n_rows: int, n_cols: int, sigma: float, truncate: float = 4.0) -> DataFrame:
     """Gaussian smoothing of dense maps, separable, with mirrored borders."""
-    from pyspark.sql.functions import pandas_udf
 
     radius = int(truncate * sigma + 0.5)
     taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)

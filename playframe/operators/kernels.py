@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-CHUNK = 4_000_000  # cells x players x frames held at once
+CHUNK = 500_000  # frames x cells held at once
 
 
 def padded(column: pa.Array) -> np.ndarray:
@@ -65,45 +65,63 @@ def player_inputs(home: str = "home", away: str = "away") -> dict:
     }
 
 
-def _nearest(px: np.ndarray, py: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance and index of the closest player per (frame, cell); infinity for
-    frames without players. The first player wins ties."""
-    dx = px[:, None, :] - gx[None, :, None]
-    dy = py[:, None, :] - gy[None, :, None]
-    d = np.sqrt(dx * dx + dy * dy)
+def _axis(p: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Squared offsets (frame, player, node); infinite for missing players."""
+    d = p[:, :, None] - nodes[None, None, :]
+    d *= d
     d[np.isnan(d)] = np.inf
-    return d.min(axis=2), d.argmin(axis=2)
-
-
-def _chunks(n_frames: int, n_cells: int, n_players: int) -> Iterator[slice]:
-    size = max(1, CHUNK // max(1, n_cells * n_players))
+    return d
+
+
+def _nearest(px: np.ndarray, py: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Distance to the closest player per (frame, x node, y node). Offsets are
+    squared per axis, so a grid cell costs one addition per player."""
+    dx, dy = _axis(px, xs), _axis(py, ys)
+    best = np.full((len(px), len(xs), len(ys)), np.inf)
+    for j in range(px.shape[1]):
+        np.minimum(best, dx[:, j, :, None] + dy[:, j, None, :], out=best)
+    return np.sqrt(best, out=best)
+
+
+def _nearest_player(px: np.ndarray, py: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the index of the player; the first one wins ties."""
+    dx, dy = _axis(px, xs), _axis(py, ys)
+    best = np.full((len(px), len(xs), len(ys)), np.inf)
+    who = np.zeros(best.shape, dtype=np.int16)
+    for j in range(px.shape[1]):
+        d = np.sqrt(dx[:, j, :, None] + dy[:, j, None, :])
+        closer = d < best
+        best[closer] = d[closer]
+        who[closer] = j
+    return best, who
+
+
+def _chunks(n_frames: int, n_cells: int) -> Iterator[slice]:
+    size = max(1, CHUNK // max(1, n_cells))
     for start in range(0, n_frames, size):
         yield slice(start, min(start + size, n_frames))
 
 
-def home_owned(hx, hy, ax, ay, gx, gy) -> np.ndarray:
+def home_owned(hx, hy, ax, ay, xs, ys, x_major: bool) -> np.ndarray:
     """Boolean (frame, cell) map: the closest player is a home player. Home is
-    listed first, so equal distances go home."""
-    out = np.empty((len(hx), len(gx)), dtype=bool)
-    for part in _chunks(len(hx), len(gx), hx.shape[1] + ax.shape[1]):
-        home, _ = _nearest(hx[part], hy[part], gx, gy)
-        away, _ = _nearest(ax[part], ay[part], gx, gy)
-        out[part] = home <= away
+    listed first, so equal distances go home. Cells run along y first when
+    ``x_major``, else along x first."""
+    out = np.empty((len(hx), len(xs) * len(ys)), dtype=bool)
+    for part in _chunks(len(hx), len(xs) * len(ys)):
+        own = _nearest(hx[part], hy[part], xs, ys) <= _nearest(ax[part], ay[part], xs, ys)
+        out[part] = (own if x_major else own.transpose(0, 2, 1)).reshape(len(own), -1)
     return out
 
 
-def node_points(length: float, width: float, nx: int, ny: int, x_major: bool) -> tuple[np.ndarray, np.ndarray]:
+def node_axes(length: float, width: float, nx: int, ny: int) -> tuple[np.ndarray, np.ndarray]:
     """Grid nodes that include both borders."""
-    xs, ys = np.linspace(0, length, nx), np.linspace(0, width, ny)
-    gx, gy = np.meshgrid(xs, ys, indexing="ij" if x_major else "xy")
-    return gx.ravel(), gy.ravel()
+    return np.linspace(0, length, nx), np.linspace(0, width, ny)
 
 
-def centre_points(length: float, width: float, n_cols: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell centres in row-major order."""
+def centre_axes(length: float, width: float, n_cols: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell centres."""
     ex, ey = np.linspace(0, length, n_cols + 1), np.linspace(0, width, n_rows + 1)
-    gx, gy = np.meshgrid(0.5 * (ex[:-1] + ex[1:]), 0.5 * (ey[:-1] + ey[1:]))
-    return gx.ravel(), gy.ravel()
+    return 0.5 * (ex[:-1] + ex[1:]), 0.5 * (ey[:-1] + ey[1:])
 
 
 def _by_pitch(length: np.ndarray, width: np.ndarray) -> Iterator[tuple[float, float, np.ndarray]]:
@@ -120,8 +138,8 @@ def control_share(frames: DataFrame, nodes: int, min_players: int, length="pitch
         tracked = (~np.isnan(hx)).sum(1) + (~np.isnan(ax)).sum(1) >= min_players
         for pl, pw, rows in _by_pitch(numbers(c["length"]), numbers(c["width"])):
             rows = rows[tracked[rows]]
-            gx, gy = node_points(pl, pw, nodes, nodes, x_major=False)
-            share[rows] = home_owned(hx[rows], hy[rows], ax[rows], ay[rows], gx, gy).mean(axis=1)
+            xs, ys = node_axes(pl, pw, nodes, nodes)
+            share[rows] = home_owned(hx[rows], hy[rows], ax[rows], ay[rows], xs, ys, True).mean(axis=1)
         return {out: share}
 
     inputs = {**player_inputs(), "length": F.col(length), "width": F.col(width)}
@@ -130,7 +148,8 @@ def control_share(frames: DataFrame, nodes: int, min_players: int, length="pitch
 
 def control_totals(frames: DataFrame, keys: list[str], geometry: str, min_players: int, nx: int = 0, ny: int = 0,
                    length="pitch_length", width="pitch_width") -> DataFrame:
-    """Per key the number of frames in which home owns each cell.
+    """Per key the number of frames in which home owns each cell. Cells are
+    numbered x first on nodes and row by row on cell centres.
 
     A batch adds its frames up per key before anything leaves the task, so a
     key with a third of all frames sends one short array per batch, not one row
@@ -160,11 +179,12 @@ def control_totals(frames: DataFrame, keys: list[str], geometry: str, min_player
                 for pl, pw, at in _by_pitch(pl_all[rows], pw_all[rows]):
                     part = rows[at]
                     if geometry == "nodes":
-                        gx, gy = node_points(pl, pw, nx, ny, x_major=True)
+                        xs, ys = node_axes(pl, pw, nx, ny)
                     else:
-                        gx, gy = centre_points(pl, pw, max(1, round(pl)), max(1, round(pw)))
+                        xs, ys = centre_axes(pl, pw, max(1, round(pl)), max(1, round(pw)))
                     first.append(int(part[0]))
-                    owned.append(home_owned(hx[part], hy[part], ax[part], ay[part], gx, gy).sum(axis=0).astype(np.int32))
+                    own = home_owned(hx[part], hy[part], ax[part], ay[part], xs, ys, geometry == "nodes")
+                    owned.append(own.sum(axis=0).astype(np.int32))
                     n.append(len(part))
             offsets = np.concatenate([[0], np.cumsum([len(o) for o in owned])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -200,17 +220,18 @@ def dangerous_space(frames: DataFrame, danger: list[list[float]], threat: list[l
     def kernel(c: dict) -> dict:
         hx, hy, ax, ay = (padded(c[k]) for k in ("hx", "hy", "ax", "ay"))
         is_home = np.asarray(c["home_owns"].to_pylist(), dtype=bool)
-        turn = np.where(is_home, 1, -1) * 0 + numbers(c["direction"])
+        turn = numbers(c["direction"])
         bx, by = numbers(c["bx"]), numbers(c["by"])
         out = {f: np.full(len(hx), np.nan) for f in DAS_FIELDS}
         for pl, pw, at in _by_pitch(numbers(c["length"]), numbers(c["width"])):
-            gx, gy = node_points(pl, pw, nodes, nodes, x_major=False)
+            xs, ys = node_axes(pl, pw, nodes, nodes)
+            gx, gy = (g.ravel() for g in np.meshgrid(xs, ys, indexing="ij"))
             area = (pl / nodes) * (pw / nodes)
             values = {d: (_surface(danger_m, gx, gy, pl, pw, d), _surface(threat_m, gx, gy, pl, pw, d)) for d in (1, -1)}
-            for part in _chunks(len(at), len(gx), hx.shape[1] + ax.shape[1]):
+            for part in _chunks(len(at), len(gx)):
                 rows = at[part]
-                home, home_idx = _nearest(hx[rows], hy[rows], gx, gy)
-                away, away_idx = _nearest(ax[rows], ay[rows], gx, gy)
+                home, home_idx = (m.reshape(len(rows), -1) for m in _nearest_player(hx[rows], hy[rows], xs, ys))
+                away, away_idx = (m.reshape(len(rows), -1) for m in _nearest_player(ax[rows], ay[rows], xs, ys))
                 own_home = home <= away
                 mine = np.where(is_home[rows, None], own_home, ~own_home)
                 mine_idx = np.where(is_home[rows, None], home_idx, away_idx)
@@ -273,13 +294,70 @@ def hull_area(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where((count >= 3) & (area > 0), area, np.nan)
 
 
-def with_areas(frames: DataFrame, home: str = "home_area", away: str = "away_area") -> DataFrame:
-    """Hull area of both sides per frame."""
+SHAPE_FIELDS = ("centroid_x", "centroid_y", "compactness", "width", "depth", "elongation", "area",
+                "nearest_teammate_distance", "pairwise_distance")
+BALL_FIELDS = ("centroid_to_ball_distance", "ahead_right", "behind_right", "ahead_left", "behind_left")
+EPS = 1e-6
+
+
+def _safe_mean(values: np.ndarray, axis) -> np.ndarray:
+    """Mean over the numbers along the axis, NaN where there are none."""
+    known = ~np.isnan(values)
+    n = known.sum(axis=axis)
+    return np.where(n > 0, np.where(known, values, 0.0).sum(axis=axis) / np.maximum(n, 1), np.nan)
+
+
+def _pair_distances(ax, ay, bx, by) -> np.ndarray:
+    return np.sqrt((ax[:, :, None] - bx[:, None, :]) ** 2 + (ay[:, :, None] - by[:, None, :]) ** 2)
+
+
+def _closest(d: np.ndarray) -> np.ndarray:
+    """Smallest number of each last-axis row, NaN where there is none."""
+    low = np.where(np.isnan(d), np.inf, d).min(axis=2)
+    return np.where(np.isinf(low), np.nan, low)
+
+
+def _side_geometry(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray) -> dict[str, np.ndarray]:
+    n = (~np.isnan(x)).sum(axis=1)
+    some = n > 0
+    cx, cy = _safe_mean(x, 1), _safe_mean(y, 1)
+    high = lambda v: np.where(some, np.where(np.isnan(v), -np.inf, v).max(axis=1), np.nan)
+    low = lambda v: np.where(some, np.where(np.isnan(v), np.inf, v).min(axis=1), np.nan)
+    width, depth = high(y) - low(y), high(x) - low(x)
+    d = _pair_distances(x, y, x, y)
+    d[:, np.arange(x.shape[1]), np.arange(x.shape[1])] = np.nan
+    ball = ~np.isnan(bx) & ~np.isnan(by)
+    right, left = (x > bx[:, None]).sum(axis=1), (x < bx[:, None]).sum(axis=1)
+    count = lambda v: np.where(ball, v.astype(float), np.nan)
+    return {
+        "centroid_x": cx, "centroid_y": cy, "compactness": _safe_mean(np.sqrt((x - cx[:, None]) ** 2 + (y - cy[:, None]) ** 2), 1),
+        "width": width, "depth": depth, "elongation": np.where(width > EPS, depth / np.where(width > EPS, width, 1.0), np.nan),
+        "area": hull_area(x, y), "nearest_teammate_distance": _safe_mean(_closest(d), 1), "pairwise_distance": _safe_mean(d, (1, 2)),
+        "centroid_to_ball_distance": np.sqrt((cx - bx) ** 2 + (cy - by) ** 2),
+        "ahead_right": count(right), "behind_right": count(n - right), "ahead_left": count(left), "behind_left": count(n - left),
+    }
+
+
+def frame_geometry(frames: DataFrame, ball=("ball_x", "ball_y")) -> DataFrame:
+    """Shape of both sides, their relation to the ball for either direction,
+    and the mean distance to the closest opponent, as columns ``home_*`` and
+    ``away_*``. All pairs of a frame meet inside the batch; no row is added."""
+    fields = SHAPE_FIELDS + BALL_FIELDS
+
     def kernel(c: dict) -> dict:
-        hx, hy, ax, ay = (padded(c[k]) for k in ("hx", "hy", "ax", "ay"))
-        return {home: hull_area(hx, hy), away: hull_area(ax, ay)}
+        side = {"home": (padded(c["hx"]), padded(c["hy"])), "away": (padded(c["ax"]), padded(c["ay"]))}
+        bx, by = numbers(c["bx"]), numbers(c["by"])
+        out = {}
+        for name, (x, y) in side.items():
+            out.update({f"{name}_{k}": v for k, v in _side_geometry(x, y, bx, by).items()})
+        across = _pair_distances(*side["home"], *side["away"])
+        out["home_nearest_opponent"] = _safe_mean(_closest(across), 1)
+        out["away_nearest_opponent"] = _safe_mean(_closest(across.transpose(0, 2, 1)), 1)
+        return out
 
-    return with_kernel(frames, player_inputs(), [T.StructField(home, T.DoubleType()), T.StructField(away, T.DoubleType())], kernel)
+    names = [f"{s}_{f}" for s in ("home", "away") for f in fields + ("nearest_opponent",)]
+    inputs = {**player_inputs(), "bx": F.col(ball[0]).cast("double"), "by": F.col(ball[1]).cast("double")}
+    return with_kernel(frames, inputs, [T.StructField(n, T.DoubleType()) for n in names], kernel)
 
 
 def assignment_cost(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

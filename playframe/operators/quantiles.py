@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SLICES = 64
+SLICES, STEPS = 16, 256
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], out: str = "q") -> DataFrame:
@@ -24,7 +24,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
     j = counts.join(shape, keys)
     at = F.size(F.filter("__b", lambda b: b <= F.col("__v")))
     low, high = F.get("__b", F.col("__s") - 1), F.get("__b", F.col("__s"))
-    step = F.when(high > low, F.floor((F.col("__v") - low) / (high - low) * SLICES)).otherwise(0)
+    step = F.when(high > low, F.floor((F.col("__v") - low) / (high - low) * STEPS)).otherwise(0)
     j = j.withColumn("__s", at).withColumn("__step", F.coalesce(step, F.lit(0)))
     block = keys + ["__s", "__step"]
     totals = j.groupBy(*block).agg(F.sum("__c").alias("__t"))

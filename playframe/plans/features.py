@@ -14,9 +14,7 @@ from playframe.operators.ordered import steps
 from playframe.operators.ranges import points_in_intervals
 
 KEY = ["match_id", "unit"]
-SIDES = ("home", "away")
 RELATIONS = ("centroid_to_ball_distance", "players_ahead_of_ball", "players_behind_ball")
-TEAM_SERIES = fx.SHAPE_FIELDS[:6] + ("area",) + fx.SHAPE_FIELDS[6:] + RELATIONS
 
 
 def frame_reliability() -> Column:
@@ -31,14 +29,13 @@ def frame_features(frames: DataFrame) -> DataFrame:
     """Everything the wide row needs from a frame, without the player arrays:
     shapes with hull area, ball relations for both directions, closest
     opponents, ball and reliability. Narrow; nothing is shuffled."""
-    f = kernels.with_areas(frames)
-    f = f.withColumns({f"{s}_shape": fx.team_shape(s) for s in SIDES})
-    f = f.withColumns({f"{s}_shape": F.when(F.size(s) > 0, F.col(f"{s}_shape").withField("area", F.col(f"{s}_area"))) for s in SIDES})
-    bx, by = F.col("ball_x"), F.col("ball_y")
-    rel = {f"{s}_{d}": fx.ball_relations(s, F.col(f"{s}_shape"), bx, by, F.lit(v)) for s in SIDES for d, v in (("right", 1), ("left", -1))}
-    f = f.withColumns({**rel, "rel": frame_reliability(), "home_opp": fx.nearest_opponent("home", "away"), "away_opp": fx.nearest_opponent("away", "home")})
-    return f.select("match_id", "frame_idx", "frame_num", "ball_x", "ball_y", "ball_z", "rel", "home_shape", "away_shape",
-                    *rel, "home_opp", "away_opp")
+    f = kernels.frame_geometry(frames.select("match_id", "frame_idx", "frame_num", "ball_x", "ball_y", "ball_z", "home", "away"))
+
+    def side(s: str) -> Column:
+        return F.struct(*[F.col(f"{s}_{n}").alias(n) for n in kernels.SHAPE_FIELDS + kernels.BALL_FIELDS + ("nearest_opponent",)])
+
+    return f.select("match_id", "frame_idx", "frame_num", "ball_x", "ball_y", "ball_z", frame_reliability().alias("rel"),
+                    side("home").alias("home_side"), side("away").alias("away_side"))
 
 
 def unit_frames(frames: DataFrame, units: DataFrame, carry: list[str], width: float) -> DataFrame:
@@ -47,27 +44,28 @@ def unit_frames(frames: DataFrame, units: DataFrame, carry: list[str], width: fl
     return points_in_intervals(frames, spans, ["match_id"], "frame_num", "start_frame", "end_frame", width).drop("start_frame", "end_frame")
 
 
-def _series() -> dict[str, Column]:
-    """The 39 per-frame series in the view of the side in possession."""
+def _series() -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """The 39 per-frame series in the view of the side in possession, the two
+    side structs and the interaction struct that they read."""
     home, right = F.col("team") == "home", F.col("direction") > 0
+    att = F.when(home, F.col("home_side")).otherwise(F.col("away_side"))
+    dfn = F.when(home, F.col("away_side")).otherwise(F.col("home_side"))
     out: dict[str, Column] = {}
-    for prefix, own in (("attacking", home), ("defending", ~home)):
-        shape = F.when(own, F.col("home_shape")).otherwise(F.col("away_shape"))
-        rel = F.when(own & right, F.col("home_right")).when(own, F.col("home_left")).when(right, F.col("away_right")).otherwise(F.col("away_left"))
-        for name in TEAM_SERIES:
-            value = rel[name] if name in RELATIONS else shape[name]
-            out[f"{prefix}_{name}"] = relative_x(value, "direction", F.col("pitch_length")) if name == "centroid_x" else value
-    att = F.when(home, F.col("home_shape")).otherwise(F.col("away_shape"))
-    dfn = F.when(home, F.col("away_shape")).otherwise(F.col("home_shape"))
-    inter = fx.interactions(att, dfn, F.array().cast("array<struct<x:double,y:double>>"), F.array().cast("array<struct<x:double,y:double>>"))
+    for prefix in ("attacking", "defending"):
+        own = F.col(f"__{prefix}")
+        for name in kernels.SHAPE_FIELDS:
+            out[f"{prefix}_{name}"] = relative_x(own[name], "direction", F.col("pitch_length")) if name == "centroid_x" else own[name]
+        out[f"{prefix}_{RELATIONS[0]}"] = own[RELATIONS[0]]
+        for name, word in zip(RELATIONS[1:], ("ahead", "behind")):
+            out[f"{prefix}_{name}"] = F.when(right, own[f"{word}_right"]).otherwise(own[f"{word}_left"])
+    inter = fx.interactions(F.col("__attacking"), F.col("__defending"), F.col("__attacking.nearest_opponent"))
     for name in fx.INTERACTION_FIELDS:
-        out[name] = inter[name]
-    out["nearest_opponent_distance"] = F.when(home, F.col("home_opp")).otherwise(F.col("away_opp"))
+        out[name] = F.col("__inter")[name]
     long = out["longitudinal_centroid_difference"]
     out["longitudinal_centroid_difference"] = F.when(right, long).otherwise(-long)
     out["ball_x"] = relative_x("ball_x", "direction", F.col("pitch_length"))
     out["ball_y"], out["ball_z"] = F.col("ball_y"), F.col("ball_z")
-    return out
+    return out, {"__attacking": att, "__defending": dfn}, inter
 
 
 def _kept(rows: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -83,8 +81,8 @@ def _kept(rows: DataFrame, cfg: EngineConfig) -> DataFrame:
 def shape_rows(features: DataFrame, units: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Frame statistics of every unit: one join and one aggregate."""
     rows = _kept(unit_frames(features, units, ["team", "direction", "pitch_length"], float(cfg.block_frames)), cfg)
-    series = _series()
-    picked = rows.select(*KEY, "frame_idx", "used", "rel", *[F.when(F.col("used"), v).alias(n) for n, v in series.items()])
+    series, sides, inter = _series()
+    picked = rows.withColumns(sides).withColumn("__inter", inter).select(*KEY, "frame_idx", "used", "rel", *[F.when(F.col("used"), v).alias(n) for n, v in series.items()])
     weight = F.coalesce("rel.ratio", F.lit(0.0)) if cfg.reliability_mode == "weighted" else None
     aggs = [F.count(F.lit(1)).alias("n_unique_frames"), ratio(F.sum("rel.ok"), F.sum("rel.present")).alias("reliability_ratio")]
     for name in series:
