@@ -1,0 +1,76 @@
+"""The stateful rules on live input.
+
+The batch jobs read finished files. The same rules run on streams: windows and
+value series need no state of their own, the phase rule keeps one open window
+per sequence.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from playframe.plans.formations import sliding_windows
+
+PHASE_SCHEMA = ("match_id string, sequence_id long, first_ordinal long, start_sec double, end_sec double, n_events long, "
+                "n_passes_in_window long, reason_closed string")
+STATE_SCHEMA = "first long, start double, last double, n long, passes long, open boolean"
+
+
+def live_positions(frames: DataFrame, time: str, stride: int, length: int, delay: str = "10 minutes") -> DataFrame:
+    """Mean position per player and sliding window, closed at both ends, as a
+    streaming aggregate. ``time`` is the event-time column, ``elapsed`` the
+    second of the period."""
+    opened = frames.withWatermark(time, delay).withColumn("k", F.explode(sliding_windows("elapsed", stride, length)))
+    return opened.groupBy(F.window(time, f"{length} seconds"), "match_id", "side", "period", "k", "pid").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def live_phases(events: DataFrame, max_passes: int, max_seconds: float, idle: str = "2 minutes") -> DataFrame:
+    """Closed phases as they end.
+
+    ``events`` arrive in order within a sequence, with match_id, sequence_id,
+    ordinal, t, counted, reason (the local close reason) and brk (a stoppage
+    since the event before). A window left open past ``idle`` of silence ends
+    with ``sequence_end``. The state of a sequence is six numbers.
+    """
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, start, last, n, passes, is_open = state.get if state.exists else (0, 0.0, 0.0, 0, 0, False)
+        closed = []
+
+        def close(reason: str) -> None:
+            closed.append((key[0], key[1], first, start, last, n, passes, reason))
+
+        if state.hasTimedOut:
+            if is_open:
+                close("sequence_end")
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["t", "ordinal"])
+            for r in rows.itertuples(index=False):
+                if is_open and r.brk:
+                    close("stoppage_break")
+                    is_open = False
+                if not is_open:
+                    first, start, n, passes, is_open = r.ordinal, r.t, 0, 0, True
+                last, n, passes = r.t, n + 1, passes + int(r.counted)
+                reason = r.reason if isinstance(r.reason, str) else None
+                if reason is None and passes >= max_passes:
+                    reason = "max_passes"
+                if reason is None and r.t - start > max_seconds:
+                    reason = "max_time"
+                if reason is not None:
+                    close(reason)
+                    is_open = False
+            state.update((int(first), float(start), float(last), int(n), int(passes), bool(is_open)))
+            state.setTimeoutDuration(pause)
+        names = [c.split()[0] for c in PHASE_SCHEMA.split(", ")]
+        yield pd.DataFrame(closed, columns=names)
+
+    return events.groupBy("match_id", "sequence_id").applyInPandasWithState(
+        step, PHASE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
