@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,7 +39,7 @@ def group_split(df: DataFrame, group: str, share: float, seed: int = 42) -> tupl
 
 def fit_booster(train: DataFrame, target: str, vector: str, cfg: Boosting) -> GBTRegressionModel:
     """Booster on the rows that have the target."""
-    ticket = F.pmod(F.xxhash64(F.col(vector).cast("string"), F.lit(cfg.seed)), F.lit(1000))
+    ticket = F.pmod(F.xxhash64(vector_to_array(vector), F.col(target).cast("double"), F.lit(cfg.seed)), F.lit(1000))
     known = train.filter(F.col(target).isNotNull()).withColumn("__valid", ticket < int(cfg.hold_out * 1000))
     return GBTRegressor(
         featuresCol=vector, labelCol=target, predictionCol="prediction", maxIter=cfg.rounds, stepSize=cfg.step, maxDepth=cfg.depth,

@@ -1,0 +1,34 @@
+"""The live phase rule gives the phases of the batch rule."""
+
+from pyspark.sql import functions as F
+
+from playframe.streaming.live import live_phases, live_positions
+from test_segments import make_events, plain_fold
+
+
+def test_live_equals_batch(spark, tmp_path):
+    events = [e for e in make_events(11, 120, 0.2, 0.0, 0.5)]
+    rows = [("m", e[2], e[0], e[1], bool(e[4]), e[5], False) for e in events]
+    df = spark.createDataFrame(rows, "match_id string, sequence_id long, ordinal long, t double, counted boolean, reason string, brk boolean")
+    half = len(rows) // 2
+    df.filter(F.col("ordinal") < half).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.filter(F.col("ordinal") >= half).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    q = live_phases(stream, 4, 9.0).writeStream.format("memory").queryName("live").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.sequence_id, r.start_sec, r.n_events, r.reason_closed) for r in spark.table("live").collect())
+    t = {e[0]: (e[2], e[1]) for e in events}
+    want = sorted((t[m[0]][0], t[m[0]][1], len(m), why) for m, why in plain_fold(events, 4, 9.0) if why != "sequence_end")
+    assert got == want
+
+
+def test_live_positions_run(spark, tmp_path):
+    df = spark.createDataFrame([("m", "home", 1, "7", 60.0, 1.0, 2.0)], "match_id string, side string, period int, pid string, elapsed double, x double, y double")
+    df = df.withColumn("at", F.timestamp_seconds("elapsed"))
+    df.write.parquet(str(tmp_path / "p"))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "p"))
+    q = live_positions(s, "at", 60, 180).writeStream.format("memory").queryName("pos").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.k for r in spark.table("pos").collect()) == [0, 1]
