@@ -258,10 +258,19 @@ def grid_extents(spark, folder):
     return tables.cells(spark, folder).groupBy("map_id").agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
 
 
-@catalog.query("smoothed_grid")
+_TAPS = """
+k AS (SELECT o, exp(-0.5 * o * o) / (SELECT sum(exp(-0.5 * p * p)) FROM (SELECT unnest(generate_series(-4, 4)) AS p)) AS w FROM (SELECT unnest(generate_series(-4, 4)) AS o)),
+mr AS (SELECT i AS at, CASE WHEN m < 11 THEN m ELSE 21 - m END AS src, w FROM (SELECT i, (i + o + 22) % 22 AS m, w FROM (SELECT unnest(generate_series(0, 10)) AS i), k)),
+mc AS (SELECT i AS at, CASE WHEN m < 50 THEN m ELSE 99 - m END AS src, w FROM (SELECT i, (i + o + 100) % 100 AS m, w FROM (SELECT unnest(generate_series(0, 49)) AS i), k)),
+a AS (SELECT map_id, mr.at AS row, col, sum(v * w) AS v FROM u JOIN mr ON u.row = mr.src GROUP BY 1, 2, 3),
+b AS (SELECT map_id, row, mc.at AS col, sum(v * w) AS v FROM a JOIN mc ON a.col = mc.src GROUP BY 1, 2, 3)"""
+
+
+@catalog.query("smoothed_grid", f"""
+WITH {CELLS}, {_UNIT}, {_TAPS} SELECT map_id, round(sum(v) * 0.7310585, 4) + 0.0 AS mass, round(max(v) * 0.7310585, 4) + 0.0 AS peak FROM b GROUP BY 1""")
 def smoothed_grid(spark, folder):
     """Gaussian smoothing of dense maps; mass is kept by mirrored borders."""
     d = grids.densify(_unit_cells(spark, folder), ["map_id"], "v", N_ROWS, N_COLS)
     s = grids.smooth(d, "cells", N_ROWS, N_COLS, 1.0)
-    return s.select("map_id", rounded(F.aggregate("cells", F.lit(0.0), lambda a, v: a + v), 4).alias("mass"),
-                    rounded(F.array_max("cells"), 4).alias("peak"))
+    return s.select("map_id", rounded(F.aggregate("cells", F.lit(0.0), lambda a, v: a + v) * 0.7310585, 4).alias("mass"),
+                    rounded(F.array_max("cells") * 0.7310585, 4).alias("peak"))

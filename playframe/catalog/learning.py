@@ -186,7 +186,10 @@ def cluster_assignments(spark, folder):
     return clusters.best_kmeans(v, 4, 2).transform(v).select("id", F.col("cluster").alias("cluster_k4"))
 
 
-@catalog.query("label_silhouette")
+@catalog.query("label_silhouette", f"""
+WITH {VEC}, d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.f, b.f)) AS s, count(*) AS n FROM vec a, vec b GROUP BY 1, 2, 3),
+i AS (SELECT id, s / (n - 1) AS inside FROM d WHERE label = other), o AS (SELECT id, min(s / n) AS outside FROM d WHERE label <> other GROUP BY 1)
+SELECT round(avg((outside - inside) / greatest(outside, inside)), 6) + 0.0 AS silhouette FROM i JOIN o USING (id)""")
 def label_silhouette(spark, folder):
     """Silhouette of the given labels on the sample of the operator."""
     s = clusters.silhouette(tables.vectors(spark, folder), "label", "features", ["id"])

@@ -26,13 +26,15 @@ def best_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 0, vector:
 def contingency_ari(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two labelings, from their contingency counts."""
     pairs = df.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = pairs.select(F.lit("cell").alias("kind"), "n")
+    for kind, c in (("a", a), ("b", b)):
+        counts = counts.unionByName(pairs.groupBy(c).agg(F.sum("n").alias("n")).select(F.lit(kind).alias("kind"), "n"))
     two = F.col("n") * (F.col("n") - 1) / 2
-    cells = pairs.agg(F.sum(two).alias("both"), F.sum("n").alias("n"))
-    def margin(c: str, name: str) -> DataFrame:
-        return pairs.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(two).alias(name))
-    one = F.broadcast  # each side below is a single aggregated row
-    j = cells.withColumn("__k", F.lit(1)).join(one(margin(a, "sa").withColumn("__k", F.lit(1))), "__k").join(
-        one(margin(b, "sb").withColumn("__k", F.lit(1))), "__k")
+
+    def of(kind: str, value) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value))
+
+    j = counts.agg(of("cell", two).alias("both"), of("cell", F.col("n")).alias("n"), of("a", two).alias("sa"), of("b", two).alias("sb"))
     total = F.col("n") * (F.col("n") - 1) / 2
     expected = F.col("sa") * F.col("sb") / total
     top = (F.col("sa") + F.col("sb")) / 2

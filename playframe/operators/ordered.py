@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from playframe.session import materialize
+
 BLOCK = "__block"
 
 
@@ -118,7 +120,8 @@ def every_nth(df: DataFrame, keys: list[str], order: list[str], n: int, width: f
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str, width: float,
             out: str = "island") -> DataFrame:
     """Number the runs of equal consecutive values of every key from zero."""
-    seen = ordered(df, keys, order, width, lag={"__before": F.struct(F.col(value).alias("x"))})
+    # written once: the second pass reads it twice
+    seen = materialize(ordered(df, keys, order, width, lag={"__before": F.struct(F.col(value).alias("x"))}))
     starts = F.when(F.col("__before").isNotNull() & ~F.col("__before.x").eqNullSafe(F.col(value)), 1).otherwise(0)
     return ordered(seen, keys, order, width, cumsum={out: starts}).drop("__before")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from playframe.session import materialize
+
 SLICES, STEPS = 16, 256
 
 
@@ -17,8 +19,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
     """
     if not keys:
         return exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, qs, out).drop("__all")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
-        F.count(F.lit(1)).alias("__c"))
+    # written once, as four branches below start from it
+    counts = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
+        F.count(F.lit(1)).alias("__c")))
     points = F.array(*[F.lit(i / SLICES) for i in range(SLICES + 1)])
     shape = counts.groupBy(*keys).agg(F.percentile_approx("__v", points, F.lit(1000)).alias("__b"), F.sum("__c").alias("__n"))
     j = counts.join(shape, keys)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from playframe.operators.ordered import ordered
 from playframe.operators.ranges import asof_forward
-from playframe.session import cut_lineage
+from playframe.session import cut_lineage, materialize
 
 LOCAL_REASONS = ("threshold_both", "threshold_mean", "threshold_max", "failed_pass", "shot")
 
@@ -45,11 +45,14 @@ def assign_windows(events: DataFrame, match: list[str], sequence: list[str], *,
     sequence key name a phase, and ``has_next``, which tells whether the
     sequence goes on after the event.
     """
+    # every ordered pass reads its input twice (rows and block summaries), so
+    # stacked passes would repeat the work below them; each result is written
+    # once instead
     timed = events.filter(F.col(time).isNotNull())
-    after_stops = ordered(
+    after_stops = materialize(ordered(
         timed.withColumn("__play", (~F.col(stop)).cast("int")), match, [time, "__play", ordinal], width,
         cumsum={"run_stops": F.col(stop).cast("bigint")},
-    ).filter(~F.col(stop)).drop("__play")
+    ).filter(~F.col(stop)).drop("__play", stop))
 
     seq = match + [k for k in sequence if k not in match]
     closing = F.col(reason).isNotNull().cast("bigint")
@@ -60,6 +63,7 @@ def assign_windows(events: DataFrame, match: list[str], sequence: list[str], *,
     runs = runs.withColumn("run_closes", F.col("__closes") - closing).withColumn(
         "has_next", F.coalesce("has_next", F.lit(False))
     ).drop("__closes")
+    runs = materialize(runs)
 
     run = seq + ["run_stops", "run_closes"]
     sizes = runs.groupBy(*run).agg(
