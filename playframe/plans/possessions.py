@@ -10,7 +10,7 @@ from playframe.functions.nulls import ratio
 from playframe.functions.stats import counts_as_json, majority_home
 from playframe.operators import segments
 from playframe.operators.ordered import ordered
-from playframe.plans.resolve import by_clock, by_time
+from playframe.plans.resolve import by_clock, by_time, spread_null
 from playframe.session import materialize
 from playframe.sources.events import is_stoppage
 
@@ -85,7 +85,8 @@ def phases(events: DataFrame, frames: DataFrame, matches: DataFrame, scores: Dat
         F.min("ordinal").alias("__seq_first"))
     ok = scores.filter(F.col("status") == "ok").groupBy("match_id", "possession_event_id").agg(
         F.max_by(F.struct("mean_disp", "max_disp"), "event_time").alias("__s"))
-    j = events.join(ok, ["match_id", "possession_event_id"], "left")
+    keyed = events.withColumn("__pe", spread_null("possession_event_id"))
+    j = keyed.join(ok.withColumnRenamed("possession_event_id", "__pe"), ["match_id", "__pe"], "left").drop("__pe")
     is_pass = F.coalesce(F.col("possession_event_type").isin(*PASS_CODES), F.lit(False))
     done = F.col("outcome").eqNullSafe(F.lit("C"))
     reason = segments.local_reason(is_pass, done, F.col("possession_event_type").eqNullSafe(F.lit(SHOT_CODE)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from playframe.operators.ranges import asof_forward, points_in_intervals
 
@@ -21,6 +21,12 @@ def nearest_ball_frame(anchors: DataFrame, frames: DataFrame, ids: list[str], an
     return hit.select(*[F.col(g).alias(c) for g, c in zip(grouped, keep)], "hit")
 
 
+def spread_null(key: str, spare: str = "ordinal") -> Column:
+    """Key of a left join in which missing keys do not all meet in one task:
+    they become negative numbers of their own, which no real id equals."""
+    return F.coalesce(F.col(key), -1 - F.col(spare))
+
+
 def id_lookup(events: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames of every event by possession-event id, else by game-event id:
     first and last frame, and the first one with a ball.
@@ -35,9 +41,10 @@ def id_lookup(events: DataFrame, frames: DataFrame) -> DataFrame:
             F.min("frame_idx").alias(f"{prefix}_lo"), F.max("frame_idx").alias(f"{prefix}_hi"),
             F.min(F.when(ball, F.col("frame_idx"))).alias(f"{prefix}_ball"))
 
-    pe = per_id("pe_id", "pe").withColumnRenamed("pe_id", "possession_event_id")
-    ge = per_id("ge_id", "ge").withColumnRenamed("ge_id", "game_event_id")
-    j = events.join(pe, ["match_id", "possession_event_id"], "left").join(ge, ["match_id", "game_event_id"], "left")
+    pe = per_id("pe_id", "pe").withColumnRenamed("pe_id", "__pe")
+    ge = per_id("ge_id", "ge").withColumnRenamed("ge_id", "__ge")
+    keyed = events.withColumns({"__pe": spread_null("possession_event_id"), "__ge": spread_null("game_event_id")})
+    j = keyed.join(pe, ["match_id", "__pe"], "left").join(ge, ["match_id", "__ge"], "left").drop("__pe", "__ge")
     by_pe = F.col("pe_lo").isNotNull()
     for name in ("lo", "hi", "ball"):
         j = j.withColumn(f"id_{name}", F.when(by_pe, F.col(f"pe_{name}")).otherwise(F.col(f"ge_{name}")))
@@ -80,6 +87,6 @@ def event_seconds(located: DataFrame, frames: DataFrame) -> DataFrame:
     no_frame = located.filter(F.col("frame").isNull() & F.col("start_frame").isNotNull())
     numbered = frames.select("match_id", F.col("frame_num").alias("__fn"), F.col("frame_idx").alias("__by_num"))
     by_num = asof_forward(no_frame.select(*ids, "start_frame"), numbered, ["match_id"], "start_frame", "__fn", "__by_num", ["__by_num"], 4096.0)
-    j = located.join(by_num.select(*ids, "__by_num"), ids, "left").withColumn("__f", F.coalesce("frame", "__by_num"))
+    j = located.join(by_num.select(*ids, "__by_num"), ids, "left").withColumn("__f", F.coalesce("frame", "__by_num", -1 - F.col("ordinal")))
     at = frames.select("match_id", F.col("frame_idx").alias("__f"), F.col("period").alias("__p"), F.col("elapsed").alias("second"))
     return j.join(at, ["match_id", "__f"], "left").withColumn("period", F.col("__p")).drop("__p", "__f", "__by_num")
