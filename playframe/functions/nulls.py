@@ -27,8 +27,3 @@ def rounded(c: Column | str, digits: int = 6) -> Column:
     """Round for comparison; adding zero turns -0.0 into 0.0."""
     return F.round(col(c).cast("double"), digits) + F.lit(0.0)
 
-
-def first_present(names: list[str], available: set[str]) -> Column:
-    """First non-null of the aliases that the input really has."""
-    present = [F.col(n) for n in names if n in available]
-    return F.coalesce(*present) if present else F.lit(None)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from playframe.config import VISIBLE_VALUES, EngineConfig
 from playframe.functions.nulls import finite
-from playframe.operators.ordered import ordered
 from playframe.session import materialize
 from playframe.sources.files import match_of
 
@@ -94,16 +93,17 @@ def read_frames(spark: SparkSession, folder: str, matches: DataFrame, cfg: Engin
     Lines that are not JSON objects are skipped. ``frame_idx`` is the position
     of a frame in its file: rows of a file split carry increasing ids in read
     order, and splits are ordered by their offset. Parsed frames are written
-    once, because the index and the frames are two branches of one plan.
+    once; what is grouped and joined after that has one row per file split, so
+    the frames themselves are never sorted or numbered by a window.
     """
     raw = spark.read.text(f"{folder}/*/tracking.jsonl.bz2").select(
-        match_of(F.col("_metadata.file_path")).alias("match_id"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("line"), "value")
+        match_of(F.col("_metadata.file_path")).alias("match_id"), F.col("_metadata.file_block_start").alias("split"), "value")
     text = F.col("value")
     for name in "XYZ":
         text = F.when(text.contains(f'"{name}"'), F.regexp_replace(text, f'"{name}"\\s*:', f'"{name.lower()}":')).otherwise(text)
     f = F.from_json(text, FRAME_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parsed = raw.select("match_id", "split", "line", f.alias("f")).filter(F.col("f").isNotNull() & F.col("f._corrupt").isNull())
+    good = raw.select("match_id", "split", f.alias("f")).filter(F.col("f").isNotNull() & F.col("f._corrupt").isNull())
+    parsed = good.select("match_id", "split", F.monotonically_increasing_id().alias("line"), "f")
     parsed = parsed.join(matches.select("match_id", "pitch_length", "pitch_width"), "match_id")
     pl, pw = F.col("pitch_length"), F.col("pitch_width")
 
@@ -124,8 +124,13 @@ def read_frames(spark: SparkSession, folder: str, matches: DataFrame, cfg: Engin
         _single(F.col("b.z")).alias("ball_z"),
     )
     staged = materialize(table)
-    index = ordered(staged.select("match_id", "split", "line"), ["match_id"], ["split", "line"], 1.0, index="frame_idx")
-    out = staged.join(index, ["match_id", "split", "line"]).drop("split", "line")
+    # ids run on without gaps inside a split, so a position is the distance to
+    # the first id of the split plus the rows of the splits before it
+    splits = staged.groupBy("match_id", "split").agg(F.min("line").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("match_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    place = F.col("line") - F.col("__first") + F.col("__before")
+    out = staged.join(splits, ["match_id", "split"]).withColumn("frame_idx", place).drop("split", "line", "__first", "__n", "__before")
     return out.withColumn("frame_num", F.coalesce("frame_num", "frame_idx"))
 
 
