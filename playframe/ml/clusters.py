@@ -10,15 +10,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from playframe.functions.nulls import ratio
+from playframe.ml.prepare import array_moments
 
 
 def with_vector(df: DataFrame, features: str = "features", out: str = "vector") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(features).cast("array<double>")))
 
 
-def best_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 0, vector: str = "vector") -> KMeansModel:
+def shift_tolerance(df: DataFrame, features: str, relative: float = 1e-4) -> float:
+    """Centre shift below which a fit has converged, relative to the mean
+    variance of the features."""
+    _, variance = array_moments(df.withColumn("__f", F.col(features).cast("array<double>")), "__f")
+    return float(np.sqrt(relative * variance.mean())) or relative
+
+
+def best_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 0, vector: str = "vector", tol: float = 1e-4) -> KMeansModel:
     """Model of least cost over several starts."""
-    fits = (KMeans(k=k, seed=seed + i, initMode="k-means||", featuresCol=vector, predictionCol="cluster", maxIter=300, tol=1e-4).fit(df)
+    fits = (KMeans(k=k, seed=seed + i, initMode="k-means||", featuresCol=vector, predictionCol="cluster", maxIter=300, tol=tol).fit(df)
             for i in range(n_init))
     return min(fits, key=lambda m: m.summary.trainingCost)
 
@@ -91,7 +99,7 @@ def silhouette(df: DataFrame, label: str, features: str = "features", keys: list
 
 
 def split_half_stability(df: DataFrame, k: int, repeats: int, group: str = "match_id", vector: str = "vector",
-                         n_init: int = 3) -> tuple[float, float]:
+                         n_init: int = 3, tol: float = 1e-4) -> tuple[float, float]:
     """Mean and deviation of the agreement of models fitted on two disjoint
     halves of the matches and applied to all rows. Halves are split by hash
     order of the match ids."""
@@ -102,11 +110,12 @@ def split_half_stability(df: DataFrame, k: int, repeats: int, group: str = "matc
     for r in range(repeats):
         order = Window.orderBy(hash_order([group], r))  # match ids only
         half = ids.withColumn("__half", F.percent_rank().over(order) < 0.5)
-        split = df.join(half, group)
-        a = best_kmeans(split.filter("__half"), k, n_init, r, vector)
-        b = best_kmeans(split.filter("NOT __half"), k, n_init, r + 100, vector)
+        split = df.join(half, group).select("__half", vector).persist()
+        a = best_kmeans(split.filter("__half"), k, n_init, r, vector, tol)
+        b = best_kmeans(split.filter("NOT __half"), k, n_init, r + 100, vector, tol)
         both = b.transform(a.transform(df).withColumnRenamed("cluster", "__a")).withColumnRenamed("cluster", "__b")
         values.append(contingency_ari(both, "__a", "__b").first().ari)
+        split.unpersist()
     return float(np.mean(values)), float(np.std(values))
 
 
@@ -114,13 +123,14 @@ def sweep(df: DataFrame, ks: list[int], features: str = "features", keys: list[s
           sample: int = 5000, repeats: int = 5, group: str = "match_id") -> tuple[DataFrame, DataFrame]:
     """Cluster for every k. Returns the rows with ``cluster_k*`` columns and
     the table of silhouette, inertia and stability."""
-    base = with_vector(df, features)
+    base = with_vector(df, features).persist()  # read by every fit
+    tol = shift_tolerance(base, features)
     labelled, table = base, []
     for k in ks:
-        model = best_kmeans(base, k, n_init)
+        model = best_kmeans(base, k, n_init, tol=tol)
         labelled = model.transform(labelled).withColumnRenamed("cluster", f"cluster_k{k}")
         s = silhouette(labelled, f"cluster_k{k}", features, keys, sample)
-        m, d = split_half_stability(base, k, repeats, group) if repeats else (None, None)
+        m, d = split_half_stability(base, k, repeats, group, tol=tol) if repeats else (None, None)
         table.append((k, s, float(model.summary.trainingCost), m, d))
     summary = df.sparkSession.createDataFrame(
         table, "k int, silhouette double, inertia double, stability_ari_mean double, stability_ari_std double")
