@@ -61,3 +61,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def text_of(column: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def batch_of(**columns):
+    """A record batch of named arrays; numpy arrays and lists are converted."""
+    import pyarrow as pa
+
+    arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))

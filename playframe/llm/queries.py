@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playframe.llm import quality
+from playframe.llm import contamination, minhash, quality, secrets
 from playframe.llm.common import table
 
 RUNS, CHECKS = {}, {}
@@ -25,3 +25,26 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     out = quality.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "class_distance", "word_distance")
+
+
+@query("op5_minhash")
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
+@query("op4_contamination")
+def op4_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_secrets")
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    out = secrets.findings(table(spark, folder, "documents").select("doc_id", "text"))
+    found = F.col("findings")
+    base = F.filter(found, lambda x: x["kind"].isin([r.kind for r in secrets.BASE]))
+
+    def number(kind: str):
+        return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(r.kind) for r in secrets.BASE]
+    return out.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(found).alias("spans"))
