@@ -13,10 +13,13 @@ triple, so for ordinary weights the smallest hash is the sample, and other weigh
 are placed among them by their own value. Equal samples mean equal (shingle, step).
 
 24 bands of 5 samples propose candidates: pairs at 0.8 are missed with odds of
-7e-5. In a band's bucket, documents are compared with a few pivots; whatever is
-then still in different classes is compared with the rest of its bucket, so no
-proposed pair in different classes goes unverified. Verification is the exact
-weighted Jaccard similarity of the two texts.
+7e-5. A text can share no more than what it shares with any text of any bucket, so
+texts with too much of their own leave a bucket whose lightest text they cannot
+reach, and pairs that cannot reach 0.8 are not proposed; both bounds are exact. In
+a bucket, texts are compared with a few pivots, first the one with least of its
+own; whatever is then still in different classes is compared with the rest of its
+bucket, so no proposed pair in different classes goes unverified, but for those with so few
+equal samples that they reach 0.8 with odds of 6e-5. Verification is the exact weighted Jaccard similarity of the two texts.
 
 Defined results: exact copies (equal words) are one node; texts without words
 are alone in their class; null doc_id rows form classes like others, with a null
@@ -50,7 +53,8 @@ class NearDup:
     bands: int = 24
     rows: int = 5
     floor: float = 0.05  # least share of documents a frequency counts as
-    pivots: int = 3
+    pivots: tuple[int, ...] = (1, 8)
+    estimate: float = 0.66  # share of equal samples below which a pair left over is not verified
 
 
 def _uniforms(n: int, stream: int) -> np.ndarray:
@@ -158,15 +162,20 @@ def _candidates(docs: DataFrame, opt: NearDup, n_docs: int, heavy) -> DataFrame:
                 hashes, words = word_hashes(part)
                 full = np.diff(words) > 0
                 node, sizes = np.zeros(len(part), dtype=np.int64), np.where(full, opt.bands, 0)
-                keys = np.empty(0, dtype=np.int64)
+                keys, prints = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int8)
                 if full.any():
                     node[full] = _digests(hashes, words).view(np.int64)
-                    sig = signatures(*text_weights(part, opt, n_docs, heavy), samples).reshape(-1, opt.bands, opt.rows)
+                    sig = signatures(*text_weights(part, opt, n_docs, heavy), samples)
+                    prints = mix(sig).astype(np.uint8).view(np.int8).ravel()
+                    sig = sig.reshape(-1, opt.bands, opt.rows)
                     keys = mix((mix(sig ^ salt) * salt).sum(axis=2) + np.arange(opt.bands, dtype=U)).view(np.int64).ravel()
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(keys))
-                yield batch_of(doc_id=batch.column(0).slice(a, b - a), node=pa.array(node, mask=~full), bands=bands)
+                own = pa.array(np.concatenate(([0], np.cumsum(sizes * opt.rows))), pa.int32())
+                yield batch_of(doc_id=batch.column(0).slice(a, b - a), node=pa.array(node, mask=~full), bands=bands,
+                               prints=pa.ListArray.from_arrays(own, pa.array(prints)))
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(sign, "doc_id long, node long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(
+        sign, "doc_id long, node long, bands array<long>, prints array<tinyint>")
 
 
 def _with_node(name: str):
@@ -218,8 +227,8 @@ def near_duplicates(docs: DataFrame, opt: NearDup = NearDup()) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     n_docs, heavy = cell_counts(docs, opt, scratch)
     rows = scratch.keep(_candidates(docs, opt, n_docs, heavy))
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    keys = scratch.keep(nodes.select("node", F.posexplode("bands").alias("band", "key")))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "prints")).alias("s"))
+    keys = scratch.keep(nodes.select("node", F.explode("s.bands").alias("key")))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = scratch.keep(keys.join(shared, "key").select("key", "node"))
     scratch.drop(keys)
@@ -233,31 +242,39 @@ def near_duplicates(docs: DataFrame, opt: NearDup = NearDup()) -> DataFrame:
         .mapInArrow(_with_node("node"), "text string, node long").filter("node is not null")
         .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
+    buckets = _possible(buckets, texts, opt, n_docs, heavy, scratch)
+
     links, labels = None, None
-    for turn in range(opt.pivots):
-        here = buckets if labels is None else _labelled(buckets, labels)
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
-        pivot = here.groupBy("key").agg(F.min(order).alias("p"), *([] if labels is None else [F.min("root").alias("lo"), F.max("root").alias("hi")]))
-        if labels is not None:
-            pivot = pivot.filter("lo <> hi")
-        pairs = here.join(pivot.select("key", F.col("p.node").alias("pivot")), "key").filter("node <> pivot")
-        if labels is not None:
-            up = labels.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-            pairs = pairs.join(up, "pivot", "left").filter(F.coalesce("pivot_root", "pivot") != F.col("root"))
-        links, labels, more = _extend(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")),
+    for turn, n_pivots in enumerate(opt.pivots):
+        here = buckets.withColumn("root", F.col("node")) if labels is None else _labelled(buckets, labels)
+        odd = (F.lit(1.0) - F.col("shared") / F.col("weight")) if turn == 0 else F.lit(0.0)
+        chosen = [F.min(F.struct(odd.alias("odd"), F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), "node", "weight", "shared", "root"))
+                  for k in range(n_pivots)]
+        pivots = here.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        pivots = pivots.filter("lo <> hi").select("key", F.explode("p").alias("p"))
+        pairs = here.join(pivots, "key").filter(F.col("root") != F.col("p.root")).filter(_reach(
+            F.col("weight"), F.col("shared"), F.col("p.weight"), F.col("p.shared"), opt))
+        links, labels, more = _extend(pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")),
                                       links, labels, texts, opt, n_docs, heavy, scratch)
         if not more:
             break
-    else:
-        here = scratch.keep(_labelled(buckets, labels))
-        mixed = here.groupBy("key", "root").agg(F.count("*").alias("n"))
-        top = mixed.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
-        few = here.join(top.select("key", F.col("m.root").alias("largest")), "key").filter("root <> largest").select(
-            "key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-        pairs = few.join(here, "key").filter("x_root <> root")
-        links, labels, _ = _extend(pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")),
-                                   links, labels, texts, opt, n_docs, heavy, scratch)
-        scratch.drop(here)
+    here = scratch.keep(_labelled(buckets, labels))
+    mixed = here.groupBy("key", "root").agg(F.count("*").alias("n"))
+    top = mixed.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
+    here_left = here.join(top.select("key", F.col("m.root").alias("largest")), "key")
+    signs = nodes.select("node", "s.bands", "s.prints").join(here_left.select("node").distinct(), "node")
+    left = scratch.keep(here_left.join(signs, "node"))
+    few = left.filter("root <> largest").select(*[F.col(c).alias(f"x_{c}") for c in ("key", "node", "root", "weight", "shared", "bands", "prints")])
+    same = F.zip_with("x_bands", "bands", lambda x, y: x == y)
+    alike = F.aggregate(F.zip_with("x_prints", "prints", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    pairs = few.join(left, (F.col("x_key") == F.col("key")) & (F.col("x_root") != F.col("root")) & _reach(
+        F.col("weight"), F.col("shared"), F.col("x_weight"), F.col("x_shared"), opt)
+        & (F.element_at("bands", F.array_position(same, True).cast("int")) == F.col("key"))  # once, at the first band they share
+        & (alike >= int(opt.estimate * opt.bands * opt.rows)))
+    pairs = pairs.select(F.col("x_node").alias("x"), "node")
+    links, labels, _ = _extend(pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")),
+                               links, labels, texts, opt, n_docs, heavy, scratch)
+    scratch.drop(here, left)
     scratch.drop(buckets, texts)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -270,6 +287,47 @@ def near_duplicates(docs: DataFrame, opt: NearDup = NearDup()) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _reach(weight, shared, other_weight, other_shared, opt: NearDup):
+    """Whether two texts can be similar enough: they share at most what each of
+    them shares with any text at all."""
+    both = F.least(shared, other_shared)
+    return both >= F.lit(opt.similarity * (1 - 1e-9)) * (weight + other_weight - both)
+
+
+def _possible(buckets: DataFrame, texts: DataFrame, opt: NearDup, n_docs: int, heavy, scratch: Scratch) -> DataFrame:
+    """The buckets with the weight of each text and the weight of its shingles
+    that another text of any bucket has too; without the texts that cannot be
+    similar enough to any text as heavy as the lightest of their bucket."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, source = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in blocks(source):
+                u, w, offsets, _ = text_weights(source[a:b], opt, n_docs, heavy)
+                yield batch_of(shingle=u.view(np.int64), node=np.repeat(node[a:b], np.diff(offsets)), weight=w)
+
+    each = texts.select("node", "text").mapInArrow(spread, "shingle long, node long, weight double")
+    per = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"))
+    alone = per.filter("n = 1").groupBy("node").agg(F.sum("weight").alias("alone"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source = batch.column(1).to_pylist()
+            for a, b in blocks(source):
+                _, w, offsets, _ = text_weights(source[a:b], opt, n_docs, heavy)
+                yield batch_of(node=batch.column(0).slice(a, b - a), weight=np.add.reduceat(w, offsets[:-1]))
+
+    weights = texts.select("node", "text").mapInArrow(weigh, "node long, weight double")
+    info = scratch.keep(weights.join(alone, "node", "left").select(
+        "node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("shared")))
+    told = scratch.keep(buckets.join(info, "node"))
+    least = told.groupBy("key").agg(F.min("weight").alias("lightest"))
+    able = F.col("shared") >= F.lit(opt.similarity * (1 - 1e-9)) * (
+        F.col("weight") + F.greatest("lightest", "shared") - F.col("shared"))
+    out = scratch.keep(told.join(least, "key").filter(able).select("key", "node", "weight", "shared"))
+    scratch.drop(buckets, told, info)
+    return out
+
+
 def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 

@@ -50,7 +50,7 @@ def _count_of(text: Column, keep: str) -> Column:
 def _classes(text: Column) -> dict[str, Column]:
     """Counts of the character classes that are cut out of a text."""
     return {"upper": _count_of(text, r"\p{Lu}"), "digits": _count_of(text, "0-9"),
-            "symbols": _count_of(text, "#*$%&|<>"), "marks": _count_of(text, ".,;:!?")}
+            "n_symbols": _count_of(text, "#*$%&|<>"), "marks": _count_of(text, ".,;:!?")}
 
 
 def _histogram(word_chars: Column, chars: Column, upper: Column, digits: Column, symbols: Column, marks: Column) -> Column:
@@ -79,15 +79,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
             F.size(F.array_distinct(g)) < F.size(g),
             F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
-        f"{P}dups": (F.size(ln) - F.size(F.array_distinct(ln))).cast("long"),
+        f"{P}n_dup_lines": (F.size(ln) - F.size(F.array_distinct(ln))).cast("long"),
         **{f"{P}{k}": v for k, v in _classes(text).items()},
     }).drop(f"{P}grams", f"{P}lines")
     s, c = F.col(f"{P}sorted"), lambda x: F.col(f"{P}{x}")
     twice = F.filter(s, lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]))
     covered = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return df.withColumns({
-        f"{P}repeat": F.size(covered).cast("long"),
-        f"{P}classes": _histogram(c("word_chars"), F.length(text).cast("long"), c("upper"), c("digits"), c("symbols"), c("marks")),
+        f"{P}n_repeat_words": F.size(covered).cast("long"),
+        f"{P}classes": _histogram(c("word_chars"), F.length(text).cast("long"), c("upper"), c("digits"), c("n_symbols"), c("marks")),
     }).drop(f"{P}sorted")
 
 
@@ -106,7 +106,7 @@ def references(docs: DataFrame, rules: QualityRules, scratch: Scratch) -> DataFr
                            *[v.alias(k) for k, v in _classes(F.col("word")).items()])
     sums = parts.groupBy(f"{P}lang").agg(
         F.sum("n").alias(f"{P}ref_words"),
-        *[F.sum(F.col("n") * F.col(k)).alias(k) for k in ("word_chars", "upper", "digits", "symbols", "marks")])
+        *[F.sum(F.col("n") * F.col(k)).alias(k) for k in ("word_chars", "upper", "digits", "n_symbols", "marks")])
     chars = per.groupBy(f"{P}lang").agg(F.sum(F.length("t").cast("long")).alias("chars"))
     rank = F.row_number().over(Window.partitionBy(f"{P}lang").orderBy(F.desc("n"), F.asc("word")))
     top = (counted.withColumn("rank", rank).filter(F.col("rank") <= rules.common_words)
@@ -114,7 +114,7 @@ def references(docs: DataFrame, rules: QualityRules, scratch: Scratch) -> DataFr
     rest = F.col(f"{P}ref_words") - F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     kept = scratch.keep(sums.join(chars, f"{P}lang").join(top, f"{P}lang").select(
         f"{P}lang", f"{P}ref_words",
-        _histogram(*[F.col(x) for x in ("word_chars", "chars", "upper", "digits", "symbols", "marks")]).alias(f"{P}ref_classes"),
+        _histogram(*[F.col(x) for x in ("word_chars", "chars", "upper", "digits", "n_symbols", "marks")]).alias(f"{P}ref_classes"),
         F.transform("top", lambda x: x["word"]).alias(f"{P}common"),
         F.concat(F.transform("top", lambda x: x["n"].cast("double")), F.array(rest.cast("double"))).alias(f"{P}ref_common")))
     scratch.drop(counted)
@@ -136,46 +136,46 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)))
 
 
-def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame | None = None) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, class_distance, word_distance, base_failed and kept; a
-    column of the same name in ``docs`` is replaced."""
-    spark = docs.sparkSession
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, rules: QualityRules, refs: DataFrame | None) -> DataFrame:
+    """``docs`` with the columns OUT, each under the prefix."""
     if refs is None:
-        refs = references(docs, rules, Scratch(spark, "quality"))
+        refs = references(docs, rules, Scratch(docs.sparkSession, "quality"))
     if refs.count() <= BROADCAST_LANGUAGES:
         refs = F.broadcast(refs)
     df = base_counts(docs).withColumn(f"{P}lang", _language()).join(refs, f"{P}lang", "left")
-    words, common = F.col(f"{P}words"), F.col(f"{P}common")
-    long_enough = F.col(f"{P}n_words") >= rules.min_words_common
+    words, common, n_words = F.col(f"{P}words"), F.col(f"{P}common"), F.col(f"{P}n_words")
+    long_enough = n_words >= rules.min_words_common
     df = df.withColumn(f"{P}hits", F.when(long_enough, F.filter(words, lambda x: F.array_contains(common, x)))).drop(f"{P}words")
     hits = F.col(f"{P}hits")
     histogram = F.concat(
         F.transform(common, lambda c: (F.size(hits) - F.size(F.array_remove(hits, c))).cast("double")),
-        F.array((F.col(f"{P}n_words") - F.size(hits)).cast("double")))
+        F.array((n_words - F.size(hits)).cast("double")))
     df = df.withColumn(f"{P}histogram", histogram).drop(f"{P}hits")
     df = df.withColumns({f"{P}{k}_share": shares(F.col(f"{P}{k}")) for k in ("classes", "ref_classes", "histogram", "ref_common")})
-    n_words, repeat = F.col(f"{P}n_words"), F.col(f"{P}repeat")
     known = F.col(f"{P}ref_words") >= rules.min_reference_words
+    failed = (n_words < rules.min_words) | (100 * F.col(f"{P}n_repeat_words") > rules.max_repeat_percent * n_words)
     df = df.withColumns({
-        "class_distance": F.when(known & (n_words >= rules.min_words_classes),
-                                 distance(F.col(f"{P}classes_share"), F.col(f"{P}ref_classes_share"))),
-        "word_distance": F.when(known & (n_words >= rules.min_words_common),
-                                distance(F.col(f"{P}histogram_share"), F.col(f"{P}ref_common_share"))),
-        "n_words": n_words, "word_chars": F.col(f"{P}word_chars"), "n_symbols": F.col(f"{P}symbols"),
-        "n_dup_lines": F.col(f"{P}dups"), "n_repeat_words": repeat,
+        f"{P}class_distance": F.when(known & (n_words >= rules.min_words_classes),
+                                     distance(F.col(f"{P}classes_share"), F.col(f"{P}ref_classes_share"))),
+        f"{P}word_distance": F.when(known & long_enough, distance(F.col(f"{P}histogram_share"), F.col(f"{P}ref_common_share"))),
+        f"{P}base_failed": failed,
     })
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
-    near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= rules.max_class_distance) & (
-        F.coalesce(F.col("word_distance"), F.lit(0.0)) <= rules.max_word_distance)
-    df = df.withColumn("kept", ~F.col("base_failed") & near)
-    return df.drop(*[c for c in df.columns if c.startswith(P)])
+    near = (F.coalesce(F.col(f"{P}class_distance"), F.lit(0.0)) <= rules.max_class_distance) & (
+        F.coalesce(F.col(f"{P}word_distance"), F.lit(0.0)) <= rules.max_word_distance)
+    return df.withColumn(f"{P}kept", ~F.col(f"{P}base_failed") & near)
+
+
+def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame | None = None) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    class_distance, word_distance, base_failed and kept; a column of the same
+    name in ``docs`` is replaced."""
+    own = [c for c in docs.columns if c not in OUT]
+    return _judged(docs, rules, refs).select(*own, *[F.col(f"{P}{c}").alias(c) for c in OUT])
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    marked = docs.withColumn(f"{P}row", F.struct(*docs.columns))
-    names = docs.columns
-    out = judge(marked.withColumnRenamed(f"{P}row", "row__kept"), rules).filter("kept")
-    return out.select(*[F.col("row__kept")[c].alias(c) for c in names])
+    return _judged(docs, rules, None).filter(f"{P}kept").select(*docs.columns)

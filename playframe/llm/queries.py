@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playframe.llm import contamination, minhash, quality, secrets
+import corpus_pipeline
+from playframe.llm import chat, contamination, html, langid, minhash, packing, quality, secrets, tokencount, warc
 from playframe.llm.common import table
 
 RUNS, CHECKS = {}, {}
@@ -48,3 +49,44 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = [number(r.kind) for r in secrets.BASE]
     return out.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(found).alias("spans"))
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op2_chat")
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.examples(turns.unionByName(two)))
+
+
+@query("op3_langid")
+def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predict_all(table(spark, folder, "documents"))
+
+
+@query("op7_tokencount")
+def op7_tokencount(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op1_html")
+def op1_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
+@query("op9_warc")
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
