@@ -22,9 +22,8 @@ def shared_root(spark: SparkSession) -> str:
         return held.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="llm-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-shared-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 class Scratch:

@@ -147,7 +147,7 @@ def fit(train: DataFrame, opt: LangId) -> Model | None:
         v = np.concatenate([vectors(texts[a:b], opt.cells) for a, b in _blocks(texts, opt.block)])
         return v[v.sum(axis=1) > 0]
 
-    def frequency(key, table: pa.Table) -> pa.Table:
+    def frequency(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         v = counted(table)
         return pa.table({"rows": [len(v)], "df": [(v > 0).sum(axis=0).astype(np.int64)]})
 
@@ -156,7 +156,7 @@ def fit(train: DataFrame, opt: LangId) -> Model | None:
         return None
     idf = np.log1p(sum(r["rows"] for r in found) / np.maximum(np.sum([r["df"] for r in found], axis=0), 1))
 
-    def cluster(key, table: pa.Table) -> pa.Table:
+    def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         v = _unit(counted(table) * idf)
         c, cosine = _cluster(v, opt.centroids, opt.rounds) if len(v) else (np.empty((0, opt.cells)), np.empty((0, 0)))
         own = cosine.argmax(axis=1) if len(v) else np.empty(0)

@@ -6,18 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 
-@pytest.fixture(scope="session")
-def shared(tmp_path_factory):
-    return str(tmp_path_factory.mktemp("shared"))
-
-
-@pytest.fixture(autouse=True)
-def shared_folder(spark, shared):
-    """The folder a cluster would name in spark.checkpoint.dir."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", shared)
-
-
 @pytest.fixture(scope="session")
 def rows(spark, sf):
     """Rows of a sample table as a list of dicts."""

@@ -6,8 +6,7 @@ from playframe.llm import html as H
 
 
 @pytest.fixture(scope="module")
-def model(spark, sf, shared):
-    spark.conf.set("spark.checkpoint.dir", shared)
+def model(spark, sf):
     return H.fit(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
