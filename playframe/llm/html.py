@@ -3,9 +3,9 @@
 A page is parsed into block-level nodes. Each node has features of its subtree
 (text, links, tags, marks), its attribute tokens and those of its ancestors, its
 depth, and its place among its siblings. A gradient-boosted classifier gives each
-node the odds of being main text. Decoding goes over the tree: a dropped node
-drops its whole subtree, and the choice that collects the highest sum of log-odds,
-weighted by text, is taken, so a kept node never lies under a dropped one.
+node the odds of being main text. Decoding goes over the tree and takes the states
+(main, mixed container, other) with the highest sum of log-odds, weighted by text,
+in which no main text lies under other text.
 
 The classifier is fitted on about ``train_pages`` pages chosen by hash. Their
 labels come from their own article or main element; each is also laid out anew
@@ -237,28 +237,48 @@ class Page:
         siblings = np.array([count.get(p, 1) for p in self.parent], dtype=float)
         same = np.array([alike.get((p, t), 1) for p, t in zip(self.parent, self.tag, strict=True)]) / siblings
         text = np.maximum(sub["text"], 1)
+        up = np.maximum(parent, 0)
+        wide = np.column_stack([np.log1p(sub["text"]), sub["links"] / text, sub["marks"] / np.maximum(sub["words"], 1), np.log1p(paragraphs)])
         return np.column_stack([
-            np.log1p(own), np.log1p(sub["text"]), sub["links"] / text, sub["marks"] / np.maximum(sub["words"], 1), np.log1p(sub["words"]),
+            wide[up], np.log1p(own), np.log1p(sub["text"]), sub["links"] / text, sub["marks"] / np.maximum(sub["words"], 1), np.log1p(sub["words"]),
             sub["text"] / np.maximum(sub["blocks"], 1) / 100, nodes / text * 10, np.log1p(paragraphs), sub["text"] / max(seen, 1), before,
             depth, np.log1p(siblings), place / np.maximum(siblings, 1), same, tag, mask, above, above_tag])
 
-    def decode(self, odds: np.ndarray) -> str:
-        """The text of the kept runs, one line each."""
-        n = len(self.tag)
-        own = np.zeros(n)
+    def scores(self, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds times the logarithm of the text: of a node's own, or of a
+        container's whole subtree. Also each node's own characters."""
+        own = np.zeros(len(self.tag))
         for node, text, _ in self.runs:
             own[node] += len(text)
-        score = np.clip(odds, -6, 6) * (0.5 + np.log1p(own))
-        keep, drop = score.copy(), -score
+        whole = own.copy()
+        for i in range(len(own) - 1, 0, -1):
+            whole[self.parent[i]] += whole[i]
+        return np.clip(odds, -6, 6) * np.log1p(np.where(own > 0, own, whole)), own
+
+    def decode(self, odds: np.ndarray, leave: float = 24.0) -> str:
+        """The text of the kept runs, one line each. A node is main text, or a
+        mixed container, or other text. Under a container anything may be; under
+        main text is main text, or other text at a price; under other text is
+        other text alone. The states with the highest sum are taken."""
+        n = len(self.tag)
+        score, own = self.scores(odds)
+        main, other = score.copy(), -score
+        mixed = np.where(own > 0, -1.0, -0.5) * np.abs(score)
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
-            keep[p] += max(keep[i], drop[i])
-            drop[p] += drop[i]
-        kept = np.zeros(n, dtype=bool)
-        kept[0] = True  # the page itself is no choice
+            main[p] += max(main[i], other[i] - leave)
+            mixed[p] += max(main[i], mixed[i], other[i])
+            other[p] += other[i]
+        state = ["mixed"] * n  # the page itself is a container
         for i in range(1, n):
-            kept[i] = kept[self.parent[i]] and keep[i] >= drop[i]
-        return "\n".join(text for node, text, _ in self.runs if kept[node])
+            above = state[self.parent[i]]
+            if above == "mixed":
+                state[i] = max((main[i], "main"), (mixed[i], "mixed"), (other[i], "other"))[1]
+            elif above == "main":
+                state[i] = "main" if main[i] >= other[i] - leave else "other"
+            else:
+                state[i] = "other"
+        return "\n".join(text for node, text, _ in self.runs if state[node] == "main")
 
     def labels(self) -> np.ndarray | None:
         """1 where at least half of a node's text is main text, -1 without text;
@@ -303,7 +323,7 @@ def layouts(page: Page, seed: int, n: int) -> list[str]:
         return "".join(f'<li><a href="/x">{words(1, 4)}</a></li>' for _ in range(k))
 
     def prose(k: int) -> str:
-        return "".join(f"<p>{' '.join(rng.choice(pool) for _ in range(rng.randint(1, 4)))}</p>" for _ in range(k))
+        return "".join(f"<p>{' '.join(rng.choice(pool) for _ in range(rng.randint(1, 6)))}</p>" for _ in range(k))
 
     def said(options: str) -> str:
         name = rng.choice(options.split())
@@ -329,10 +349,18 @@ def layouts(page: Page, seed: int, n: int) -> list[str]:
             f'<div {said("footer copyright legal")} data-gold="0">{words(3, 15)}</div>',
         ]
 
-    out = []
-    for _ in range(n):
-        body = [f"<{t if t in ('p', 'li', 'blockquote', 'pre') or t[0] == 'h' and t[1:].isdigit() else 'p'}>{x}"
-                f"</{t if t in ('p', 'li', 'blockquote', 'pre') or t[0] == 'h' and t[1:].isdigit() else 'p'}>" for t, x in main]
+    whole, out = main, []
+    for k in range(n):
+        # every other frame has short blocks, so that length alone tells little
+        main = [(t, x if rng.random() < 0.3 else " ".join(x.split()[: rng.randint(1, 25)])) for t, x in whole] if k % 2 == 0 else whole
+        if rng.random() < 0.5:
+            main = main[: rng.randint(1, 8)]
+        body = []
+        for t, x in main:
+            t = t if t in ("p", "li", "blockquote", "pre") or t[0] == "h" and t[1:].isdigit() else "p"
+            if rng.random() < 0.3:
+                t = rng.choice(("h2", "h3", "blockquote", "pre", "div", "li", "dd", "td", "figcaption"))
+            body.append(f"<{t}>{x}</{t}>")
         for x in rng.sample(other(), rng.randint(0, 3)):
             body.insert(rng.randint(0, len(body)), x)
         attr = rng.choice(("", said("content entry-content post story article-text main")))
@@ -417,8 +445,10 @@ def fit(pages: DataFrame, opt: Extract = Extract()) -> Trees | None:
     made = scratch.keep(sample.mapInArrow(label, "features array<double>, label double"))
     if made.select("label").distinct().count() < 2:
         return None
-    made = made.coalesce(2).select(array_to_vector("features").alias("features"), "label").cache()
-    model = GBTClassifier(maxIter=opt.trees, maxDepth=opt.depth, stepSize=0.2, seed=7, cacheNodeIds=False).fit(made)
+    share = made.agg(F.avg("label")).first()[0]
+    weight = F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share))  # both classes count alike
+    made = made.coalesce(2).select(array_to_vector("features").alias("features"), "label", weight.alias("weight")).cache()
+    model = GBTClassifier(maxIter=opt.trees, maxDepth=opt.depth, stepSize=0.3, seed=7, weightCol="weight").fit(made)
     made.unpersist()
     return Trees([_flat(t._java_obj.rootNode(), w) for t, w in zip(model.trees, model.treeWeights, strict=True)])
 
