@@ -98,18 +98,17 @@ def isolated_cells(spark, folder):
     return d.select("map_id", rounded(grids.isolated_share(F.col("cells"), N_ROWS, N_COLS)).alias("patchiness"))
 
 
-LABELS = ["A-F", "A-O", "N-F", "N-O", "R-F", "R-O"]
 
 
 @catalog.query("map_correlation", f"""
-WITH {CELLS}, s AS (SELECT side || '-' || state AS label, row, col, sum(amount) AS v FROM cell WHERE row % 2 = 0 OR side <> 'A' GROUP BY 1, 2, 3),
+WITH {CELLS}, s AS (SELECT side || '-' || state AS label, row, col, sum(amount) AS v FROM cell GROUP BY 1, 2, 3),
 spine AS (SELECT i // 50 AS row, i % 50 AS col FROM (SELECT unnest(generate_series(0, 549)) AS i)),
 d AS (SELECT l.label, p.row, p.col, coalesce(s.v, 0) AS v FROM (SELECT DISTINCT label FROM s) l CROSS JOIN spine p LEFT JOIN s ON s.label = l.label AND s.row = p.row AND s.col = p.col)
 SELECT a.label AS label_a, b.label AS label_b, {r('corr(a.v, b.v)', 'corr')} FROM d a JOIN d b ON a.row = b.row AND a.col = b.col GROUP BY 1, 2""")
 def map_correlation(spark, folder):
-    c = tables.cells(spark, folder).filter((F.col("row") % 2 == 0) | (F.col("side") != "A"))
+    c = tables.cells(spark, folder)
     c = c.select(F.concat_ws("-", "side", "state").alias("label"), (F.col("row") * N_COLS + F.col("col")).alias("cell"), "amount")
-    m = grids.label_correlation(c, "label", "amount", N_ROWS * N_COLS, LABELS)
+    m = grids.label_correlation(c, "label", "amount", N_ROWS * N_COLS)
     return m.withColumn("corr", rounded("corr"))
 
 

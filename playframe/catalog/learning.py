@@ -187,12 +187,12 @@ def cluster_assignments(spark, folder):
 
 
 @catalog.query("label_silhouette", f"""
-WITH {VEC}, d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.f, b.f)) AS s, count(*) AS n FROM vec a, vec b GROUP BY 1, 2, 3),
+WITH {VEC}, d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.f, b.f) ** 2) AS s, count(*) AS n FROM vec a, vec b GROUP BY 1, 2, 3),
 i AS (SELECT id, s / (n - 1) AS inside FROM d WHERE label = other), o AS (SELECT id, min(s / n) AS outside FROM d WHERE label <> other GROUP BY 1)
 SELECT round(avg((outside - inside) / greatest(outside, inside)), 6) + 0.0 AS silhouette FROM i JOIN o USING (id)""")
 def label_silhouette(spark, folder):
-    """Silhouette of the given labels on the sample of the operator."""
-    s = clusters.silhouette(tables.vectors(spark, folder), "label", "features", ["id"])
+    """Silhouette of the given labels over all rows."""
+    s = clusters.silhouette(tables.vectors(spark, folder), "label", "features")
     return spark.createDataFrame([(s,)], "silhouette double").select(rounded("silhouette").alias("silhouette"))
 
 
@@ -237,11 +237,15 @@ def filled_maps(spark, folder):
     return f.select("id", F.posexplode("map").alias("i", "v")).withColumn("v", rounded("v"))
 
 
-@catalog.query("score_table", """
-SELECT o_orderstatus AS target, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 4) + 0.0 AS urgent, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW'), 4) + 0.0 AS low
-FROM orders GROUP BY 1""")
+_PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
+@catalog.query("score_table", "SELECT o_orderstatus AS target, " + ", ".join(
+    f"round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '{k}'), 4) + 0.0 AS {v}" for k, v in _PRIORITIES.items()) + " FROM orders GROUP BY 1")
 def score_table(spark, folder):
     o = tables.table(spark, folder, "orders").groupBy(F.col("o_orderstatus").alias("target"), "o_orderpriority").agg(rounded(F.avg("o_totalprice"), 4).alias("r2"))
-    named = o.select("target", F.lit("m").alias("model"), F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_orderpriority") == "5-LOW", "low").otherwise("rest").alias("cat"), "r2")
-    t = regress.score_table(named.filter(F.col("cat") != "rest"))
-    return t.select("target", F.col("urgent m").alias("urgent"), F.col("low m").alias("low"))
+    cat = F.lit(None).cast("string")
+    for k, v in _PRIORITIES.items():
+        cat = F.when(F.col("o_orderpriority") == k, v).otherwise(cat)
+    t = regress.score_table(o.select("target", F.lit("m").alias("model"), cat.alias("cat"), "r2"))
+    return t.select("target", *[F.col(f"{v} m").alias(v) for v in _PRIORITIES.values()])

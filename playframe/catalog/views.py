@@ -27,27 +27,28 @@ raw_pl AS (
 pl AS (
   SELECT frame // 500 AS match_id, frame % 500 AS frame_idx, 1 + (frame % 500) // 250 AS period,
          ((frame % 500) % 250)::DOUBLE AS elapsed,
-         CASE WHEN slot < 17 THEN 'home' ELSE 'away' END AS side, slot % 17 AS player_rank,
+         CASE WHEN slot < 18 THEN 'home' ELSE 'away' END AS side, slot % 18 AS player_rank,
          CASE WHEN code % 97 <> 0 THEN (code * 37 % 1051) / 10.0::DOUBLE END AS x,
          CASE WHEN code % 97 <> 0 THEN (code * 53 % 681) / 10.0::DOUBLE END AS y,
          code % 10 <> 0 AS reliable
-  FROM raw_pl WHERE slot < 34)"""
+  FROM raw_pl)"""
 
 BALL = """
+raw_ball AS (SELECT o_orderkey // 5 AS frame, sum(o_custkey)::BIGINT AS code FROM orders GROUP BY 1),
 ball AS (
-  SELECT (o_orderkey // 5) // 500 AS match_id, (o_orderkey // 5) % 500 AS frame_idx,
-         1 + ((o_orderkey // 5) % 500) // 250 AS period,
-         (((o_orderkey // 5) % 500) % 250)::DOUBLE AS elapsed,
-         CASE WHEN o_custkey % 11 <> 0 THEN (o_custkey * 37 % 1051) / 10.0::DOUBLE END AS ball_x,
-         CASE WHEN o_custkey % 11 <> 0 THEN (o_custkey * 53 % 681) / 10.0::DOUBLE END AS ball_y
-  FROM orders WHERE o_orderkey % 5 = 0)"""
+  SELECT frame // 500 AS match_id, frame % 500 AS frame_idx, 1 + (frame % 500) // 250 AS period,
+         ((frame % 500) % 250)::DOUBLE AS elapsed,
+         CASE WHEN code % 11 <> 0 THEN (code * 37 % 1051) / 10.0::DOUBLE END AS ball_x,
+         CASE WHEN code % 11 <> 0 THEN (code * 53 % 681) / 10.0::DOUBLE END AS ball_y
+  FROM raw_ball)"""
 
 SPANS = """
+raw_spans AS (SELECT o_orderkey // 50 AS poss_id, sum(o_custkey)::BIGINT AS code FROM orders GROUP BY 1),
 spans AS (
-  SELECT (o_orderkey // 5) // 500 AS match_id, o_orderkey AS poss_id, (o_orderkey // 5) % 500 AS start_frame,
-         (o_orderkey // 5) % 500 + 3 + o_custkey % 15 AS end_frame,
-         CASE WHEN o_custkey % 2 = 0 THEN 'home' ELSE 'away' END AS team
-  FROM orders WHERE o_orderkey % 5 = 0 AND o_orderpriority = '1-URGENT')"""
+  SELECT poss_id // 50 AS match_id, poss_id, (poss_id % 50) * 10 + code % 5 AS start_frame,
+         (poss_id % 50) * 10 + code % 5 + 3 + code % 15 AS end_frame,
+         CASE WHEN code % 2 = 0 THEN 'home' ELSE 'away' END AS team
+  FROM raw_spans)"""
 
 OWNED = BALL + "," + SPANS + """,
 own AS (

@@ -97,8 +97,8 @@ class EngineConfig:
 
     @classmethod
     def possession_preset(cls, **kw) -> "EngineConfig":
-        """Flat control maps, 8-pass windows, at most 64 matches."""
-        return replace(cls(num_matches=64), **kw)
+        """Flat control maps, 8-pass windows, all matches."""
+        return replace(cls(), **kw)
 
     @classmethod
     def clustering_preset(cls, **kw) -> "EngineConfig":

@@ -34,17 +34,20 @@ def series_stats(name: str, value: Column | str, order: Column | str,
 def weighted_mean_std(value: Column | str, weight: Column | str) -> tuple[Column, Column]:
     """Weighted mean and population deviation in one pass.
 
-    The second moment is taken from three sums, so that the map side can
-    combine them; rounding below zero is clipped.
+    They are put together from plain means and co-moments, which Spark merges
+    about their means: so values far from zero keep their deviation, and the map
+    side can combine. With m the plain mean, sum(w (v - m)) / n is covar(w, v) and
+    sum(w (v - m)^2) / n is covar(w v, v) - m covar(w, v).
     """
-    v, w = col(value), col(weight)
-    w = F.when(v.isNotNull() & ~F.isnan(w) & (w > 0), w).otherwise(F.lit(0.0))
-    sw, swv, swvv = F.sum(w), F.sum(w * v), F.sum(w * v * v)
-    mean = swv / sw
-    var = F.greatest(swvv / sw - mean * mean, F.lit(0.0))
+    v = col(value).cast("double")
+    w = col(weight)
+    w = F.when(v.isNotNull(), F.when(~F.isnan(w) & (w > 0), w).otherwise(F.lit(0.0)))
+    plain, share, shift = F.avg(v), F.avg(w), F.covar_pop(w, v)
+    mean = plain + shift / share
+    var = F.greatest((F.covar_pop(w * v, v) - plain * shift) / share - (shift / share) * (shift / share), F.lit(0.0))
     return (
-        F.when(sw > 0, mean).otherwise(F.avg(v)),
-        F.when(sw > 0, F.sqrt(var)).otherwise(F.stddev_pop(v)),
+        F.when(share > 0, mean).otherwise(plain),
+        F.when(share > 0, F.sqrt(var)).otherwise(F.stddev_pop(v)),
     )
 
 

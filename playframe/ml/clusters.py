@@ -54,10 +54,18 @@ def hash_order(keys: list[str], seed: int) -> Column:
     return F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit(seed))
 
 
-def silhouette(df: DataFrame, label: str, features: str = "features", keys: list[str] | None = None,
-               sample: int = 5000, seed: int = 0) -> float:
-    """Mean silhouette with Euclidean distances over a sample of at most
-    ``sample`` rows, which is what the score is defined on.
+def silhouette(df: DataFrame, label: str, features: str = "features") -> float:
+    """Mean silhouette of all rows with squared Euclidean distances, which
+    follow from sums per cluster: no row is compared with another."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    v = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("__v"), F.col(label).cast("double").alias("__c"))
+    return float(ClusteringEvaluator(featuresCol="__v", predictionCol="__c", metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(v))
+
+
+def sampled_silhouette(df: DataFrame, label: str, sample: int, features: str = "features", keys: list[str] | None = None, seed: int = 0) -> float:
+    """Mean silhouette with Euclidean distances over ``sample`` rows, for those
+    who ask for it.
 
     The sampled rows are the points compared with each other. Their number is
     fixed, so they travel to every task; the distances are made in the tasks.
@@ -98,18 +106,25 @@ def silhouette(df: DataFrame, label: str, features: str = "features", keys: list
     return float(index.select(F.avg(score("id"))).first()[0])
 
 
+def below_share(ids: DataFrame, ticket: Column, share: float) -> Column:
+    """Whether a ticket lies in the lower ``share`` of all 64-bit values; the
+    smallest ticket always does and the largest never, if there are two."""
+    b = ids.agg(F.min(ticket).alias("lo"), F.max(ticket).alias("hi")).first()
+    limit = int((share - 0.5) * 2.0**64)
+    if b.lo is not None:
+        limit = min(max(limit, b.lo + 1), max(b.hi, b.lo + 1))
+    return ticket < F.lit(max(min(limit, 2**63 - 1), -(2**63)))
+
+
 def split_half_stability(df: DataFrame, k: int, repeats: int, group: str = "match_id", vector: str = "vector",
                          n_init: int = 3, tol: float = 1e-4) -> tuple[float, float]:
     """Mean and deviation of the agreement of models fitted on two disjoint
     halves of the matches and applied to all rows. Halves are split by hash
     order of the match ids."""
-    from pyspark.sql import Window
-
     ids = df.select(group).distinct()
     values = []
     for r in range(repeats):
-        order = Window.orderBy(hash_order([group], r))  # match ids only
-        half = ids.withColumn("__half", F.percent_rank().over(order) < 0.5)
+        half = ids.withColumn("__half", below_share(ids, hash_order([group], r), 0.5))
         split = df.join(half, group).select("__half", vector).persist()
         a = best_kmeans(split.filter("__half"), k, n_init, r, vector, tol)
         b = best_kmeans(split.filter("NOT __half"), k, n_init, r + 100, vector, tol)
@@ -120,7 +135,7 @@ def split_half_stability(df: DataFrame, k: int, repeats: int, group: str = "matc
 
 
 def sweep(df: DataFrame, ks: list[int], features: str = "features", keys: list[str] | None = None, n_init: int = 10,
-          sample: int = 5000, repeats: int = 5, group: str = "match_id") -> tuple[DataFrame, DataFrame]:
+          sample: int | None = None, repeats: int = 5, group: str = "match_id") -> tuple[DataFrame, DataFrame]:
     """Cluster for every k. Returns the rows with ``cluster_k*`` columns and
     the table of silhouette, inertia and stability."""
     base = with_vector(df, features).persist()  # read by every fit
@@ -129,11 +144,13 @@ def sweep(df: DataFrame, ks: list[int], features: str = "features", keys: list[s
     for k in ks:
         model = best_kmeans(base, k, n_init, tol=tol)
         labelled = model.transform(labelled).withColumnRenamed("cluster", f"cluster_k{k}")
-        s = silhouette(labelled, f"cluster_k{k}", features, keys, sample)
+        name = f"cluster_k{k}"
+        s = sampled_silhouette(labelled, name, sample, features, keys) if sample else silhouette(labelled, name, features)
         m, d = split_half_stability(base, k, repeats, group, tol=tol) if repeats else (None, None)
         table.append((k, s, float(model.summary.trainingCost), m, d))
     summary = df.sparkSession.createDataFrame(
         table, "k int, silhouette double, inertia double, stability_ari_mean double, stability_ari_std double")
+    base.unpersist()
     return labelled.drop("vector"), summary
 
 

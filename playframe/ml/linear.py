@@ -1,50 +1,23 @@
-"""Principal components from one distributed pass over the vectors.
+"""Principal components from Spark's distributed row matrix.
 
-Every task adds up the products of its own rows, so a single d x d matrix per
-task leaves the executors. The eigenproblem of that matrix is the only driver
-work, and its size does not grow with the rows. Widths past ``MAX_WIDTH`` go to
-Spark's distributed singular value decomposition.
+Up to ``MAX_WIDTH`` columns the products of the centred vectors are added up in a
+tree of tasks, and only their one d x d sum reaches the driver, where the
+eigenproblem is solved; its size does not grow with the rows. Wider vectors go to
+the distributed singular value decomposition. Both give every component that is
+asked for, and all of them by default.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MAX_WIDTH = 2048
 
 
-def gram(df: DataFrame, vector: str, width: int) -> DataFrame:
-    """Rows (i, products) of X'X, plus row -1 with the column sums and row -2
-    with the row count in its first place."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sums, n = np.zeros((width, width)), np.zeros(width), 0
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
-                total += x.T @ x
-                sums += x.sum(axis=0)
-                n += len(x)
-        if n:
-            count = np.zeros(width)
-            count[0] = n
-            rows = np.vstack([count, sums, total])
-            offsets = np.arange(0, rows.size + 1, width, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(-2, width), pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))], names=["i", "products"])
-
-    partial = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "i int, products array<double>")
-    cells = partial.select("i", F.posexplode("products").alias("j", "p")).groupBy("i", "j").agg(F.sum("p").alias("p"))
-    packed = cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "p"))).alias("s"))
-    return packed.select("i", F.transform("s", lambda q: q["p"]).alias("products"))
-
-
 @dataclass
 class Components:
     """Fitted components: rows of ``loadings`` are unit vectors whose largest
@@ -59,8 +32,11 @@ class Components:
         return Components(self.mean, self.loadings[:k], self.variance[:k], self.ratio[:k])
 
     def count_for(self, share: float) -> int:
-        """Fewest components whose shares add up to ``share``."""
+        """Fewest components whose shares add up to ``share``; an error where
+        the fitted ones do not reach it."""
         cum = np.cumsum(self.ratio)
+        if cum[-1] < share - 1e-9:
+            raise ValueError(f"{len(cum)} components hold {cum[-1]:.6f} of the variance, less than {share}: fit more")
         return min(int(np.searchsorted(cum, share)) + 1, len(cum))
 
     def scores(self, df: DataFrame, vector: str, out: str) -> DataFrame:
@@ -110,32 +86,26 @@ def _signed(loadings: np.ndarray) -> np.ndarray:
 
 
 def fit_components(df: DataFrame, vector: str, k: int | None = None) -> Components:
-    """Principal components with variances over n - 1."""
-    width = len(df.select(vector).first()[0])
-    if width > MAX_WIDTH:
-        return _fit_wide(df, vector, width, k or 100)
-    rows = {r.i: np.array(r.products) for r in gram(df, vector, width).collect()}
-    n, mean = rows[-2][0], rows[-1] / rows[-2][0]
-    centred = np.stack([rows[i] for i in range(width)]) - n * np.outer(mean, mean)
-    values, vectors = np.linalg.eigh(centred / (n - 1))
-    order = np.argsort(values)[::-1]
-    values = np.clip(values[order], 0, None)
-    fitted = Components(mean, _signed(vectors[:, order].T), values, values / values.sum())
-    return fitted.keep(min(width, int(n))) if k is None else fitted.keep(k)
-
-
-def _fit_wide(df: DataFrame, vector: str, width: int, k: int) -> Components:
-    """Components of wide vectors by Spark's distributed decomposition."""
+    """Principal components with variances over n - 1: the first ``k``, or all."""
+    from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
-    from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     vec = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     stats = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first().s
-    mean, n = stats.mean.toArray(), stats["count"]
-    centred = vec.rdd.map(lambda row: Vectors.dense(row.v.toArray() - mean))
-    svd = RowMatrix(centred, int(n), width).computeSVD(min(k, width, int(n) - 1), computeU=False)
-    variance = svd.s.toArray() ** 2 / (n - 1)
-    return Components(mean, _signed(svd.V.toArray().T), variance, variance / stats.variance.toArray().sum())
-
+    mean, n = stats.mean.toArray(), int(stats["count"])
+    width = len(mean)
+    k = min(k or width, width, n)
+    scaler = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(vec)
+    centred = RowMatrix(MLUtils.convertVectorColumnsFromML(scaler.transform(vec).select("c"), "c"), n, width)
+    total = float(stats.variance.toArray().sum())
+    if width <= MAX_WIDTH:
+        values, vectors = np.linalg.eigh(centred.computeGramianMatrix().toArray() / (n - 1))
+        order = np.argsort(values)[::-1][:k]
+        values, loadings = np.clip(values[order], 0, None), vectors[:, order].T
+    else:
+        svd = centred.computeSVD(min(k, n - 1), computeU=False)
+        values, loadings = svd.s.toArray() ** 2 / (n - 1), svd.V.toArray().T
+    return Components(mean, _signed(loadings), values, values / total)

@@ -26,13 +26,12 @@ class Boosting:
 
 
 def group_split(df: DataFrame, group: str, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows split by whole groups: the groups first in hash
-    order, up to the share of groups rounded up, are the test set."""
-    from pyspark.sql import Window
+    """Train and test rows split by whole groups: those whose hash lies in the
+    lower ``share`` of all values are the test set, one group at least."""
+    from playframe.ml.clusters import below_share
 
     ids = df.select(group).distinct()
-    ranked = ids.withColumn("__r", F.row_number().over(Window.orderBy(F.xxhash64(F.col(group).cast("string"), F.lit(seed)), group)))
-    tagged = ranked.withColumn("__test", F.col("__r") <= F.ceil(F.lit(share) * F.lit(float(ids.count())))).drop("__r")
+    tagged = ids.withColumn("__test", below_share(ids, F.xxhash64(F.col(group).cast("string"), F.lit(seed)), share))
     j = df.join(tagged, group)
     return j.filter("NOT __test").drop("__test"), j.filter("__test").drop("__test")
 
@@ -80,7 +79,8 @@ def map_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def predict_map(train: DataFrame, test: DataFrame, vector: str, maps: str, n_components: int, cfg: Boosting, threads: int = 6,
                 out: str = "predicted") -> DataFrame:
     """Predict maps through their principal scores, one booster per component.
-    A component whose fit fails falls back to its training mean."""
+    A component whose fit fails falls back to its training mean; the column
+    ``{out}_errors`` names each with its error, and is null where all fitted."""
     from playframe.ml.linear import fit_components
 
     comps = fit_components(train, maps, n_components)
@@ -90,12 +90,13 @@ def predict_map(train: DataFrame, test: DataFrame, vector: str, maps: str, n_com
 
     def one(i: int):
         try:
-            return fit_booster(wide, f"__pc{i}", vector, cfg)
-        except Exception:  # noqa: BLE001 - the fallback is the training mean
-            return None
+            return fit_booster(wide, f"__pc{i}", vector, cfg), None
+        except Exception as ex:  # noqa: BLE001 - reported in the result
+            return None, f"{i}: {type(ex).__name__}: {ex}"
 
     with ThreadPoolExecutor(threads) as pool:
-        models = list(pool.map(one, range(k)))
+        fitted = list(pool.map(one, range(k)))
+    models, errors = [m for m, _ in fitted], [e for _, e in fitted if e]
     means = wide.agg(*[F.avg(f"__pc{i}").alias(f"m{i}") for i in range(k)]).first()
     out_df = test
     for i, m in enumerate(models):
@@ -105,7 +106,8 @@ def predict_map(train: DataFrame, test: DataFrame, vector: str, maps: str, n_com
             out_df = m.setPredictionCol(f"__p{i}").transform(out_df)
     wide.unpersist()
     packed = out_df.withColumn("__s", F.array(*[F.col(f"__p{i}") for i in range(k)])).drop(*[f"__p{i}" for i in range(k)])
-    return comps.restore(packed, "__s", out).drop("__s")
+    told = F.lit("\n".join(errors)) if errors else F.lit(None).cast("string")
+    return comps.restore(packed, "__s", out).drop("__s").withColumn(f"{out}_errors", told)
 
 
 def predict_scalars(train: DataFrame, test: DataFrame, targets: list[str], feature_sets: dict[str, str], cfg: Boosting, threads: int = 6) -> DataFrame:
@@ -119,7 +121,7 @@ def predict_scalars(train: DataFrame, test: DataFrame, targets: list[str], featu
             n_train = train.filter(F.col(target).isNotNull()).count()
             return target, "boosted", name, n_train, s.n, s.r2, s.rmse, s.mae, None
         except Exception as ex:  # noqa: BLE001 - reported in the result
-            return target, "boosted", name, None, None, None, None, None, f"{type(ex).__name__}: {ex}"[:500]
+            return target, "boosted", name, None, None, None, None, None, f"{type(ex).__name__}: {ex}"
 
     jobs = [(t, n) for t in targets for n in feature_sets]
     with ThreadPoolExecutor(threads) as pool:

@@ -168,36 +168,34 @@ def isolated_share(cells: Column, n_rows: int, n_cols: int) -> Column:
     return ratio(kept, mass)
 
 
-def label_correlation(cells: DataFrame, label: str, value: str, n_cells: int, labels: list[str],
+def label_correlation(cells: DataFrame, label: str, value: str, n_cells: int, labels: list[str] | None = None,
                       cell: str = "cell") -> DataFrame:
     """Pearson correlation of every pair of labelled maps over all cells, zero
-    cells included.
+    cells included: one row per pair of the labels in the data, or of ``labels``
+    where they are given.
 
-    ``labels`` is a fixed vocabulary. Every cell becomes one vector over it and
-    the products are added up per task, so the pairs are never rows before the
-    last step, where there are as many as the vocabulary has.
+    Every cell becomes one centred vector over the labels; their products are
+    added up in a tree of tasks, so only a labels x labels sum leaves them.
     """
-    from playframe.ml.linear import gram
-
-    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)).cast("int")
-    summed = cells.withColumn("__l", place).filter(F.col("__l") > 0).groupBy(cell, "__l").agg(
-        F.sum(F.col(value).cast("double")).alias("__v"))
-    packed = summed.groupBy(cell).agg(F.map_from_entries(F.collect_list(F.struct("__l", "__v"))).alias("__m"))
-    spine = F.sequence(F.lit(1), F.lit(len(labels)))
-    vectors = packed.select(F.transform(spine, lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0))).alias("v"))
-    rows = gram(vectors, "v", len(labels))
-
-    pairs = rows.filter(F.col("i") >= 0).select("i", F.posexplode("products").alias("j", "dot"))
-    sums = rows.filter(F.col("i") == -1).select(F.posexplode("products").alias("k", "s"))
-    squares = pairs.filter(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.col("dot").alias("ss"))
-    one = sums.join(squares, "k")
-    left = one.select(F.col("k").alias("i"), F.col("s").alias("si"), F.col("ss").alias("ssi"))
-    right = one.select(F.col("k").alias("j"), F.col("s").alias("sj"), F.col("ss").alias("ssj"))
-    n = F.lit(float(n_cells))
-    top = F.col("dot") - F.col("si") * F.col("sj") / n
-    below = F.sqrt((F.col("ssi") - F.col("si") ** 2 / n) * (F.col("ssj") - F.col("sj") ** 2 / n))
-    names = F.array(*[F.lit(x) for x in labels])
-    return pairs.join(left, "i").join(right, "j").select(
-        F.get(names, F.col("i")).alias("label_a"), F.get(names, F.col("j")).alias("label_b"),
-        ratio(top, below).alias("corr"),
-    )
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    summed = cells.filter(F.col(label).isNotNull()).groupBy(cell, label).agg(F.sum(F.col(value).cast("double")).alias("__v"))
+    spark, schema = cells.sparkSession, "label_a string, label_b string, corr double"
+    sums = {r[0]: r[1] for r in summed.groupBy(label).agg(F.sum("__v")).orderBy(label).collect()}
+    labels = list(sums) if labels is None else labels
+    if not labels:
+        return spark.createDataFrame([], schema)
+    mean = np.array([sums.get(x) or 0.0 for x in labels]) / n_cells
+    packed = summed.groupBy(cell).agg(F.map_from_entries(F.collect_list(F.struct(label, "__v"))).alias("__m"))
+    centred = packed.select(array_to_vector(F.array(*[
+        F.coalesce(F.try_element_at("__m", F.lit(x)), F.lit(0.0)) - F.lit(float(m)) for x, m in zip(labels, mean, strict=True)])).alias("v"))
+    n = centred.count()
+    dots = (n_cells - n) * np.outer(mean, mean)
+    if n:
+        dots += RowMatrix(MLUtils.convertVectorColumnsFromML(centred, "v")).computeGramianMatrix().toArray()
+    size = np.sqrt(np.clip(np.diag(dots), 0, None))
+    rows = [(a, b, float(dots[i, j] / (size[i] * size[j])) if size[i] and size[j] else None)
+            for i, a in enumerate(labels) for j, b in enumerate(labels)]
+    return spark.createDataFrame(rows, schema)

@@ -13,13 +13,14 @@ def displacement_stats(before: Column, after: Column, key: str) -> Column:
     """Displacements of the players present in both snapshots, as a struct.
 
     Snapshots hold one squad, so matching inside the row is cheaper than two
-    explodes and a join.
+    explodes and a join. Of entries that repeat a key the last counts, in both.
     """
     def moved(p: Column) -> Column:
         twin = F.element_at(F.filter(after, lambda q: q[key] == p[key]), -1)
         return F.hypot(twin["x"] - p["x"], twin["y"] - p["y"])
 
-    paired = F.filter(before, lambda p: F.exists(after, lambda q: q[key] == p[key]))
+    last = F.filter(before, lambda p, i: ~F.exists(F.slice(before, i + 2, F.size(before)), lambda q: q[key] == p[key]))
+    paired = F.filter(last, lambda p: F.exists(after, lambda q: q[key] == p[key]))
     d = F.sort_array(F.transform(paired, moved))
 
     def describe(s: Column) -> Column:

@@ -73,7 +73,8 @@ def _typed(value: Column, kind: str) -> Column:
         return F.when(F.lower(value) == "true", True).when(F.lower(value) == "false", False)
     number = value.try_cast("double")
     number = F.when(~F.isnan(number), number)
-    return number if kind == REAL else number.cast(kind)
+    # whole numbers directly, so that ids past 2^53 stay apart; "12.0" by way of a double
+    return number if kind == REAL else F.coalesce(value.try_cast(kind), number.try_cast(kind))
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:

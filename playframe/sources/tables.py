@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 LENGTH, WIDTH = 105.0, 68.0
 FRAMES_PER_MATCH = 500
 FRAMES_PER_PERIOD = 250
-SLOTS_PER_SIDE = 17
+SPAN_FRAMES = 10
+SLOTS_PER_SIDE = 18
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,7 +64,7 @@ def player_points(spark: SparkSession, folder: str) -> DataFrame:
         ((F.col("l_orderkey") % 5) * 7 + F.col("l_linenumber") - 1).cast("int").alias("slot"),
         (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("code"),
     )
-    best = rows.filter(F.col("slot") < 2 * SLOTS_PER_SIDE).groupBy("frame", "slot").agg(F.max("code").alias("code"))
+    best = rows.groupBy("frame", "slot").agg(F.max("code").alias("code"))
     known = F.col("code") % 97 != 0
     frame_in_match = F.col("frame") % FRAMES_PER_MATCH
     return best.select(
@@ -79,32 +80,30 @@ def player_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ball_track(spark: SparkSession, folder: str) -> DataFrame:
-    """Ball and owner per frame, from the first order of every group of five.
-    Every 11th position is missing."""
-    o = table(spark, folder, "orders").filter(F.col("o_orderkey") % 5 == 0)
-    frame = F.expr("o_orderkey div 5")
-    in_match = frame % FRAMES_PER_MATCH
-    known = F.col("o_custkey") % 11 != 0
+    """Ball per frame, from the customers of all five orders of a group. Every
+    11th position is missing."""
+    o = table(spark, folder, "orders").groupBy(F.expr("o_orderkey div 5").alias("frame")).agg(F.sum("o_custkey").alias("code"))
+    in_match, code = F.col("frame") % FRAMES_PER_MATCH, F.col("code")
+    known = code % 11 != 0
     return o.select(
-        F.expr(f"(o_orderkey div 5) div {FRAMES_PER_MATCH}").alias("match_id"), in_match.alias("frame_idx"),
+        F.expr(f"frame div {FRAMES_PER_MATCH}").alias("match_id"), in_match.alias("frame_idx"),
         (F.lit(1) + F.floor(in_match / FRAMES_PER_PERIOD)).cast("int").alias("period"),
         (in_match % FRAMES_PER_PERIOD).cast("double").alias("elapsed"),
-        F.when(known, (F.col("o_custkey") * 37 % 1051) / 10.0).alias("ball_x"),
-        F.when(known, (F.col("o_custkey") * 53 % 681) / 10.0).alias("ball_y"),
-        F.when(known, (F.col("o_custkey") % 7) / 2.0).alias("ball_z"),
+        F.when(known, (code * 37 % 1051) / 10.0).alias("ball_x"),
+        F.when(known, (code * 53 % 681) / 10.0).alias("ball_y"),
+        F.when(known, (code % 7) / 2.0).alias("ball_z"),
     )
 
 
 def possession_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Frame intervals that overlap now and then: one starts at every urgent
-    first order and lasts 3 to 17 frames."""
-    o = table(spark, folder, "orders").filter((F.col("o_orderkey") % 5 == 0) & (F.col("o_orderpriority") == "1-URGENT"))
-    in_match = F.expr("o_orderkey div 5") % FRAMES_PER_MATCH
+    """Frame intervals that overlap now and then: one starts in every ten frames
+    and lasts 3 to 17 frames, by the customers of all orders of those frames."""
+    per = FRAMES_PER_MATCH // SPAN_FRAMES
+    o = table(spark, folder, "orders").groupBy(F.expr(f"o_orderkey div {5 * SPAN_FRAMES}").alias("poss_id")).agg(F.sum("o_custkey").alias("code"))
+    start = F.col("poss_id") % per * SPAN_FRAMES + F.col("code") % 5
     return o.select(
-        F.expr(f"(o_orderkey div 5) div {FRAMES_PER_MATCH}").alias("match_id"),
-        F.col("o_orderkey").alias("poss_id"), in_match.alias("start_frame"),
-        (in_match + 3 + F.col("o_custkey") % 15).alias("end_frame"),
-        F.when(F.col("o_custkey") % 2 == 0, "home").otherwise("away").alias("team"),
+        F.expr(f"poss_id div {per}").alias("match_id"), "poss_id", start.alias("start_frame"), (start + 3 + F.col("code") % 15).alias("end_frame"),
+        F.when(F.col("code") % 2 == 0, "home").otherwise("away").alias("team"),
     )
 
 
@@ -121,7 +120,7 @@ def order_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
     """Tracking frames in the engine's layout: players as two arrays in rank
-    order, missing positions left out. A side has at most 17 slots, so the
+    order, missing positions left out. A side has at most 18 slots, so the
     arrays are bounded."""
     p = player_points(spark, folder)
     item = F.struct(F.col("player_rank").alias("rank"), F.col("player_rank").cast("string").alias("pid"), "x", "y", "reliable")

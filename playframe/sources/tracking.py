@@ -108,7 +108,8 @@ def read_frames(spark: SparkSession, folder: str, matches: DataFrame, cfg: Engin
     pl, pw = F.col("pitch_length"), F.col("pitch_width")
 
     def positive_id(*names: str) -> Column:
-        v = F.coalesce(*[F.col(f"f.{n}") for n in names]).try_cast("double").cast("bigint")
+        v = F.coalesce(*[F.col(f"f.{n}") for n in names])
+        v = F.coalesce(v.try_cast("bigint"), v.try_cast("double").try_cast("bigint"))
         return F.when(v > 0, v)
 
     balls = F.when(F.length(F.col("f.ballsSmoothed")) > 2, F.col("f.ballsSmoothed")).otherwise(F.col("f.balls")) if cfg.use_smoothed else F.col("f.balls")

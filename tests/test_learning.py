@@ -59,7 +59,7 @@ def test_silhouette_matches_definition(blobs):
         own = d[i][(lab == lab[i]) & (np.arange(len(x)) != i)].mean()
         other = min(d[i][lab == k].mean() for k in set(lab) - {lab[i]})
         s.append((other - own) / max(own, other))
-    assert clusters.silhouette(df, "label", "features", ["id"]) == pytest.approx(np.mean(s))
+    assert clusters.sampled_silhouette(df, "label", 5000, "features", ["id"]) == pytest.approx(np.mean(s))
 
 
 def test_ari_limits(spark):
@@ -238,3 +238,50 @@ def test_writers(spark, tmp_path):
     assert g == {"match_events": ["goals", "n_shots"], "positional_pca": ["PC1"]}
     writers.write_document(str(tmp_path / "d.json"), {"seed": 1}, {"rows": df.select("v")})
     assert '"seed": 1' in (tmp_path / "d.json").read_text()
+
+
+def test_silhouette_of_all_rows(blobs):
+    x, df = blobs
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    lab = np.arange(len(x)) // 60
+    s = []
+    for i in range(len(x)):
+        own = d[i][(lab == lab[i]) & (np.arange(len(x)) != i)].mean()
+        other = min(d[i][lab == k].mean() for k in set(lab) - {lab[i]})
+        s.append((other - own) / max(own, other))
+    assert clusters.silhouette(df, "label", "features") == pytest.approx(np.mean(s))
+
+
+def test_wide_vectors_keep_all_components(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 2100))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    c = linear.fit_components(df, "v")
+    assert len(c.loadings) == 149 and c.ratio.sum() == pytest.approx(1.0)
+    assert np.cumsum(c.ratio)[c.count_for(0.9) - 1] >= 0.9
+    with pytest.raises(ValueError):
+        c.keep(100).count_for(0.9)
+
+
+def test_weighted_deviation_far_from_zero(spark):
+    from playframe.functions import stats
+
+    df = spark.range(100).select((F.lit(1.7e9) + F.col("id") * 0.01).alias("v"), F.lit(1.0).alias("w"), (F.col("id") % 7).cast("double").alias("u"))
+    one = df.agg(*[c.alias(n) for n, c in zip("ms", stats.weighted_mean_std("v", "w"))]).first()
+    v = 1.7e9 + np.arange(100) * 0.01
+    assert one.s == pytest.approx(v.std(), rel=1e-4) and one.m == pytest.approx(v.mean(), abs=1e-5)
+    w = (np.arange(100) % 7).astype(float)
+    two = df.agg(*[c.alias(n) for n, c in zip("ms", stats.weighted_mean_std("v", "u"))]).first()
+    mean = (v - 1.7e9) @ w / w.sum()
+    assert two.s == pytest.approx(np.sqrt(w @ (v - 1.7e9 - mean) ** 2 / w.sum()), rel=1e-4)
+
+
+def test_group_split_by_hash(spark):
+    df = spark.range(400).withColumn("g", F.col("id") % 40)
+    from playframe.ml import regress
+
+    train, test = regress.group_split(df, "g", 0.2)
+    a, b = {r.g for r in train.collect()}, {r.g for r in test.collect()}
+    assert a | b == set(range(40)) and not a & b and 1 <= len(b) < 20
+    one, none = regress.group_split(df.filter("g = 3"), "g", 0.2)
+    assert one.count() + none.count() == 10

@@ -102,3 +102,30 @@ def test_merge_keeps_rows_and_rejects_repeats(spark):
     assert (r.touch_mean_disp, r.formwin_mean_depth, r.PC1) == (3.0, 5.0, 0.5)
     with pytest.raises(ValueError):
         merge.merge_phase_features(phases, move, win, scores.union(scores))
+
+
+def test_repeated_players_count_once(spark):
+    from playframe.plans.movement import displacement_stats
+
+    player = "array<struct<pid:string,x:double,y:double>>"
+    df = spark.createDataFrame([([("a", 5.0, 0.0), ("a", 0.0, 0.0), ("b", 1.0, 1.0)], [("a", 9.0, 9.0), ("a", 0.0, 0.0)])], f"b {player}, a {player}")
+    s = df.select(displacement_stats(F.col("b"), F.col("a"), "pid").alias("s")).first().s
+    assert s.n_valid == 1 and s.mean_disp == 0.0
+
+
+def test_all_match_folders_are_found(spark, tmp_path):
+    from playframe.config import EngineConfig
+    from playframe.sources.files import MATCH_FILES, discover
+
+    for i in range(65):
+        (tmp_path / f"m{i}").mkdir()
+        for name in MATCH_FILES:
+            (tmp_path / f"m{i}" / name).write_text("{}")
+    assert discover(spark, str(tmp_path), EngineConfig.possession_preset().num_matches).count() == 65
+
+
+def test_ids_past_the_doubles_stay_apart(spark):
+    from playframe.sources.events import WHOLE, _typed
+
+    df = spark.createDataFrame([("9007199254740993",), ("9007199254740992",), ("12.0",), ("x",), (None,)], "t string")
+    assert [r[0] for r in df.select(_typed(F.col("t"), WHOLE)).collect()] == [9007199254740993, 9007199254740992, 12, None, None]
