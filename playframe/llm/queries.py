@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from playframe.llm import chat, contamination, html, langid, minhash, packing, quality, secrets, tokencount, warc
+from playframe.llm import chat, contamination, html, langid, minhash, packing, quality, secrets, sql, tokencount, warc
 from playframe.llm.common import table
 
 RUNS, CHECKS = {}, {}
@@ -21,11 +21,10 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("op10_quality")
+@query("op10_quality", sql.QUALITY)
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     out = quality.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      "base_failed", "kept", "class_distance", "word_distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query("op5_minhash")
@@ -38,7 +37,7 @@ def op4_contamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op8_secrets")
+@query("op8_secrets", sql.SECRETS)
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     out = secrets.findings(table(spark, folder, "documents").select("doc_id", "text"))
     found = F.col("findings")
@@ -56,7 +55,7 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-@query("op2_chat")
+@query("op2_chat", sql.CHAT)
 def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -81,12 +80,12 @@ def op1_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(pages, html.fit(pages))
 
 
-@query("op9_warc")
+@query("op9_warc", sql.WARC)
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("pipeline")
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
