@@ -12,7 +12,8 @@ mismatch and gap -1). An item is in a document where the best score reaches
 copies count by what is left of them. No place and no item is capped.
 
 Test items are taken in blocks of bounded text (``block_chars``); one block's
-seeds go to all tasks, and the documents are read once per block.
+seeds go to all tasks, and the documents are read once per block. Word rates are
+those of all items, so blocks change no result.
 
 Defined results: a null or empty text has no leaks; an item without words is in
 no document; items of fewer than three words have one seed, all their words;
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from playframe.llm.common import batch_of, text_of
+from playframe.llm.common import Scratch, batch_of, text_of
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -54,15 +55,17 @@ def words_of(text: str) -> list[str]:
 class Block:
     """Seeds and word ids of some test items."""
 
-    def __init__(self, items: list[tuple[int, str]], opt: Leaks):
+    def __init__(self, items: list[tuple[int, str]], opt: Leaks, counted: dict[str, int] | None = None, total: int | None = None):
+        """``counted`` and ``total``: the words of all test items, where these
+        are a part of them."""
         self.opt = opt
         texts = [words_of(t) for _, t in items]
         self.ids = np.array([i for (i, _), w in zip(items, texts, strict=True) if w], dtype=np.int64)
         texts = [w for w in texts if w]
-        counts = Counter(w for t in texts for w in t)
+        counts = counted or Counter(w for t in texts for w in t)
         self.vocabulary = {w: i for i, w in enumerate(counts, 1)}
         self.items = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for t in texts]
-        total = sum(counts.values())
+        total = total or sum(counts.values())
         rate = np.ones(len(counts) + 1)
         for w, i in self.vocabulary.items():
             rate[i] = counts[w] / total
@@ -177,6 +180,12 @@ def _scan(block: Block):
     return scan
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = Counter(w for t in batch.column(0).to_pylist() for w in words_of(t))
+        yield batch_of(word=pa.array(list(counts), pa.string()), n=pa.array(list(counts.values()), pa.int64()))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, opt: Leaks = Leaks()) -> DataFrame:
     """doc_id, item_id, score (share of an exact copy's score) and the words
     aligned (first_word, end_word): the best place per document and item."""
@@ -184,10 +193,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, opt: Leaks = Leaks()) -> D
     chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n_blocks = -(-chars // opt.block_chars) or 1
     plain = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    found = None
+    found, counts, total = None, None, None
+    if n_blocks > 1:
+        counts = Scratch(docs.sparkSession, "leaks").keep(
+            items.distinct().select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        total = counts.agg(F.sum("n")).first()[0]
     for k in range(n_blocks):
         own = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        block = Block([(r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in own.distinct().collect()], opt)
+        own, part = own.distinct(), None
+        if counts is not None:
+            mine = own.select("text").mapInArrow(_words, "word string, n long").select("word").distinct()
+            part = {r["word"]: r["n"] for r in counts.join(mine, "word").collect()}
+        block = Block([(r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in own.collect()], opt, part, total)
         if not len(block.ids):
             continue
         part = plain.mapInArrow(_scan(block), "doc_id long, item_id long, score double, first_word long, end_word long")

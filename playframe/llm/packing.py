@@ -5,8 +5,9 @@ plan is made from how many pieces have each length, a table of at most ``size``
 rows whatever the corpus: a bin takes the longest piece left and then, again and
 again, the longest that fits; then its smallest piece gives way to two unpacked
 pieces that fill the widened gap better, if there are two. A plan found once is
-used as often as the counts allow, and each use empties the count of a length,
-so there are at most as many plans as lengths.
+used as often as the counts allow: then of one length fewer pieces are left than
+the bin takes of it. So a length takes part in that at most 1 + size / length
+times, and there are at most size x (2 + ln size) plans whatever the corpus.
 
 Pieces find their place by rank among those of their length: counted per
 (hash slice, length), summed over the slices, then numbered inside each slice.

@@ -41,7 +41,7 @@ def test_base_spans(docs_of, spark, sf):
 def test_extra_rules_and_joined(docs_of):
     out = S.findings(docs_of([(1, ODD[16], None), (2, ODD[17], None), (3, "token=0123456789abcdef", None)])).select(
         "doc_id", S.joined(F.col("findings")).alias("j")).collect()
-    assert {r["doc_id"]: r["j"] for r in out} == {1: "github:0:40,pem:41:72", 2: "jwt:0:33", 3: "assign:0:22,hex:6:22"}
+    assert {r["doc_id"]: r["j"] for r in out} == {1: "github:0:40,hex:4:40,pem:41:72", 2: "jwt:0:32", 3: "assign:0:22,hex:6:22"}
 
 
 def test_ledger_scans_only_what_is_new(spark, docs_of):
