@@ -182,8 +182,12 @@ def read(index: DataFrame, folder: str, opt: Warc = Warc()) -> DataFrame:
         if source is not None:
             source.close()
 
+    # index rows are few bytes and many reads: the number of tasks follows the archives, not the rows
+    spark = index.sparkSession
+    whole = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * -(-whole // opt.range_bytes))
     placed = index.select("file", "offset", "length").withColumn("range", F.expr(f"offset div {opt.range_bytes}"))
-    placed = placed.repartition("file", "range").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    placed = placed.repartition(tasks, "file", "range").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return placed.mapInArrow(get, "page_id long, url string, record_type string, refers_to long, payload_digest string, "
                                   "payload_bytes long, payload string")
 
