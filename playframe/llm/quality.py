@@ -177,5 +177,8 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with their own columns only."""
-    return _judged(docs, rules, None).filter(f"{P}kept").select(*docs.columns)
+    """The documents that pass, with their own columns only. They pass through
+    a generator, not a filter: a filter would be pushed below the steps that the
+    verdict is built from, and evaluate those inside each other."""
+    once = F.when(F.col(f"{P}kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return _judged(docs, rules, None).select("*", F.explode(once).alias(f"{P}once")).select(*docs.columns)
