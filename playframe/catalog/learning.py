@@ -154,6 +154,20 @@ def component_variance(spark, folder):
     return t.select("pc", *[rounded(c).alias(c) for c in ("variance", "ratio", "cumulative")])
 
 
+@catalog.query("component_moments", f"""
+WITH {VEC}, x AS (SELECT id, unnest(f) AS v, unnest(range(len(f))) AS i FROM vec), m AS (SELECT i, avg(v) AS m FROM x GROUP BY 1),
+d AS (SELECT id, i, v - m AS v FROM x JOIN m USING (i)),
+c AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (SELECT count(*) - 1 FROM vec) AS c FROM d a JOIN d b USING (id) GROUP BY 1, 2)
+SELECT count(*) FILTER (WHERE i = j) AS n, {r('sum(c) FILTER (WHERE i = j)', 'trace')}, {r('sum(c * c)', 'squares')}, {r('1.0::DOUBLE', 'total_ratio')} FROM c""")
+def component_moments(spark, folder):
+    """The variances of all components add up to the trace of the covariance,
+    their squares to its sum of squares, their shares to one."""
+    v = tables.vectors(spark, folder)
+    t = linear.fit_components(v, "features").table(v)
+    return t.agg(F.count(F.lit(1)).alias("n"), F.sum("variance").alias("trace"), F.sum(F.col("variance") * F.col("variance")).alias("squares"),
+                 F.sum("ratio").alias("total_ratio")).select("n", *[rounded(c).alias(c) for c in ("trace", "squares", "total_ratio")])
+
+
 @catalog.query("component_scores")
 def component_scores(spark, folder):
     """First four principal scores, from square roots of shifted values."""

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from playframe.functions import taxonomy
 
 
+FILES_PER_MATCH = 4
+
+
 def output_name(base: str, num_matches: int | None, default: int = 64) -> str:
     """Base name, with the number of matches before the suffix when it is not
     the default."""
@@ -20,7 +23,13 @@ def output_name(base: str, num_matches: int | None, default: int = 64) -> str:
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = "match_id", mode: str = "overwrite") -> None:
-    """Parquet, one folder per match when there is a match column."""
+    """Parquet, one folder per match when there is a match column. Rows of a
+    match are brought together first, in ``FILES_PER_MATCH`` parts at most, so
+    files do not multiply with the tasks."""
+    if partition_by in df.columns:
+        plain = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct"))]
+        part = F.pmod(F.xxhash64(*plain), F.lit(FILES_PER_MATCH))
+        df = df.withColumn("__part", part).repartition(partition_by, "__part").drop("__part")
     w = df.write.mode(mode).option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by in df.columns else w).parquet(path)
 
