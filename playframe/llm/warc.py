@@ -91,8 +91,9 @@ def parse(raw: bytes) -> dict:
 
 
 def _open(folder: str):
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    return system, path
+    if folder.startswith("file:") and not folder.startswith("file://"):
+        folder = folder[5:]  # as Hadoop writes a local path
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
 def _page(name: str | None) -> int | None:
