@@ -12,10 +12,7 @@ from pyspark.sql import Column, functions as F
 
 from playframe.functions.nulls import col, ratio
 
-SHAPE_FIELDS = (
-    "centroid_x", "centroid_y", "compactness", "width", "depth", "elongation",
-    "nearest_teammate_distance", "pairwise_distance",
-)
+# fixed values: names of output columns
 INTERACTION_FIELDS = (
     "centroid_distance", "longitudinal_centroid_difference", "lateral_centroid_difference",
     "width_difference", "width_ratio", "depth_difference", "depth_ratio",

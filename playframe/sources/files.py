@@ -39,12 +39,12 @@ def grid_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "row int, col int, value double")
 
 
-def find_table(name: str, folder: str = ".", prefix: str = "Outputs_4th_Run_") -> str:
+def find_table(name: str, folder: str = ".", renamed: tuple[str, str] | None = None) -> str:
     """Path of a produced table: in the folder or its ``pca_output``, under its
-    own name or with the prefix written as a backslash path."""
+    own name or with one beginning of the name in place of another."""
     names = [name]
-    if name.startswith(prefix):
-        names.append("Outputs\\4th_Run\\" + name[len(prefix):])
+    if renamed and name.startswith(renamed[0]):
+        names.append(renamed[1] + name[len(renamed[0]):])
     for place in (Path(folder), Path(folder) / "pca_output"):
         for n in names:
             if (place / n).exists():

@@ -12,9 +12,9 @@ from playframe.sources import files
 def test_find_table(tmp_path):
     (tmp_path / "pca_output").mkdir()
     (tmp_path / "pca_output" / "pca_scores.parquet").write_text("")
-    (tmp_path / "Outputs\\4th_Run\\phases.parquet").write_text("")
+    (tmp_path / "run\\phases.parquet").write_text("")
     assert files.find_table("pca_scores.parquet", str(tmp_path)).endswith("pca_output/pca_scores.parquet")
-    assert files.find_table("Outputs_4th_Run_phases.parquet", str(tmp_path)).endswith("phases.parquet")
+    assert files.find_table("run_phases.parquet", str(tmp_path), ("run_", "run\\")).endswith("phases.parquet")
     with pytest.raises(FileNotFoundError):
         files.find_table("other.parquet", str(tmp_path))
 
