@@ -133,7 +133,8 @@ def distance(p: Column, q: Column) -> Column:
         m = (x + y) / 2
         return (F.when(x > 0, x * F.log2(x / m)).otherwise(0.0) + F.when(y > 0, y * F.log2(y / m)).otherwise(0.0)) / 2
 
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)))
+    found = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)))
+    return F.when(p.isNotNull() & q.isNotNull(), found)
 
 
 OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
