@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, opt: NearDup = NearDup()) -> DataFrame:
 
     buckets = _possible(buckets, texts, opt, n_docs, heavy, scratch)
 
-    links, labels = None, None
+    links, labels, checked = None, None, None
     for turn, n_pivots in enumerate(opt.pivots):
         here = buckets.withColumn("root", F.col("node")) if labels is None else _labelled(buckets, labels)
         odd = (F.lit(1.0) - F.col("shared") / F.col("weight")) if turn == 0 else F.lit(0.0)
@@ -254,8 +254,8 @@ def near_duplicates(docs: DataFrame, opt: NearDup = NearDup()) -> DataFrame:
         pivots = pivots.filter("lo <> hi").select("key", F.explode("p").alias("p"))
         pairs = here.join(pivots, "key").filter(F.col("root") != F.col("p.root")).filter(_reach(
             F.col("weight"), F.col("shared"), F.col("p.weight"), F.col("p.shared"), opt))
-        links, labels, more = _extend(pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")),
-                                      links, labels, texts, opt, n_docs, heavy, scratch)
+        links, labels, checked, more = _extend(pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")),
+                                               links, labels, checked, texts, opt, n_docs, heavy, scratch)
         if not more:
             break
     here = scratch.keep(_labelled(buckets, labels))
@@ -272,8 +272,8 @@ def near_duplicates(docs: DataFrame, opt: NearDup = NearDup()) -> DataFrame:
         & (F.element_at("bands", F.array_position(same, True).cast("int")) == F.col("key"))  # once, at the first band they share
         & (alike >= int(opt.estimate * opt.bands * opt.rows)))
     pairs = pairs.select(F.col("x_node").alias("x"), "node")
-    links, labels, _ = _extend(pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")),
-                               links, labels, texts, opt, n_docs, heavy, scratch)
+    links, labels, _, _ = _extend(pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")),
+                                  links, labels, checked, texts, opt, n_docs, heavy, scratch)
     scratch.drop(here, left)
     scratch.drop(buckets, texts)
 
@@ -332,21 +332,30 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _extend(pairs, links, labels, texts, opt, n_docs, heavy, scratch):
-    """Verify new pairs; links and labels with what they add, and whether there were any pairs."""
-    pairs = scratch.keep(pairs.distinct())
+def _extend(pairs, links, labels, checked, texts, opt, n_docs, heavy, scratch):
+    """Verify the pairs that were not verified before. Gives the links and labels
+    with what they add, the pairs verified so far, and whether there were new ones.
+    New links join whole classes, so only links between classes are followed."""
+    pairs = pairs.distinct()
+    if checked is not None:
+        pairs = pairs.join(checked, ["a", "b"], "left_anti")
+    pairs = scratch.keep(pairs)
     if links is not None and pairs.isEmpty():
-        scratch.drop(pairs)
-        return links, labels, False
+        return links, labels, checked, False
     found = _verified(pairs, texts, opt, n_docs, heavy, scratch)
-    scratch.drop(pairs)
-    both = found if links is None else scratch.keep(links.union(found).distinct())
-    new = components(both, scratch)
-    if links is not None:
-        scratch.drop(links, found)
-    if labels is not None:
-        scratch.drop(labels)
-    return both, new, True
+    if links is None:
+        return found, components(found, scratch), pairs, True
+    one = labels.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    two = labels.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    between = found.join(one, "a", "left").join(two, "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(between, scratch)
+    up = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    old = labels.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    new = scratch.keep(old.union(joined.join(labels.select("node"), "node", "left_anti").select("node", "root")))
+    both, done = scratch.keep(links.union(found)), scratch.keep(checked.union(pairs))
+    scratch.drop(links, found, labels, joined, checked, pairs)
+    return both, new, done, True
 
 
 def keep_one(docs: DataFrame, opt: NearDup = NearDup()) -> DataFrame:
