@@ -3,9 +3,12 @@
 A test item's seeds are its three-word runs (letters and digits, lower case)
 that are rare: whose words, drawn one by one at their rates in the test items,
 would come together less than once in ``1 / rarity`` places; an item with fewer
-than ``least_seeds`` of them takes its rarest ones up to that number. Rarity is
-a matter of the test items alone, so that a leak copied many times cannot make
-its own seeds common. Every place of a document that has a seed is aligned with
+than ``least_seeds`` of them takes its rarest ones up to that number. The rarest
+of any ``stretch`` runs that follow each other is a seed too, however common, so
+five words of an item in a row always hold one, whatever the size or skew of
+the benchmark. Rarity is a matter of the test items alone, so that a leak copied
+many times cannot make its own seeds common, and rates count items of equal
+words once, so that an item given many times cannot either. Every place of a document that has a seed is aligned with
 the item: the words around the diagonal of the seed, by Smith-Waterman (match 2,
 mismatch and gap -1). An item is in a document where the best score reaches
 ``threshold`` of that of an exact copy, so edited, shortened and reordered
@@ -42,6 +45,7 @@ class Leaks:
     n: int = 3
     rarity: float = 1e-8
     least_seeds: int = 8
+    stretch: int = 3         # runs in a row that hold a seed
     threshold: float = 0.5
     slack: int = 8           # words of the document beyond the item's ends
     block_chars: int = 4 << 20
@@ -56,13 +60,13 @@ class Block:
     """Seeds and word ids of some test items."""
 
     def __init__(self, items: list[tuple[int, str]], opt: Leaks, counted: dict[str, int] | None = None, total: int | None = None):
-        """``counted`` and ``total``: the words of all test items, where these
-        are a part of them."""
+        """``counted`` and ``total``: the words of all test items, equal ones
+        counted once, where these are a part of them."""
         self.opt = opt
         texts = [words_of(t) for _, t in items]
         self.ids = np.array([i for (i, _), w in zip(items, texts, strict=True) if w], dtype=np.int64)
         texts = [w for w in texts if w]
-        counts = counted or Counter(w for t in texts for w in t)
+        counts = counted or Counter(w for t in set(map(tuple, texts)) for w in t)
         self.vocabulary = {w: i for i, w in enumerate(counts, 1)}
         self.items = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for t in texts]
         total = total or sum(counts.values())
@@ -75,8 +79,11 @@ class Block:
             n = min(opt.n, len(t))
             chance = np.array([np.log(rate[t[i:i + n]]).sum() for i in range(len(t) - n + 1)])
             order = np.argsort(chance, kind="stable")
-            rare = (chance[order] < np.log(opt.rarity)) | (np.arange(len(order)) < opt.least_seeds)
-            for i in order[rare]:
+            seed = chance < np.log(opt.rarity)
+            seed[order[:opt.least_seeds]] = True
+            for i in range(max(1, len(chance) - opt.stretch + 1)):
+                seed[i + np.argmin(chance[i:i + opt.stretch])] = True
+            for i in order[seed[order]]:
                 found[self.key(t[i:i + n])].append((j, int(i)))
         self.keys = np.array(sorted(found), dtype=np.uint64)
         self.places = [found[int(k)] for k in self.keys]
@@ -180,6 +187,11 @@ def _scan(block: Block):
     return scan
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch_of(text=pa.array([" ".join(words_of(t)) for t in batch.column(0).to_pylist()], pa.string()))
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = Counter(w for t in batch.column(0).to_pylist() for w in words_of(t))
@@ -196,7 +208,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, opt: Leaks = Leaks()) -> D
     found, counts, total = None, None, None
     if n_blocks > 1:
         counts = Scratch(docs.sparkSession, "leaks").keep(
-            items.distinct().select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+            items.select("text").mapInArrow(_spelled, "text string").distinct()
+            .mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
         total = counts.agg(F.sum("n")).first()[0]
     for k in range(n_blocks):
         own = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)

@@ -80,3 +80,44 @@ def test_odd_rows(spark, docs_of):
     assert C.find_leaks(docs_of([]), bench).count() == 0
     assert C.find_leaks(docs_of(rows), bench.limit(0)).count() == 0
     assert C.drop_leaks(docs_of(rows), bench.limit(0)).count() == len(rows)
+
+
+def halves(items):
+    """Documents that hold one half of an item: (doc_id, item_id, text)."""
+    out = []
+    for i, words in items:
+        half = -(-len(words) // 2)
+        out += [(10 * i + k, i, " ".join(words[a:a + half])) for k, a in enumerate(range(0, len(words) - half + 1, 5))]
+    return out
+
+
+def test_an_item_that_is_a_third_of_the_benchmark(spark, docs_of):
+    rng = random.Random(8)
+    words = ["w" + "".join(rng.choices("abcdefghij", k=4)) for _ in range(3000)]
+    bench = [(i, [rng.choice(words) for _ in range(40)]) for i in range(1, 61)]
+    common = [(i, bench[0][1]) for i in range(100, 130)]
+    near = [(i, [*bench[1][1][:-1], f"end{i}"]) for i in range(200, 230)]
+    docs = halves(bench[:6])
+    want = {(d, i) for d, i, _ in docs} | {(d, j) for d, i, _ in docs if i == 1 for j, _ in common}
+    rows = docs_of([(d, f"so it is {t} in short", None) for d, _, t in docs])
+    table = spark.createDataFrame([(i, " ".join(w).upper() + "!" * (i % 3)) for i, w in bench + common + near], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in C.find_leaks(rows, table).collect()}
+    assert want <= got and {i for _, i in got} <= {*range(1, 7), *range(100, 130), *range(200, 230)}
+    small = C.find_leaks(rows, table, C.Leaks(block_chars=9000)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in small} == got
+    once, every = (C.Block([(i, " ".join(w)) for i, w in t], C.Leaks()) for t in (bench, bench + common))
+    seeds = [{i for k in b.places for j, i in k if j == 0} for b in (once, every)]
+    assert seeds[0] == seeds[1]  # copies of an item cost it no seed
+
+
+def test_a_benchmark_of_five_items(spark, docs_of):
+    rng = random.Random(9)
+    bench = [(i, [f"w{rng.randint(0, 60)}" for _ in range(40)]) for i in range(1, 6)]
+    docs = halves(bench)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in bench], "item_id long, text string")
+    got = C.find_leaks(docs_of([(d, t, None) for d, _, t in docs]), table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(d, i) for d, i, _ in docs}
+    block = C.Block([(i, " ".join(w)) for i, w in bench], C.Leaks())
+    for j in range(5):
+        at = {i for k in block.places for item, i in k if item == j}
+        assert all(at & {a, a + 1, a + 2} for a in range(36))
