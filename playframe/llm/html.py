@@ -7,8 +7,8 @@ node the odds of being main text. Decoding goes over the tree and takes the stat
 (main, mixed container, other) with the highest sum of log-odds, weighted by text,
 in which no main text lies under other text.
 
-The classifier is fitted on about ``train_pages`` pages chosen by hash. Their
-labels come from their own article or main element; each is also laid out anew
+The classifier is fitted on about ``train_pages`` labelled pages chosen by hash,
+or on all where there are fewer, however rare they are in the table. Their labels come from their own article or main element; each is also laid out anew
 in other frames (plain containers, sidebars, notices, forms, reader comments,
 adverts, inside and around the text) whose labels are known.
 
@@ -40,6 +40,8 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 CUT = re.compile(r"<[/!?a-zA-Z][^>]*\Z")  # a tag that the end of the page cuts
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
+MARKED = r"(?i)<(?:article|main)|data-gold"  # in every page with labels
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe textarea select option svg math object title head".split())
 CLOSED_RAW = frozenset("script style textarea title".split())  # hold text only up to their end tag
@@ -414,15 +416,27 @@ def _flat(node, weight: float):
     return np.array(feature), np.array(value), np.array(left), np.array(right)
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([Page(s).labels() is not None for s in batch.column(1).to_pylist()], pa.bool_()))
+
+
 def fit(pages: DataFrame, opt: Extract = Extract()) -> Trees | None:
-    """Boosted trees from a sample of the pages; None without labelled text."""
+    """Boosted trees from a sample of the labelled pages; None without labelled
+    text. Only pages that name a marked element can have labels; of those, more
+    are drawn until enough do."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     scratch = Scratch(pages.sparkSession, "html")
-    rows = pages.filter("html is not null").select(F.xxhash64("page_id", F.length("html")).alias("seed"), "html")
-    share = min(1.0, opt.train_pages / max(1, pages.count()))
-    sample = rows.filter(F.pmod("seed", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = pages.filter(F.col("html").rlike(MARKED)).select(F.xxhash64("page_id", F.length("html")).alias("seed"), "html")
+    share = min(1.0, opt.train_pages / max(1, rows.count()))
+    while True:
+        sample = scratch.keep(rows.filter(F.pmod("seed", F.lit(1 << 30)) < int(share * (1 << 30))).mapInArrow(_labelled, rows.schema))
+        if share >= 1.0 or 2 * sample.count() >= opt.train_pages:
+            break
+        scratch.drop(sample)
+        share = min(1.0, 4 * share)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -92,3 +92,13 @@ def test_without_a_labelled_page(spark):
     assert H.fit(pages) is None
     assert H.extract(pages, None).first()["text"] == "text"
     assert H.fit(pages.limit(0)) is None
+
+
+def test_few_labelled_pages_in_a_large_table(spark, sf):
+    """Labels are looked for before the sample is drawn, and past elements in comments."""
+    plain = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(
+        F.lit("<!-- <article> --><div>text "), F.col("id").cast("string"), F.lit("</div>")).alias("html"))
+    few = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").limit(6)
+    assert H.fit(plain.union(few), H.Extract(train_pages=4, trees=2, depth=2)) is not None
+    bare = plain.withColumn("html", F.regexp_replace("html", "<!--.*-->", ""))
+    assert H.fit(bare.union(few), H.Extract(train_pages=4, trees=2, depth=2)) is not None
