@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from playframe.llm import chat, contamination, html, langid, minhash, packing, quality, secrets, sql, tokencount, warc
+from playframe.llm import (
+    chat, contamination, html, langid, lexicon, minhash, packing, quality, runs, secrets, sql, tokencount, warc)
 from playframe.llm.common import table
 
 RUNS, CHECKS = {}, {}
@@ -86,6 +87,16 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op12_runs")
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.with_repeats(table(spark, folder, "documents"))))
+
+
+@query("op13_bpe")
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.digests(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
