@@ -68,3 +68,18 @@ def batch_of(**columns):
 
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+
+
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """At most ``most`` rows of a kept table, those with the largest counts. The
+    counts are put in steps of 1/16 of a factor of two; whole steps are taken from
+    the top for as long as they fit, so no task sorts or takes them all."""
+    step = F.floor(F.log2(F.col(n)) * 16).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect()  # at most 1024
+    least, taken = None, 0
+    for row in sizes:
+        taken += row["rows"]
+        if taken > most:
+            break
+        least = row["step"]
+    return counts.filter(F.lit(False) if least is None else step >= least)

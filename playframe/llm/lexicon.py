@@ -119,9 +119,13 @@ def packed(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A packed lexicon, mapped into memory."""
+    """A packed lexicon, mapped into memory; without a path one of no words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None):
+        if path is None:
+            for name, kind in _PARTS:
+                setattr(self, name, np.zeros(int(name == "final"), dtype=kind))
+            return
         size, at = np.fromfile(path, dtype=np.int64, count=len(_PARTS)).tolist(), 8 * len(_PARTS)
         for (name, kind), n in zip(_PARTS, size, strict=True):
             part = np.memmap(path, dtype=kind, mode="r", offset=at, shape=(n,)) if n else np.empty(0, dtype=kind)
@@ -227,8 +231,10 @@ class Encoder:
 
     MOST = 300_000  # merged words kept for the next blocks
 
-    def __init__(self, own: ByteBpe, lexicon: Lexicon):
+    def __init__(self, own: ByteBpe, lexicon: Lexicon, specials: bool = True):
+        """Without ``specials`` their strings are plain text."""
         self.own, self.lexicon, self.merged = own, lexicon, {}
+        self.parts = own.parts if specials else lambda text: [text]
 
     def _merged(self, word: str) -> bytes:
         ids = self.merged.get(word)
@@ -258,7 +264,7 @@ class Encoder:
         own, chunks, size, special = self.own, [], [], {}
         for text in texts:
             before = len(chunks)
-            for k, part in enumerate(own.parts(text)):
+            for k, part in enumerate(self.parts(text)):
                 if k % 2:
                     special[len(chunks)] = own.specials[part]
                     chunks.append(" ")

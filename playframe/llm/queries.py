@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from playframe.llm import (
-    chat, contamination, html, langid, lexicon, minhash, packing, quality, runs, secrets, sql, tokencount, warc)
+    alignment, chat, contamination, html, langid, lexicon, minhash, packing, quality, runs, secrets, sql, tokencount, warc)
 from playframe.llm.common import table
 
 RUNS, CHECKS = {}, {}
@@ -87,6 +87,11 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.digests(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op12_runs")
 def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.digests(runs.find_runs(runs.with_repeats(table(spark, folder, "documents"))))
