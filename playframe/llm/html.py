@@ -13,6 +13,8 @@ in other frames (plain containers, sidebars, notices, forms, reader comments,
 adverts, inside and around the text) whose labels are known.
 
 Defined results: a null or empty page, and one without text, give an empty text;
+a very long page is read whole, in time in proportion to its length; sums equal in
+decoding are settled as ``Page.decode`` says;
 end tags may be missing; a page cut short is read as far as it goes; repeated
 rows are extracted each; without a labelled page nothing is fitted and every
 block outside navigation elements is kept; other columns are ignored.
@@ -33,14 +35,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from playframe.llm.common import Scratch, batch_of
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+START = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+LEFT = re.compile(r"<!--|<!\[CDATA\[")  # what may start where no ">" follows
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CUT = re.compile(r"<[/!?a-zA-Z][^>]*\Z")  # a tag that the end of the page cuts
+TIE = 1e-9  # sums no further apart are equal
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-MARKED = r"(?i)<(?:article|main)|data-gold"  # in every page with labels
+MARKED = r"(?i)<(?:article|main)"  # in every page with labels
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe textarea select option svg math object title head".split())
@@ -81,20 +84,51 @@ class Extract:
     depth: int = 5
 
 
+class Tags:
+    """Where the tags of a source end: at the first ">" outside quotes, or at
+    the first of all where quotes leave none. One pass over the source, so the
+    tags of a page take time in proportion to its length."""
+
+    def __init__(self, source: str):
+        self.at = [m.start() for m in SPECIAL.finditer(source)]
+        self.k, n = 0, len(self.at)
+        self.quoted, self.plain = [-1] * (n + 1), [-1] * (n + 1)
+        after = {'"': n, "'": n}
+        for k in range(n - 1, -1, -1):
+            c = source[self.at[k]]
+            if c == ">":
+                self.quoted[k] = self.plain[k] = self.at[k]
+                continue
+            self.plain[k] = self.plain[k + 1]
+            if after[c] < n:
+                self.quoted[k] = self.quoted[after[c] + 1]
+            after[c] = k
+
+    def end(self, start: int, quotes: bool = True) -> int:
+        """Place of the ">" of a tag whose name ends at ``start``, -1 if none;
+        starts only grow."""
+        while self.k < len(self.at) and self.at[self.k] < start:
+            self.k += 1
+        found = self.quoted[self.k] if quotes else -1
+        return found if found >= 0 else self.plain[self.k]
+
+
 class Page:
     """Block nodes in page order: parent, tag, attribute groups, and the text
     runs, each with the node it lies in."""
 
     __slots__ = ("parent", "tag", "groups", "gold", "runs", "links", "inner")
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, framed: bool = False):
+        """``framed`` pages are made here and carry their labels in data-gold."""
         self.parent, self.tag, self.groups, self.gold = [-1], ["html"], [0], [None]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.inner = [0]                            # inline elements in each node
-        stack: list[tuple[str, int]] = [("html", 0)]
+        stack: list[tuple[str, int]] = []
+        open_at: dict[str, list[int]] = {}          # places of the open elements in the stack, by name
         run: list[str] = []
         linked, in_link, at, end = 0, 0, 0, len(source)
-        search = TOKEN.search
+        tags, search, unclosed = Tags(source), START.search, set()
 
         def flush(node: int) -> None:
             nonlocal run, linked
@@ -104,59 +138,77 @@ class Page:
                     self.runs.append((node, text, min(linked, len(text))))
             run, linked = [], 0
 
+        def push(name: str, node: int) -> None:
+            open_at.setdefault(name, []).append(len(stack))
+            stack.append((name, node))
+
+        def cut(k: int) -> None:
+            for t, _ in stack[k:]:
+                open_at[t].pop()
+            del stack[k:]
+
+        def last(names) -> int:
+            return max((open_at[t][-1] for t in names if open_at.get(t)), default=-1)
+
+        push("html", 0)
         while at < end:
-            m = search(source, at)
+            m, begin = search(source, at), at
+            while m:
+                mark, name = m.group(), m.group(2) if m.re is START else None
+                if mark in ("<!--", "<![CDATA["):
+                    close = "-->" if mark == "<!--" else "]]>"
+                    stop = source.find(close, m.end())
+                    at = end if stop < 0 else stop + 3
+                    break
+                stop = tags.end(m.end(), quotes=bool(name))
+                if stop >= 0:
+                    at = stop + 1
+                    break
+                search = LEFT.search  # no tag ends any more
+                m = search(source, m.start() + 1)
             stop = m.start() if m else end
-            if stop > at:
-                piece = source[at:stop] if m else CUT.sub("", source[at:stop])
+            if stop > begin:
+                piece = source[begin:stop] if m else CUT.sub("", source[begin:stop])
                 run.append(piece)
                 if in_link:
                     linked += len(piece.strip())
             if not m:
                 break
-            at = m.end()
-            closing, name, rest = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
             if not name:
                 continue
+            closing, rest = m.group(1), source[m.end():at - 1]
             name = name.lower()
             if name == "br":
                 run.append(" ")
                 continue
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        for t, _ in stack[k:]:
-                            if t in BLOCK:
-                                flush(stack[-1][1])
-                                break
-                        if name == "a":
-                            in_link = max(0, in_link - 1)
-                        del stack[k:]
-                        break
+                k = last((name,))
+                if k > 0:
+                    if any(t in BLOCK for t, _ in stack[k:]):
+                        flush(stack[-1][1])
+                    if name == "a":
+                        in_link = max(0, in_link - 1)
+                    cut(k)
                 continue
             if name in RAW and name not in ("head", "option"):
                 if name in CLOSED_RAW or not rest.rstrip().endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                    close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                    if close is None:
+                        unclosed.add(name)  # nor is there one further on
                     at = close.end() if close else (end if name in CLOSED_RAW else at)
                 continue
             if name in BLOCK:
                 flush(stack[-1][1])
                 if name in CLOSES_P:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == "p":
-                            del stack[k:]
-                            in_link = 0
-                            break
-                        if stack[k][0] in ("button", "td", "th", "table"):
-                            break
+                    k = last(("p",))
+                    if k > 0 and k > last(("button", "td", "th", "table")):
+                        cut(k)
+                        in_link = 0
                 if name in LIST:
                     same, bounds = LIST[name]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in bounds:
-                            break
-                        if stack[k][0] in same.split():
-                            del stack[k:]
-                            break
+                    k = last(same.split())
+                    if k > 0 and k > last(bounds):
+                        cut(k)
                 if name in ("html", "hr"):
                     continue
                 mask, gold = 0, None
@@ -168,19 +220,19 @@ class Page:
                                 g = GROUP_OF.get(w.lower())
                                 if g is not None:
                                     mask |= 1 << g
-                        elif key == "data-gold":
+                        elif framed and key == "data-gold":
                             gold = (x or y or z) == "1"
                 self.parent.append(stack[-1][1])
                 self.tag.append(name)
                 self.groups.append(mask)
                 self.gold.append(gold)
                 self.inner.append(0)
-                stack.append((name, len(self.tag) - 1))
+                push(name, len(self.tag) - 1)
             elif name not in VOID:
                 if name == "a":
                     in_link += 1
                 self.inner[stack[-1][1]] += 1
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
         flush(stack[-1][1])
 
     def features(self) -> np.ndarray:
@@ -261,7 +313,9 @@ class Page:
         """The text of the kept runs, one line each. A node is main text, or a
         mixed container, or other text. Under a container anything may be; under
         main text is main text, or other text at a price; under other text is
-        other text alone. The states with the highest sum are taken."""
+        other text alone. The states with the highest sum are taken; of equal sums,
+        node by node in page order, other text goes before a container and a
+        container before main text."""
         n = len(self.tag)
         score, own = self.scores(odds)
         main, other = score.copy(), -score
@@ -275,9 +329,10 @@ class Page:
         for i in range(1, n):
             above = state[self.parent[i]]
             if above == "mixed":
-                state[i] = max((main[i], "main"), (mixed[i], "mixed"), (other[i], "other"))[1]
+                least = max(main[i], mixed[i], other[i]) - TIE
+                state[i] = "other" if other[i] >= least else "mixed" if mixed[i] >= least else "main"
             elif above == "main":
-                state[i] = "main" if main[i] >= other[i] - leave else "other"
+                state[i] = "main" if main[i] > other[i] - leave + TIE else "other"
             else:
                 state[i] = "other"
         return "\n".join(text for node, text, _ in self.runs if state[node] == "main")
@@ -445,7 +500,7 @@ def fit(pages: DataFrame, opt: Extract = Extract()) -> Trees | None:
                 page = Page(source)
                 if page.labels() is None:
                     continue
-                for p in (page, *map(Page, layouts(page, seed, opt.layouts))):
+                for p in (page, *(Page(x, framed=True) for x in layouts(page, seed, opt.layouts))):
                     y = p.labels()
                     if y is not None:
                         use = (y >= 0) & (np.arange(len(y)) > 0)

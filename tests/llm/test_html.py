@@ -58,7 +58,7 @@ def test_decoding_takes_the_best_states():
         odds = rng.normal(size=n) * 2
         score, own = page.scores(odds)
         best = None
-        for states in itertools.product("KMD", repeat=n - 1):
+        for states in itertools.product("DMK", repeat=n - 1):
             s = ("M", *states)
             pairs = [(s[page.parent[i]], s[i]) for i in range(1, n)]
             if any(p in (("K", "M"), ("D", "K"), ("D", "M")) for p in pairs):
@@ -102,3 +102,25 @@ def test_few_labelled_pages_in_a_large_table(spark, sf):
     assert H.fit(plain.union(few), H.Extract(train_pages=4, trees=2, depth=2)) is not None
     bare = plain.withColumn("html", F.regexp_replace("html", "<!--.*-->", ""))
     assert H.fit(bare.union(few), H.Extract(train_pages=4, trees=2, depth=2)) is not None
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<object>", "<div><p>", '<a ">"', "<div></b>", "<li><div>", "<table><td><div>", "<!x ", "<", "<a<b", '<a b="x\'>'])
+def test_a_long_page_of_open_tags_takes_no_long_time(part):
+    import time
+
+    begin = time.process_time()
+    page = H.Page(part * (1_000_000 // len(part)))
+    page.decode(np.zeros(len(page.tag)))
+    assert time.process_time() - begin < 10
+
+
+def test_marks_of_own_frames_count_in_own_frames_only():
+    page = '<body><div data-gold="1"><p>text</p></div></body>'
+    assert H.Page(page).labels() is None and H.Page(page, framed=True).labels() is not None
+
+
+def test_ends_of_tags():
+    for source, runs in (('<p a=">">x</p>', ["x"]), ("<p a='>\"'>x", ["x"]), ('<p a="b>x</p>y', ["x", "y"]), ("a<b", ["a"]), ("a <", ["a <"]),
+                         ("x<!-- <p> -->y", ["xy"]), ("<p>a<![CDATA[ > <p>]]>b", ["ab"]), ("<!doctype html>x", ["x"]), ("<?x y>z", ["z"]),
+                         ("x<p <b>y", ["x", "y"]), ("x<!-- y", ["x"]), ("1 < 2 > 0", ["1 < 2 > 0"])):
+        assert [t for _, t, _ in H.Page(source).runs] == runs, source
