@@ -3,17 +3,21 @@
 A document's histogram of character classes and its histogram of common words
 are compared with those of its language by Jensen-Shannon distance (base 2,
 0 to 1). The references are counts over all documents of the language: sums of
-the character classes, and the words of the language that occur most often.
+the character classes, and the words of the language that occur most often. The
+limit of the word distance depends on the length of a text, by the distance that
+a sample of so many words has by chance.
 
 Defined results: a null text has no words and fails the base rules; a null
 language is a language of its own; a language whose reference holds fewer than
-``min_reference_words`` words gives no verdict, so the document is kept;
-repeated rows are judged one by one; other columns pass through ``judge``
+``min_reference_words`` words gives no verdict, so the document is kept; a very
+long text is judged whole; words that are equally common enter a reference in
+order; an empty table gives no rows; repeated rows are judged one by one; other columns pass through ``judge``
 untouched, and helper columns carry a prefix no table uses.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,9 +35,9 @@ class QualityRules:
     max_repeat_percent: int = 50    # base rule
     common_words: int = 30          # words of a language's reference
     max_class_distance: float = 0.30
-    max_word_distance: float = 0.30
+    max_word_distance: float = 0.28  # of an endless text; see word_limit
     min_words_classes: int = 50     # guard of the class comparison
-    min_words_common: int = 200     # guard of the word comparison
+    min_words_common: int = 50      # guard of the word comparison
     min_reference_words: int = 5000  # guard of a reference
 
 
@@ -137,11 +141,20 @@ def distance(p: Column, q: Column) -> Column:
     return F.when(p.isNotNull() & q.isNotNull(), found)
 
 
+def word_limit(n_words: Column, rules: QualityRules) -> Column:
+    """Largest word distance of a good text. The squared distance of a sample of
+    n words from its own distribution over c + 1 words is c / (8 n ln 2) on
+    average, to first order; it comes on top of the square of the limit."""
+    return F.sqrt(F.lit(rules.max_word_distance ** 2) + rules.common_words / (8 * math.log(2)) / F.greatest(n_words, F.lit(1)))
+
+
 OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
 
 def _judged(docs: DataFrame, rules: QualityRules, refs: DataFrame | None) -> DataFrame:
-    """``docs`` with the columns OUT, each under the prefix."""
+    """``docs`` with the columns OUT in one struct column. The struct comes from a
+    generator, below which no filter is pushed: a filter on a result would be
+    evaluated with the steps that lead to it inside each other."""
     if refs is None:
         refs = references(docs, rules, Scratch(docs.sparkSession, "quality"))
     if refs.count() <= BROADCAST_LANGUAGES:
@@ -165,8 +178,10 @@ def _judged(docs: DataFrame, rules: QualityRules, refs: DataFrame | None) -> Dat
         f"{P}base_failed": failed,
     })
     near = (F.coalesce(F.col(f"{P}class_distance"), F.lit(0.0)) <= rules.max_class_distance) & (
-        F.coalesce(F.col(f"{P}word_distance"), F.lit(0.0)) <= rules.max_word_distance)
-    return df.withColumn(f"{P}kept", ~F.col(f"{P}base_failed") & near)
+        F.coalesce(F.col(f"{P}word_distance"), F.lit(0.0)) <= word_limit(n_words, rules))
+    df = df.withColumn(f"{P}kept", ~F.col(f"{P}base_failed") & near)
+    once = F.array(F.struct(*[F.col(f"{P}{c}").alias(c) for c in OUT]))
+    return df.select(*docs.columns, F.explode(once).alias(f"{P}out"))
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame | None = None) -> DataFrame:
@@ -174,12 +189,9 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame
     class_distance, word_distance, base_failed and kept; a column of the same
     name in ``docs`` is replaced."""
     own = [c for c in docs.columns if c not in OUT]
-    return _judged(docs, rules, refs).select(*own, *[F.col(f"{P}{c}").alias(c) for c in OUT])
+    return _judged(docs, rules, refs).select(*own, *[F.col(f"{P}out.{c}").alias(c) for c in OUT])
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with their own columns only. They pass through
-    a generator, not a filter: a filter would be pushed below the steps that the
-    verdict is built from, and evaluate those inside each other."""
-    once = F.when(F.col(f"{P}kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return _judged(docs, rules, None).select("*", F.explode(once).alias(f"{P}once")).select(*docs.columns)
+    """The documents that pass, with their own columns only."""
+    return _judged(docs, rules, None).filter(F.col(f"{P}out.kept")).select(*docs.columns)

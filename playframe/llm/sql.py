@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from playframe.llm.quality import QualityRules
 
 _R = QualityRules()
@@ -90,5 +92,5 @@ j AS (SELECT b.*, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_dup_
   FROM b LEFT JOIN rep USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN class_js c USING (rid) LEFT JOIN word_js x USING (rid) LEFT JOIN ref ON ref.lang = b.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (words < {_R.min_reference_words} OR (
-    (n_words < {_R.min_words_classes} OR cjs <= {_R.max_class_distance}) AND (n_words < {_R.min_words_common} OR wjs <= {_R.max_word_distance}))) AS kept
+    (n_words < {_R.min_words_classes} OR cjs <= {_R.max_class_distance}) AND (n_words < {_R.min_words_common} OR wjs <= sqrt({_R.max_word_distance ** 2} + {_R.common_words / (8 * math.log(2))} / greatest(n_words, 1))))) AS kept
 FROM j"""
