@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from playframe.llm import bytebpe
 from playframe.llm.common import Scratch, most_frequent
-from playframe.llm.lexicon import Encoder, Lexicon
+from playframe.llm.lexicon import Encoder, Lexicon, gather
 from playframe.llm.wordhash import blocks
 
 MARK = "▁"
-_SEGMENT = re.compile(" +[^ ]*")
+_ODD, _BOTH = re.compile(r" (?:\s|\Z)"), re.compile(r"(?<=[^ ]) (?=\S)")
 LINK = T.StructType([T.StructField(k, T.IntegerType()) for k in ("a", "b", "times")])
 OUT = ("n_a", "n_b", "n_groups", "n_links", "groups", "links")
 
@@ -62,9 +62,8 @@ class Alignment:
 
 class Pieces:
     """Ids of a piece model. No piece holds the mark of a space after another
-    character, so a text falls into segments, each some spaces and what follows
-    them, that are encoded apart and looked up again; the table begins anew when
-    full. A model with other pieces encodes whole texts."""
+    character, so what begins with a space after something else is encoded apart
+    and looked up again; the table begins anew when full."""
 
     MOST = 300_000
 
@@ -73,107 +72,143 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any(MARK in p.lstrip(MARK) for p in names):
+            raise ValueError("a piece of the model reaches past the begin of a word")
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(names)]
-        self.apart = all(MARK not in p.lstrip(MARK) for p in names)
         self.space = np.array([self.model.piece_to_id(MARK)], dtype=np.int32).tobytes()
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of a text without the mark; the model puts a space before it."""
-        if not self.apart:
-            return np.array(self.model.encode(text), dtype=np.int32)
-        parts = text.split(" ")
-        if "" in parts:
-            parts = [s[1:] for s in _SEGMENT.findall(" " + text)]
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without the mark; the model puts a space before each."""
         known = self.known
         if len(known) > self.MOST:
             known.clear()
-        new = list(set(parts).difference(known))
-        for part, ids in zip(new, self.model.encode(new, num_threads=1) if new else [], strict=True):
-            known[part] = np.array(ids, dtype=np.int32).tobytes() if part else self.space
-        out = np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype=np.int32)
-        if max(map(len, new), default=0) > 256:
-            for part in new:
-                if len(part) > 256:
-                    del known[part]
+        new = [c for c in chunks if c not in known]
+        for chunk, ids in zip(new, self.model.encode(new, num_threads=1) if new else [], strict=True):
+            known[chunk] = np.array(ids, dtype=np.int32).tobytes() if chunk else self.space
+        out = [known[c] for c in chunks]
+        for chunk in new:
+            if len(chunk) > 256:
+                del known[chunk]
         return out
 
 
+class Side:
+    """The bytes of all tokens of one side, one after the other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def bytes(self, ids: np.ndarray) -> np.ndarray:
+        return gather(self.flat, self.first[ids], self.size[ids])[0]
+
+
+def chunks(text: str) -> list[str]:
+    """A space and the text cut where both sides always cut: before a space with
+    no space before it and no white space after it. The space that each chunk
+    begins with is left out."""
+    whole = " " + text
+    if not _ODD.search(whole):
+        return text.split(" ")
+    first, *rest = _BOTH.split(whole)
+    return [first[1:], *rest]
+
+
 class Aligner:
     def __init__(self, opt: Alignment):
-        own = bytebpe.loaded(opt.a)
-        self.encoder, self.pieces = Encoder(own, Lexicon(), specials=False), Pieces(opt.b)
-        self.bytes_a, self.bytes_b = own.bytes, self.pieces.bytes
-        self.size_a, self.size_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b))
-        most = max(len(self.bytes_a), len(self.bytes_b))
-        self.written = [[f"{i}{mark}" for i in range(most)] for mark in ",|;"]
-        self.written = [*self.written[0], *self.written[1], *self.written[2]]
-        self.most = most
+        self.own, self.pieces = bytebpe.loaded(opt.a), Pieces(opt.b)
+        self.encoder = Encoder(self.own, Lexicon(), specials=False)
+        self.sides = Side(self.own.bytes), Side(self.pieces.bytes)
+        self.most = max(len(self.own.bytes), len(self.pieces.bytes))
+        self.written = Side([f"{i}{mark}".encode() for mark in ",|;" for i in range(self.most)])
+
+    def _of_chunks(self, kinds: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """The chunks in another order, and for both sides their ids one after
+        the other and where each begins."""
+        plain, words, n = self.own.words([c for c in kinds if c[:1] != " "])
+        for c in kinds:
+            if c[:1] == " ":
+                own = self.own.split(" " + c)
+                plain.append(c)
+                words += own
+                n = np.append(n, len(own))
+        word_of = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        table, first, count = self.encoder._words(list(word_of))
+        codes = np.fromiter(map(word_of.__getitem__, words), dtype=np.int64, count=len(words))
+        flat, edge = gather(table, first[codes], count[codes])
+        made = self.pieces.ids(plain)
+        size = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+        return plain, [(flat, edge[np.concatenate(([0], np.cumsum(n)))]), (np.frombuffer(b"".join(made), dtype=np.int32), np.concatenate(([0], np.cumsum(size))))]
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides per text, none where a side does not give the text."""
-        none = np.empty(0, dtype=np.int32)
-        usable = [k for k, t in enumerate(texts) if t and MARK not in t]
-        out = [(none, none)] * len(texts)
-        sides_a = self.encoder.encode([" " + texts[k] for k in usable])
-        for k, a in zip(usable, sides_a, strict=True):
-            b, whole = self.pieces.ids(texts[k]), b" " + texts[k].encode("utf-8")
-            if all(b"".join(map(side.__getitem__, ids.tolist())) == whole for side, ids in ((self.bytes_a, a), (self.bytes_b, b))):
-                out[k] = (a, b)
-        return out
+        """For both sides the text of each token and its id; texts that a side
+        does not give back have none."""
+        parts = [chunks(t) if t and MARK not in t else [] for t in texts]
+        every = [c for p in parts for c in p]
+        kinds, sides = self._of_chunks(list(dict.fromkeys(every)))
+        kind_of = dict(zip(kinds, range(len(kinds)), strict=True))
+        codes = np.fromiter(map(kind_of.__getitem__, every), dtype=np.int64, count=len(every))
+        edge = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+        out, good = [], np.ones(len(texts), dtype=bool)
+        raw = b"".join([b" " + t.encode("utf-8") for t, p in zip(texts, parts, strict=True) if p])
+        whole = np.frombuffer(raw, dtype=np.uint8)
+        for side, (flat, begin) in zip(self.sides, sides, strict=True):
+            ids, at = gather(flat, begin[codes], begin[codes + 1] - begin[codes])
+            at = at[edge]
+            if not np.array_equal(side.bytes(ids), whole):
+                good &= [side.bytes(ids[x:y]).tobytes() == (b" " + t.encode("utf-8") if p else b"")
+                         for x, y, t, p in zip(at[:-1], at[1:], texts, parts, strict=True)]
+            out.append((np.repeat(np.arange(len(texts)), np.diff(at)), ids))
+        return out if good.all() else [(doc[good[doc]], ids[good[doc]]) for doc, ids in out]
 
     def align(self, texts: list[str]) -> dict[str, list | np.ndarray]:
         """The columns OUT; links as (offsets, a, b, times)."""
-        both = self.tokens(texts)
-        doc, ids, size, start = [], [], [], []
-        for side, table in enumerate((self.size_a, self.size_b)):
-            n = np.array([len(x[side]) for x in both], dtype=np.int64)
-            doc.append(np.repeat(np.arange(len(texts)), n))
-            ids.append(np.concatenate([np.empty(0, dtype=np.int32), *[x[side] for x in both]]))
-            size.append(table[ids[side]])
-            start.append(np.cumsum(size[side]) - size[side])  # equal texts on both sides, so one offset for both
-        a, b = _overlaps(doc, start)
-        end = [start[k] + size[k] for k in (0, 1)]
-        cut = np.intersect1d(end[0], end[1], assume_unique=True)
-        group = [np.searchsorted(cut, e) for e in end]
-        out = {"n_a": np.bincount(doc[0], minlength=len(texts)), "n_b": np.bincount(doc[1], minlength=len(texts)),
-               "n_links": np.bincount(doc[0][a], minlength=len(texts))}
-        last = np.isin(end[0], cut, assume_unique=True)
-        out["n_groups"] = np.bincount(doc[0][last], minlength=len(texts))
-        out["groups"] = self._written(doc, ids, group, len(texts))
+        n = len(texts)
+        (doc_a, ids_a), (doc_b, ids_b) = self.tokens(texts)
+        size_a, size_b = self.sides[0].size[ids_a], self.sides[1].size[ids_b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)  # equal bytes on both sides, so one offset for both
+        a, b = _overlaps(doc_a, end_a - size_a, doc_b, end_b - size_b)
+        ends = np.zeros((2, int(size_a.sum()) + 1), dtype=bool)
+        ends[0, end_a] = ends[1, end_b] = True
+        last_a, last_b = ends[1, end_a], ends[0, end_b]  # where both sides end
+        out = {"n_a": np.bincount(doc_a, minlength=n), "n_b": np.bincount(doc_b, minlength=n),
+               "n_groups": np.bincount(doc_a[last_a], minlength=n), "n_links": np.bincount(doc_a[a], minlength=n),
+               "groups": self._written(doc_a, ids_a, last_a, doc_b, ids_b, last_b, n)}
         # per text its distinct pairs of ids
-        pair = ids[0][a].astype(np.int64) * self.most + ids[1][b]
-        key, times = np.unique(doc[0][a].astype(np.int64) * self.most ** 2 + pair, return_counts=True)
-        pair = key % self.most ** 2
-        edge = np.searchsorted(key, np.arange(len(texts) + 1) * self.most ** 2)
+        key = doc_a[a] * self.most ** 2 + ids_a[a].astype(np.int64) * self.most + ids_b[b]
+        key, times = np.unique(key, return_counts=True)
+        edge, pair = np.searchsorted(key, np.arange(n + 1) * self.most ** 2), key % self.most ** 2
         out["links"] = (edge, pair // self.most, pair % self.most, times)
         return out
 
-    def _written(self, doc: list, ids: list, group: list, n: int) -> list[str]:
-        """a1,a2|b1;a3|b2 per text."""
-        (ga, gb), total = group, len(ids[0]) + len(ids[1])
-        code, owner = np.empty(total, dtype=np.int64), np.empty(total, dtype=np.int64)
-        for side, at in ((0, np.arange(len(ga)) + np.searchsorted(gb, ga, "left")), (1, np.arange(len(gb)) + np.searchsorted(ga, gb, "right"))):
-            g = group[side]
-            inner = np.append(g[1:] == g[:-1], False)[:len(g)]
-            code[at] = ids[side] + self.most * np.where(inner, 0, 1 + side)
-            owner[at] = doc[side]
-        words = list(map(self.written.__getitem__, code.tolist()))
-        edge = np.searchsorted(owner, np.arange(n + 1)).tolist()
-        return ["".join(words[x:y])[:-1] for x, y in zip(edge[:-1], edge[1:], strict=True)]
-
-
-def _overlaps(doc: list[np.ndarray], start: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _written(self, doc_a, ids_a, last_a, doc_b, ids_b, last_b, n: int) -> list[str]:
+        """a1,a2|b1;a3|b2 per text: of each group its A tokens, then its B tokens."""
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        before_a = np.cumsum(np.bincount(group_a, minlength=int(last_a.sum())))  # A tokens up to each group
+        before_b = np.concatenate(([0], np.cumsum(np.bincount(group_b))))
+        code, owner = np.empty(len(ids_a) + len(ids_b), dtype=np.int64), np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        for doc, ids, last, mark, at in ((doc_a, ids_a, last_a, 1, np.arange(len(ids_a)) + before_b[group_a]),
+                                         (doc_b, ids_b, last_b, 2, np.arange(len(ids_b)) + before_a[group_b])):
+            code[at] = ids + self.most * mark * last
+            owner[at] = doc
+        size = np.bincount(owner, weights=self.written.size[code], minlength=n).astype(np.int64)
+        raw, stop = self.written.bytes(code).tobytes(), np.cumsum(size).tolist()
+        return [raw[x:y - 1].decode() if y > x else "" for x, y in zip([0, *stop[:-1]], stop, strict=True)]
+
+
+def _overlaps(doc_a: np.ndarray, start_a: np.ndarray, doc_b: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of numbers of A and B tokens that overlap."""
     import pandas as pd
 
-    tables = [pd.DataFrame({"doc": doc[k], "at": start[k], "token": np.arange(len(doc[k]))}) for k in (0, 1)]
-    cover_b = pd.merge_asof(tables[0], tables[1], on="at", by="doc", suffixes=("_a", "_b"))
-    cover_a = pd.merge_asof(tables[1], tables[0], on="at", by="doc", suffixes=("_b", "_a"))
-    inner = start[0][cover_a["token_a"].to_numpy(dtype=np.int64)] != cover_a["at"].to_numpy()  # equal starts are in both
-    parts = (cover_b, cover_a[inner])
-    a, b = (np.concatenate([p[c].to_numpy(dtype=np.int64) for p in parts]) for c in ("token_a", "token_b"))
-    return a, b
+    one = pd.DataFrame({"doc": doc_a, "at": start_a, "a": np.arange(len(doc_a))}, copy=False)
+    two = pd.DataFrame({"doc": doc_b, "at": start_b, "b": np.arange(len(doc_b))}, copy=False)
+    cover_b = pd.merge_asof(one, two, on="at", by="doc")  # for each A token
+    cover_a = pd.merge_asof(two, one, on="at", by="doc")  # for each B token
+    a = cover_a["a"].to_numpy(dtype=np.int64)
+    inner = start_a[a] != start_b  # equal starts are in both
+    return np.concatenate([one["a"].to_numpy(), a[inner]]), np.concatenate([cover_b["b"].to_numpy(dtype=np.int64), two["b"].to_numpy()[inner]])
 
 
 @cache

@@ -101,13 +101,14 @@ def test_odd_texts_and_few_frequent_pairs(docs_of, sides):
     assert A.digests(docs_of([])).count() == 0
 
 
-def test_segments_give_the_ids_of_whole_texts(sides):
-    pieces = A.Pieces(A.Alignment().b)
-    pieces.MOST = 40
-    assert pieces.apart
-    for t in odd():
-        if t and "▁" not in t:
-            assert pieces.ids(t).tolist() == sides[1](t)[0], t
+def test_chunks_give_the_ids_of_whole_texts(sides):
+    own = A.Aligner(A.Alignment())
+    own.pieces.MOST = 40
+    texts = [t for t in odd() if t]
+    for some in (texts, *([t] for t in texts[:60])):
+        for side, (doc, ids) in zip(sides, own.tokens(some)):
+            for k, t in enumerate(some):
+                assert ids[doc == k].tolist() == ([] if "▁" in t else side(t)[0]), t
 
 
 def test_output_columns(docs_of, sides):
