@@ -14,7 +14,7 @@ time. A word outside it is merged by rank, so the lexicon never changes a result
 Defined results: a null or empty text has no ids; the string of a special token
 becomes its id and is decoded to the same string; a very long text or word is
 encoded whole (words over ``longest_word`` bytes stay out of the lexicon); of
-words equally frequent the lesser in byte order enters the lexicon first; repeated
+words about equally frequent all or none enter the lexicon; repeated
 rows are encoded each; an empty table gives an empty lexicon and no rows; other
 columns pass through, one named ids is replaced. ``decode`` gives bytes that are
 no UTF-8 as U+FFFD; a null ids column decodes to an empty text.
@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from playframe.llm.bytebpe import ByteBpe, loaded, public_path
-from playframe.llm.common import shared_root
+from playframe.llm.common import Scratch, most_frequent, shared_root
 from playframe.llm.wordhash import blocks
 
 
@@ -203,8 +203,10 @@ def compile_lexicon(docs: DataFrame, opt: Bpe = Bpe(), column: str = "text") ->
     """Count, compile and hand out the lexicon of ``docs``; the name of its file.
     The driver sees at most ``opt.words`` words."""
     spark, own = docs.sparkSession, loaded(opt.path)
-    top = word_counts(docs, opt, column).orderBy(F.desc("n"), "word").limit(opt.words).select("word").toArrow()
-    words = top.column("word").to_pylist()
+    scratch = Scratch(spark, "lexicon")
+    counts = scratch.keep(word_counts(docs, opt, column))
+    words = most_frequent(counts, "n", opt.words).select("word").toArrow().column("word").to_pylist()
+    scratch.drop(counts)
     return hand_out(spark, packed({w: own.merge(w.decode("utf-8")) for w in words}))
 
 
