@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from playframe.catalog import Catalog
@@ -138,12 +137,12 @@ def regression_scores(spark, folder):
 
 
 @catalog.query("territory_residual", f"""
-WITH {VEC}, {_LONG}, j AS (SELECT l.id, l.i, l.v, a.v AS x FROM l JOIN l a ON l.id = a.id AND a.i = 0 WHERE l.i < 6),
+WITH {VEC}, {_LONG}, j AS (SELECT l.id, l.i, l.v, a.v AS x FROM l JOIN l a ON l.id = a.id AND a.i = 0),
 b AS (SELECT i, regr_slope(v, x) AS slope, regr_intercept(v, x) AS icept FROM j GROUP BY 1)
 SELECT id, i::INT AS i, {r('v - icept - slope * x', 'v')} FROM j JOIN b USING (i)""")
 def territory_residual(spark, folder):
-    v = tables.vectors(spark, folder).select("id", F.slice("features", 1, 6).alias("f"))
-    res = prepare.residual_on(v, "f", [0], 6, "f")
+    v = tables.vectors(spark, folder).select("id", F.col("features").alias("f"))
+    res = prepare.residual_on(v, "f", [0], "f")
     return res.select("id", F.posexplode("f").alias("i", "v")).withColumn("v", rounded("v"))
 
 
@@ -196,8 +195,8 @@ def kmeans_sweep(spark, folder):
 
 @catalog.query("cluster_assignments")
 def cluster_assignments(spark, folder):
-    v = clusters.with_vector(tables.vectors(spark, folder))
-    return clusters.best_kmeans(v, 4, 2).transform(v).select("id", F.col("cluster").alias("cluster_k4"))
+    v = tables.vectors(spark, folder)
+    return clusters.best_kmeans(v, 4, 2).assign(v, "features", "cluster_k4").select("id", "cluster_k4")
 
 
 @catalog.query("label_silhouette", f"""
@@ -224,16 +223,16 @@ _BOOST = regress.Boosting(rounds=5, depth=3, min_leaf=10)
 
 @catalog.query("scalar_prediction")
 def scalar_prediction(spark, folder):
-    v = tables.vectors(spark, folder).select("id", "match_id", F.col("label").cast("double").alias("target"), array_to_vector("features").alias("vec"))
+    v = tables.vectors(spark, folder).select("id", "match_id", F.col("label").cast("double").alias("target"), F.col("features").alias("vec"))
     train, test = regress.group_split(v, "match_id", 0.2)
     t = regress.predict_scalars(train, test, ["target"], {"Cat 1": "vec"}, _BOOST)
-    return t.select("target", "cat", "n_train", "n_test", rounded("r2", 4).alias("r2"), rounded("rmse", 4).alias("rmse"))
+    return t.select("target", "model", "cat", "n_train", "n_test", rounded("r2", 4).alias("r2"), rounded("rmse", 4).alias("rmse"))
 
 
 @catalog.query("map_prediction")
 def map_prediction(spark, folder):
     """Maps predicted through two components, next to the mean-map baseline."""
-    v = tables.vectors(spark, folder).select("id", "match_id", F.slice("features", 1, 32).alias("map"), array_to_vector(F.slice("features", 33, 32)).alias("vec"))
+    v = tables.vectors(spark, folder).select("id", "match_id", F.slice("features", 1, 32).alias("map"), F.slice("features", 33, 32).alias("vec"))
     train, test = regress.group_split(v, "match_id", 0.2)
     guess = regress.map_scores(regress.predict_map(train, test, "vec", "map", 2, _BOOST), "map", "predicted")
     base = regress.map_scores(regress.mean_map_baseline(train, test, "map"), "map", "predicted")

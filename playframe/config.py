@@ -93,7 +93,7 @@ class EngineConfig:
     # key over many tasks, and the longest run folded inside one row
     block_seconds: float = 60.0
     block_frames: int = 2048
-    fold_rows: int = 2048
+    block_rows: int = 4096
 
     @classmethod
     def possession_preset(cls, **kw) -> "EngineConfig":

@@ -4,19 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from playframe.functions.nulls import ratio
+from playframe.ml import kmeans
 from playframe.ml.prepare import array_moments
 
 
-def with_vector(df: DataFrame, features: str = "features", out: str = "vector") -> DataFrame:
-    return df.withColumn(out, array_to_vector(F.col(features).cast("array<double>")))
-
-
 def shift_tolerance(df: DataFrame, features: str, relative: float = 1e-4) -> float:
     """Centre shift below which a fit has converged, relative to the mean
     variance of the features."""
@@ -24,11 +20,9 @@ def shift_tolerance(df: DataFrame, features: str, relative: float = 1e-4) -> flo
     return float(np.sqrt(relative * variance.mean())) or relative
 
 
-def best_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 0, vector: str = "vector", tol: float = 1e-4) -> KMeansModel:
-    """Model of least cost over several starts."""
-    fits = (KMeans(k=k, seed=seed + i, initMode="k-means||", featuresCol=vector, predictionCol="cluster", maxIter=300, tol=tol).fit(df)
-            for i in range(n_init))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def best_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 0, features: str = "features", tol: float = 1e-4) -> kmeans.Clusters:
+    """Clusters of least cost over several starts."""
+    return kmeans.best(kmeans.fit_many(df, features, [kmeans.Setting(k, seed + i) for i in range(n_init)], tol=tol))
 
 
 def contingency_ari(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -116,57 +110,56 @@ def below_share(ids: DataFrame, ticket: Column, share: float) -> Column:
     return ticket < F.lit(max(min(limit, 2**63 - 1), -(2**63)))
 
 
-def split_half_stability(df: DataFrame, k: int, repeats: int, group: str = "match_id", vector: str = "vector",
-                         n_init: int = 3, tol: float = 1e-4) -> tuple[float, float]:
-    """Mean and deviation of the agreement of models fitted on two disjoint
-    halves of the matches and applied to all rows. Halves are split by hash
-    order of the match ids."""
-    ids = df.select(group).distinct()
-    values = []
-    for r in range(repeats):
-        half = ids.withColumn("__half", below_share(ids, hash_order([group], r), 0.5))
-        split = df.join(half, group).select("__half", vector).persist()
-        a = best_kmeans(split.filter("__half"), k, n_init, r, vector, tol)
-        b = best_kmeans(split.filter("NOT __half"), k, n_init, r + 100, vector, tol)
-        both = b.transform(a.transform(df).withColumnRenamed("cluster", "__a")).withColumnRenamed("cluster", "__b")
-        values.append(contingency_ari(both, "__a", "__b").first().ari)
-        split.unpersist()
-    return float(np.mean(values)), float(np.std(values))
-
-
 def sweep(df: DataFrame, ks: list[int], features: str = "features", keys: list[str] | None = None, n_init: int = 10,
-          sample: int | None = None, repeats: int = 5, group: str = "match_id") -> tuple[DataFrame, DataFrame]:
+          sample: int | None = None, repeats: int = 5, group: str = "match_id", half_inits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Cluster for every k. Returns the rows with ``cluster_k*`` columns and
-    the table of silhouette, inertia and stability."""
-    base = with_vector(df, features).persist()  # read by every fit
-    tol = shift_tolerance(base, features)
-    labelled, table = base, []
-    for k in ks:
-        model = best_kmeans(base, k, n_init, tol=tol)
-        labelled = model.transform(labelled).withColumnRenamed("cluster", f"cluster_k{k}")
-        name = f"cluster_k{k}"
-        s = sampled_silhouette(labelled, name, sample, features, keys) if sample else silhouette(labelled, name, features)
-        m, d = split_half_stability(base, k, repeats, group, tol=tol) if repeats else (None, None)
-        table.append((k, s, float(model.summary.trainingCost), m, d))
-    summary = df.sparkSession.createDataFrame(
+    the table of silhouette, inertia and stability.
+
+    Stability is the mean and deviation, over ``repeats``, of the agreement on
+    all rows of clusters fitted on two disjoint halves of the groups, split by
+    hash order. All fits share their passes.
+    """
+    flags = []
+    if repeats:
+        ids = df.select(group).distinct()
+        flags = [below_share(ids, hash_order([group], r), 0.5) for r in range(repeats)]
+    base = df.withColumn("__parts", F.array(*flags)) if repeats else df
+    halves = [(r, side) for r in range(repeats) for side in (True, False)]
+    settings = [kmeans.Setting(k, i) for k in ks for i in range(n_init)]
+    settings += [kmeans.Setting(k, r + (0 if side else 100) + i, r, side) for k in ks for r, side in halves for i in range(half_inits)]
+    fits: dict[tuple, list] = {}
+    for c in kmeans.fit_many(base, features, settings, "__parts" if repeats else None, shift_tolerance(df, features)):
+        fits.setdefault((c.setting.k, c.setting.part, c.setting.side), []).append(c)
+    chosen = {key: kmeans.best(found) for key, found in fits.items()}
+    whole = {k: chosen[k, -1, True] for k in ks}
+    labelled = kmeans.assigned(df, features, {f"cluster_k{k}": c for k, c in whole.items()})
+    if sample:
+        scores = [sampled_silhouette(labelled, f"cluster_k{k}", sample, features, keys) for k in ks]
+    else:
+        scores = kmeans.silhouettes(df, features, list(whole.values()))
+    agreed = kmeans.agreements(df, features, [(chosen[k, r, True], chosen[k, r, False]) for k in ks for r in range(repeats)])
+    table = []
+    for n, k in enumerate(ks):
+        own = agreed[n * repeats:(n + 1) * repeats]
+        mean, std = (float(np.mean(own)), float(np.std(own))) if own else (None, None)
+        table.append((k, scores[n], whole[k].cost, mean, std))
+    return labelled, df.sparkSession.createDataFrame(
         table, "k int, silhouette double, inertia double, stability_ari_mean double, stability_ari_std double")
-    base.unpersist()
-    return labelled.drop("vector"), summary
 
 
 def eta_squared(df: DataFrame, label: str, features: str, names: list[str] | None = None) -> DataFrame:
     """Share of the variance of every feature that lies between clusters.
 
-    Sums per (cluster, feature) are combined map-side; the rest works on
-    clusters x features rows.
+    Mean and variance per (cluster, feature) are combined map-side; the rest
+    works on clusters x features rows. Squares are taken of differences from the
+    mean only, so far-off values keep their digits.
     """
-    long = df.select(F.col(label).alias("__c"), F.posexplode(F.col(features).cast("array<double>")).alias("i", "v"))
-    per = long.groupBy("__c", "i").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    g = per.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-                             F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"))
-    correction = F.col("s") * F.col("s") / F.col("n")
-    eta = F.coalesce(ratio(F.col("between") - correction, F.col("q") - correction), F.lit(0.0))
-    out = g.select("i", eta.alias("eta_squared"))
+    long = df.select(F.col(label).alias("__c"), F.posexplode(F.col(features).cast("array<double>")).alias("i", "v")).filter(F.col("v").isNotNull())
+    per = long.groupBy("__c", "i").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("q"))
+    mean = per.groupBy("i").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"))
+    off = F.col("m") - F.col("mu")
+    g = per.join(mean, "i").groupBy("i").agg(F.sum(F.col("n") * off * off).alias("between"), F.sum(F.col("n") * F.col("q")).alias("within"))
+    out = g.select("i", F.coalesce(ratio("between", F.col("between") + F.col("within")), F.lit(0.0)).alias("eta_squared"))
     return out.withColumn("feature", F.get(F.lit(names), F.col("i"))) if names else out
 
 

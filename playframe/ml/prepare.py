@@ -146,19 +146,16 @@ def scaled_vector(df: DataFrame, scaling: Scaling, columns: list[str], weight: n
     return df.withColumn(out, F.concat(*parts))
 
 
-def residual_on(df: DataFrame, vector: str, anchors: list[int], width: int, out: str) -> DataFrame:
+def residual_on(df: DataFrame, vector: str, anchors: list[int], out: str) -> DataFrame:
     """Residual of every feature after least squares on a few anchor features
-    and a constant, from the product matrix of one pass."""
-    from playframe.ml.linear import _rowwise, gram
-
-    rows = {r.i: np.array(r.products) for r in gram(df, vector, width).collect()}
-    n, sums = rows[-2][0], rows[-1]
-    full = np.stack([rows[i] for i in range(width)])
-    left = np.empty((len(anchors) + 1, len(anchors) + 1))
-    left[0, 0], left[0, 1:], left[1:, 0] = n, sums[anchors], sums[anchors]
-    left[1:, 1:] = full[np.ix_(anchors, anchors)]
-    beta = np.linalg.lstsq(left, np.vstack([sums, full[anchors]]), rcond=None)[0]
-    return _rowwise(df, vector, out, lambda x: x - np.column_stack([np.ones(len(x)), x[:, anchors]]) @ beta)
+    and a constant. One pass gives the products of all features with the
+    anchors; of anchors that depend on each other the shortest solution counts."""
+    from playframe.ml.linear import _rowwise, moments, scatter_product
+
+    mean, _, _ = moments(df, vector)
+    products = scatter_product(df, vector, mean, np.eye(len(mean))[:, anchors])
+    beta = np.linalg.lstsq(products[anchors], products.T, rcond=None)[0]
+    return _rowwise(df, vector, out, lambda x: x - mean - (x[:, anchors] - mean[anchors]) @ beta)
 
 
 def one_hot(df: DataFrame, column: str, values: list[str] | None = None) -> tuple[DataFrame, list[str]]:

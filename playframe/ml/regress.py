@@ -3,26 +3,19 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import replace
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from playframe.functions.nulls import ratio
+from playframe.ml import boosting
+from playframe.ml.boosting import Boosting
 
 
-@dataclass(frozen=True)
-class Boosting:
-    """Settings of one booster; training stops early on a held-out part."""
-
-    rounds: int = 500
-    step: float = 0.05
-    depth: int = 5
-    min_leaf: int = 30
-    hold_out: float = 0.1
-    tolerance: float = 1e-4
-    seed: int = 42
+def model_kinds(cfg: Boosting) -> dict[str, Boosting]:
+    """The two kinds of model: trees that see all rows and features, and trees
+    that each see nine tenths of both."""
+    return {"histogram": cfg, "sampled": replace(cfg, row_share=0.9, column_share=0.9)}
 
 
 def group_split(df: DataFrame, group: str, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -36,16 +29,6 @@ def group_split(df: DataFrame, group: str, share: float, seed: int = 42) -> tupl
     return j.filter("NOT __test").drop("__test"), j.filter("__test").drop("__test")
 
 
-def fit_booster(train: DataFrame, target: str, vector: str, cfg: Boosting) -> GBTRegressionModel:
-    """Booster on the rows that have the target."""
-    ticket = F.pmod(F.xxhash64(vector_to_array(vector), F.col(target).cast("double"), F.lit(cfg.seed)), F.lit(1000))
-    known = train.filter(F.col(target).isNotNull()).withColumn("__valid", ticket < int(cfg.hold_out * 1000))
-    return GBTRegressor(
-        featuresCol=vector, labelCol=target, predictionCol="prediction", maxIter=cfg.rounds, stepSize=cfg.step, maxDepth=cfg.depth,
-        minInstancesPerNode=cfg.min_leaf, validationIndicatorCol="__valid", validationTol=cfg.tolerance, seed=cfg.seed,
-    ).fit(known)
-
-
 def scores(predicted: DataFrame, truth: str, guess: str, keys: list[str] | None = None) -> DataFrame:
     """R squared, root mean squared error and mean absolute error."""
     t, p = F.col(truth), F.col(guess)
@@ -76,54 +59,50 @@ def map_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return one.join(cell, "__k").join(median, "__k", "left").drop("__k")
 
 
-def predict_map(train: DataFrame, test: DataFrame, vector: str, maps: str, n_components: int, cfg: Boosting, threads: int = 6,
+def predict_map(train: DataFrame, test: DataFrame, vector: str, maps: str, n_components: int, cfg: Boosting, group: str = "match_id",
                 out: str = "predicted") -> DataFrame:
-    """Predict maps through their principal scores, one booster per component.
-    A component whose fit fails falls back to its training mean; the column
-    ``{out}_errors`` names each with its error, and is null where all fitted."""
+    """Predict maps through their principal scores, with one booster for all
+    components. ``{out}_scores`` are the predicted scores and ``{out}_truth``
+    those of the true maps. If the fit fails, every component is its training
+    mean and ``{out}_errors`` holds the error; else that column is null."""
     from playframe.ml.linear import fit_components
 
     comps = fit_components(train, maps, n_components)
-    scored = comps.scores(train, maps, "__s")
-    k = len(comps.loadings)
-    wide = scored.withColumns({f"__pc{i}": F.get("__s", F.lit(i)) for i in range(k)}).drop("__s").persist()
+    try:
+        model = boosting.fit(comps.scores(train, maps, "__s"), "__s", vector, cfg, group if group in train.columns else None)
+        guess, error = model.predict(test, vector, f"{out}_scores"), None
+    except Exception as ex:  # noqa: BLE001 - reported in the result
+        zeros = F.lit([0.0] * len(comps.loadings)).cast("array<double>")  # scores are centred
+        guess, error = test.withColumn(f"{out}_scores", zeros), f"{type(ex).__name__}: {ex}"
+    both = comps.scores(comps.restore(guess, f"{out}_scores", out), maps, f"{out}_truth")
+    return both.withColumn(f"{out}_errors", F.lit(error).cast("string"))
 
-    def one(i: int):
-        try:
-            return fit_booster(wide, f"__pc{i}", vector, cfg), None
-        except Exception as ex:  # noqa: BLE001 - reported in the result
-            return None, f"{i}: {type(ex).__name__}: {ex}"
 
-    with ThreadPoolExecutor(threads) as pool:
-        fitted = list(pool.map(one, range(k)))
-    models, errors = [m for m, _ in fitted], [e for _, e in fitted if e]
-    means = wide.agg(*[F.avg(f"__pc{i}").alias(f"m{i}") for i in range(k)]).first()
-    out_df = test
-    for i, m in enumerate(models):
-        if m is None:
-            out_df = out_df.withColumn(f"__p{i}", F.lit(means[i]))
-        else:
-            out_df = m.setPredictionCol(f"__p{i}").transform(out_df)
-    wide.unpersist()
-    packed = out_df.withColumn("__s", F.array(*[F.col(f"__p{i}") for i in range(k)])).drop(*[f"__p{i}" for i in range(k)])
-    told = F.lit("\n".join(errors)) if errors else F.lit(None).cast("string")
-    return comps.restore(packed, "__s", out).drop("__s").withColumn(f"{out}_errors", told)
-
-
-def predict_scalars(train: DataFrame, test: DataFrame, targets: list[str], feature_sets: dict[str, str], cfg: Boosting, threads: int = 6) -> DataFrame:
-    """Scores per target and feature set; ``feature_sets`` maps a set to its
-    vector column. Failures are reported as rows with an error."""
+def component_scores(predicted: DataFrame, out: str = "predicted") -> DataFrame:
+    """Scores per component of what ``predict_map`` gives."""
+    pair = F.arrays_zip(F.col(f"{out}_truth").alias("t"), F.col(f"{out}_scores").alias("p"))
+    return scores(predicted.select(F.posexplode(pair).alias("i", "z")).select((F.col("i") + 1).alias("pc"), "z.t", "z.p"), "t", "p", ["pc"])
+
+
+def predict_scalars(train: DataFrame, test: DataFrame, targets: list[str], feature_sets: dict[str, str], cfg: Boosting, threads: int = 6,
+                    group: str = "match_id") -> DataFrame:
+    """Scores per target, kind of model and feature set; ``feature_sets`` maps a
+    set to its column of feature arrays. Failures are reported as rows with an error."""
+    own = group if group in train.columns else None
+
     def one(job):
-        target, name = job
+        target, kind, settings, name = job
         try:
-            model = fit_booster(train, target, feature_sets[name], cfg)
-            s = scores(model.transform(test), target, "prediction").first()
+            known = train.withColumn("__y", F.array(F.col(target).cast("double")))
+            model = boosting.fit(known, "__y", feature_sets[name], settings, own)
+            guess = model.predict(test, feature_sets[name], "__p").withColumn("prediction", F.get("__p", F.lit(0)))
+            s = scores(guess, target, "prediction").first()
             n_train = train.filter(F.col(target).isNotNull()).count()
-            return target, "boosted", name, n_train, s.n, s.r2, s.rmse, s.mae, None
+            return target, kind, name, n_train, s.n, s.r2, s.rmse, s.mae, None
         except Exception as ex:  # noqa: BLE001 - reported in the result
-            return target, "boosted", name, None, None, None, None, None, f"{type(ex).__name__}: {ex}"
+            return target, kind, name, None, None, None, None, None, f"{type(ex).__name__}: {ex}"
 
-    jobs = [(t, n) for t in targets for n in feature_sets]
+    jobs = [(t, kind, settings, n) for t in targets for kind, settings in model_kinds(cfg).items() for n in feature_sets]
     with ThreadPoolExecutor(threads) as pool:
         rows = list(pool.map(one, jobs))
     return train.sparkSession.createDataFrame(

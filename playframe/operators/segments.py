@@ -3,14 +3,27 @@
 Rules that look at one event (failed pass, shot, movement threshold) or at the
 gap to the next one (stoppage) are boundary flags, and running sums over them
 name independent runs. Only the two caps (passes and time) depend on where a
-window started. A run that can meet neither cap is one window. Of the others,
-short runs are folded in a higher-order function, and runs of any length beyond
-that follow next-window pointers by doubling, so no run is ever collected.
+window started. A run that can meet neither cap is one window.
+
+The windows of all other runs are found as a prefix composition over blocks of
+rows. Inside a block, where the window that starts at a row closes follows from
+two searches; a table gives for every row the last window start that is reached
+from it inside the block. Few starts are left per block. Each is carried to the
+block and row where its window closes, which composes the tables of two blocks,
+and doubling the steps composes those of two, four, eight, ... blocks. So a run of
+any length takes rounds that grow with the logarithm of its blocks, and no list
+is longer than a block.
+
+A window is full by the time cap at the first event with time - start > cap, as
+the rule says, difference of two doubles included: the least such time is found
+exactly before it is searched for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from playframe.operators.ordered import ordered
 from playframe.operators.ranges import asof_forward
@@ -36,7 +49,7 @@ def local_reason(is_pass: Column, completed: Column, is_shot: Column, mean_disp:
 
 def assign_windows(events: DataFrame, match: list[str], sequence: list[str], *, time: str, ordinal: str,
                    stop: str, reason: str, counted: str, max_passes: int, max_seconds: float,
-                   width: float, fold_rows: int = 2048) -> DataFrame:
+                   width: float, block_rows: int = 4096) -> DataFrame:
     """Give every open-play event its run and window.
 
     ``stop`` marks stoppage rows (they belong to no sequence and are dropped),
@@ -70,105 +83,177 @@ def assign_windows(events: DataFrame, match: list[str], sequence: list[str], *,
         F.count(F.lit(1)).alias("__n"), F.count_if(F.col(counted)).alias("__passes"),
         (F.max(time) - F.min(time)).alias("__span"),
     )
-    sizes = sizes.withColumn(
-        "__path",
-        F.when((F.col("__passes") < max_passes) & (F.col("__span") <= max_seconds), 0)
-        .when(F.col("__n") <= fold_rows, 1).otherwise(2),
-    )
-    # only the runs that may meet a cap are kept; they are few, and writing
-    # them once lets the long path be planned only where it is needed
-    capped = cut_lineage(sizes.filter(F.col("__path") > 0).select(*run, "__path"))
-    routed = runs.join(capped, run, "left").withColumn("__path", F.coalesce("__path", F.lit(0)))
-    columns = runs.columns
-
-    whole = routed.filter(F.col("__path") == 0).select(*columns, F.lit(0).cast("bigint").alias("win"))
-    short = routed.filter(F.col("__path") == 1).select(*columns)
-    folded = _fold(short, run, time, ordinal, counted, max_passes, max_seconds)
-    result = whole.unionByName(folded)
-    if not capped.filter(F.col("__path") == 2).isEmpty():
-        long = cut_lineage(routed.filter(F.col("__path") == 2).select(*columns))
-        result = result.unionByName(_chase(long, run, time, ordinal, counted, max_passes, max_seconds, width))
-    return result
-
-
-def _fold(rows: DataFrame, run: list[str], time: str, ordinal: str, counted: str,
-          max_passes: int, max_seconds: float) -> DataFrame:
-    """Windows of short runs: one pass over the ordered rows of a run."""
-    rest = [c for c in rows.columns if c not in run and c not in (time, ordinal)]
-    row = F.struct(time, ordinal, *rest)
-    packed = rows.groupBy(*run).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("wins"), F.lit(0).cast("bigint").alias("win"),
-        F.lit(None).cast("double").alias("since"), F.lit(0).alias("passes"),
-    )
+    capped = cut_lineage(sizes.filter(~((F.col("__passes") < max_passes) & (F.col("__span") <= max_seconds))).select(*run))
+    # keys may be null, which the joins take for equal
+    whole = _by(runs, capped, run, "left_anti").withColumn("win", F.lit(0).cast("bigint"))
+    return whole.unionByName(_capped(_by(runs, capped, run, "left_semi"), run, time, ordinal, counted, max_passes, max_seconds, width, block_rows))
 
-    def step(acc: Column, e: Column) -> Column:
-        since = F.coalesce(acc["since"], e[time].cast("double"))
-        passes = acc["passes"] + e[counted].cast("int")
-        full = (passes >= max_passes) | (e[time] - since > max_seconds)
-        return F.struct(
-            F.array_append(acc["wins"], acc["win"]).alias("wins"),
-            F.when(full, acc["win"] + 1).otherwise(acc["win"]).alias("win"),
-            F.when(~full, since).alias("since"),
-            F.when(full, 0).otherwise(passes).alias("passes"),
-        )
-
-    wins = F.aggregate("__rows", start, step, lambda acc: acc["wins"])
-    opened = packed.select(*run, F.explode(F.arrays_zip(F.col("__rows").alias("r"), wins.alias("w"))).alias("__z"))
-    return opened.select(
-        *[F.col(c) if c in run else F.col(f"__z.r.{c}").alias(c) for c in rows.columns],
-        F.col("__z.w").alias("win"),
-    )
 
+def _by(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys that may be null; of the right side only what is new."""
+    renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
-def _chase(rows: DataFrame, run: list[str], time: str, ordinal: str, counted: str, max_passes: int,
-           max_seconds: float, width: float) -> DataFrame:
-    """Windows of long runs.
 
-    For every row the position right after the window it would start is known
-    from two lookups: the row of the pass that fills the cap, and the first row
-    past the time cap. Rows that really start a window are those reached from
-    the first row; doubling the pointers reaches them in a number of rounds
-    that grows with the logarithm of the windows in a run.
-    """
-    passed = F.col(counted).cast("bigint")
-    placed = cut_lineage(ordered(rows, run, [time, ordinal], width, cumsum={"__p": passed}, index="__pos"))
-    before = F.col("__p") - passed
-
-    by_pass = placed.filter(F.col(counted)).select(*run, F.col("__p").alias("__nth"), F.col("__pos").alias("__at_pass"))
-    hop = placed.select(*run, "__pos", time, (before + max_passes).alias("__nth")).join(by_pass, run + ["__nth"], "left")
-
-    # first row past the time cap: the lookup starts a hair early, so that the
-    # rule itself, a difference of two times, decides between the row found and
-    # the first row of the next distinct time
-    wanted = placed.select(*run, "__pos", F.col(time).alias("__from"),
-                           (F.col(time) + F.lit(max_seconds - 1e-9)).alias("__until"))
-    late = asof_forward(wanted, placed.select(*run, F.col(time).alias("__late_t"), F.col("__pos").alias("__late")),
-                        run, "__until", "__late_t", "__late", ["__late", "__late_t"], width)
-    same = placed.groupBy(*run, F.col(time).alias("__late_t")).agg(F.max("__pos").alias("__same_last"))
-    at_time = F.when(F.col("__late_t") - F.col("__from") > max_seconds, F.col("__late")).when(
-        F.col("__late_t") >= F.col("__until"), F.col("__same_last") + 1
-    )
-    late = late.join(same, run + ["__late_t"]).select(*run, "__pos", at_time.alias("__at_time"))
+def _least_late(start: np.ndarray, cap: float) -> np.ndarray:
+    """The least double t with t - start > cap, for each start."""
+    late = start + cap
+    while (low := late - start <= cap).any():
+        late = np.where(low, np.nextafter(late, np.inf), late)
+    while (high := (before := np.nextafter(late, -np.inf)) - start > cap).any():
+        late = np.where(high, before, late)
+    return late
+
+
+def _closings(time: np.ndarray, passed: np.ndarray, max_passes: int, max_seconds: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the window that starts at each row of a block: the row that closes it
+    (the number of rows if none does), the passes before the row, and the least
+    time past the cap."""
+    upto, late = np.cumsum(passed), _least_late(time, max_seconds)
+    before = upto - passed
+    return np.minimum(np.searchsorted(upto, before + max_passes), np.searchsorted(time, late)), before, late
+
+
+def _leaves(close: np.ndarray) -> np.ndarray:
+    """The last window start reached from each row inside the block; the number
+    of rows where the next window starts with the next block."""
+    n = len(close)
+    go = np.append(np.where(close >= n, np.arange(n), np.minimum(close + 1, n)), n)
+    while not np.array_equal(step := go[go], go):
+        go = step
+    return go[:n]
+
+
+def _placed(table: pa.Table, time: str, counted: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows of a block in order, their times and pass flags."""
+    table = table.take(np.argsort(table.column("__pos").to_numpy()))
+    return table, table.column(time).cast(pa.float64()).to_numpy(), table.column(counted).cast(pa.int64()).to_numpy()
+
+
+def _capped(rows: DataFrame, run: list[str], time: str, ordinal: str, counted: str, max_passes: int, max_seconds: float,
+            width: float, block_rows: int) -> DataFrame:
+    """Windows of the runs that may meet a cap."""
+    placed = ordered(rows, run, [time, ordinal], width, index="__pos").withColumn(counted, F.coalesce(counted, F.lit(False)))
+    placed = materialize(placed.withColumn("__block", F.floor(F.col("__pos") / block_rows)))
+    entries = placed.filter(F.col("__pos") == 0).select(*run, "__block", F.lit(0).cast("bigint").alias("__entry"))
+    many = placed.filter((F.col("__pos") == block_rows)).select(*run)
+    if not many.isEmpty():
+        entries = entries.unionByName(_entries(_by(placed, cut_lineage(many), run, "left_semi"), run, time, counted, max_passes, max_seconds))
+
+    def starts(table: pa.Table) -> pa.Table:
+        """Numbers the windows of a block whose first start is known."""
+        table, times, passed = _placed(table, time, counted)
+        close, _, _ = _closings(times, passed, max_passes, max_seconds)
+        mark, entry = np.zeros(len(close), dtype=np.int64), table.column("__entry")[0].as_py()
+        at = len(close) if entry is None else entry - table.column("__pos")[0].as_py()
+        while at < len(close):
+            mark[at] = 1
+            at = int(close[at]) + 1
+        return table.drop_columns(["__entry"]).append_column("__start", pa.array(np.cumsum(mark)))
+
+    known = _by(placed, entries, run + ["__block"], "left")
+    marked = known.groupBy(*run, "__block").applyInArrow(starts, T.StructType([*placed.schema.fields, T.StructField("__start", T.LongType())]))
+    if many.isEmpty():
+        return marked.select(*rows.columns, (F.col("__start") - 1).alias("win"))
+    marked = materialize(marked)
+    sums = marked.groupBy(*run, "__block").agg(F.max("__start").alias("__n"))  # one row per block
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*run).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = _by(marked, sums.select(*run, "__block", before.alias("__before")), run + ["__block"], "inner")
+    return numbered.select(*rows.columns, (F.col("__before") + F.col("__start") - 1).alias("win"))
+
+
+def _entries(placed: DataFrame, run: list[str], time: str, counted: str, max_passes: int, max_seconds: float) -> DataFrame:
+    """First window start of every later block of long runs, where it has one."""
+    keys = [f for f in placed.schema.fields if f.name in run]
+    key_names = [f.name for f in keys]
+    long, real = T.LongType(), T.DoubleType()
+
+    def of_keys(table: pa.Table, n: int) -> list[pa.Array]:
+        return [pa.repeat(table.column(k)[0], n) for k in key_names]
+
+    def leaving(table: pa.Table) -> pa.Table:
+        """The starts left per block (-1: the next block's first row), what their
+        windows wait for, and the start left from the first row."""
+        table, times, passed = _placed(table, time, counted)
+        close, before, late = _closings(times, passed, max_passes, max_seconds)
+        leaf, first = _leaves(close), table.column("__pos")[0].as_py()
+        left = np.unique(leaf)
+        inner = np.minimum(left, len(close) - 1)
+        aligned = left == len(close)
+        n, left_first = len(left), leaf[0] + first if leaf[0] < len(close) else -1
+        return pa.Table.from_arrays(
+            [*of_keys(table, n), pa.array(np.full(n, table.column("__block")[0].as_py())), pa.array(np.where(aligned, -1, left + first)),
+             pa.array(passed.sum() - before[inner]), pa.array(late[inner]), pa.array(np.full(n, left_first)),
+             pa.array(np.full(n, passed.sum())), pa.array(np.full(n, times[-1])), pa.array(np.full(n, first + len(close)))],
+            names=[*key_names, "__block", "__node", "__since", "__late", "__first", "__passes", "__last", "__end"])
+
+    fields = [("__block", long), ("__node", long), ("__since", long), ("__late", real), ("__first", long), ("__passes", long), ("__last", real), ("__end", long)]
+    nodes = materialize(placed.groupBy(*run, "__block").applyInArrow(leaving, T.StructType([*keys, *[T.StructField(k, t) for k, t in fields]])))
+    blocks = nodes.groupBy(*run, "__block").agg(*[F.first(c).alias(c) for c in ("__first", "__passes", "__last", "__end")])
+    upto = F.sum("__passes").over(Window.partitionBy(*run).orderBy("__block"))  # one row per block
+    blocks = materialize(blocks.withColumn("__upto", upto))
+
+    # the block in which the window of each open start closes
+    one = placed.select(*run).distinct().withColumn("__run", F.monotonically_increasing_id())
+    one = materialize(one)  # a name without nulls for the lookups
+    blocks = materialize(_by(blocks, one, run, "inner"))
+    open_ = _by(nodes.filter("__node >= 0").select(*run, "__block", "__node", "__since", "__late"), blocks.select(*run, "__block", "__run", "__upto"), run + ["__block"], "inner")
+    open_ = materialize(open_.select(*run, "__run", "__block", "__node", "__late", (F.col("__upto") - F.col("__since") + max_passes).alias("__full")))
+    series = blocks.select("__run", F.col("__upto").cast("double").alias("__u"), F.col("__last").alias("__l"), F.col("__block").alias("__to"))
+    targets = open_.select("__run", "__node", "__late", F.col("__full").cast("double").alias("__full"))
+    by_pass = asof_forward(targets, series.withColumn("__up", F.col("__u")), ["__run"], "__full", "__u", "__to", ["__to", "__up"], 65536.0).filter("__up >= __full")
+    by_time = asof_forward(targets, series.withColumn("__lt", F.col("__l")), ["__run"], "__late", "__l", "__to", ["__to", "__lt"], 65536.0).filter("__lt >= __late")
+    landing = by_pass.select("__run", "__node", "__to").union(by_time.select("__run", "__node", "__to")).groupBy("__run", "__node").agg(F.min("__to").alias("__to"))
+    waiting = materialize(open_.join(landing, ["__run", "__node"]).join(blocks.select("__run", F.col("__block").alias("__to"), (F.col("__upto") - F.col("__passes")).alias("__had")), ["__run", "__to"])
+                          .select(*run, F.col("__to").alias("__block"), "__node", (F.col("__full") - F.col("__had")).alias("__need"), "__late"))
+
+    def land(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For the starts whose windows close in a block: the row after, and the
+        start that is left from there."""
+        if not left.num_rows:
+            return pa.Table.from_arrays([*[pa.array([], right.schema.field(k).type) for k in key_names], *[pa.array([], pa.int64())] * 4],
+                                        names=[*key_names, "__node", "__block", "__entry", "__left"])
+        right, times, passed = _placed(right, time, counted)
+        close, _, _ = _closings(times, passed, max_passes, max_seconds)
+        leaf, first = _leaves(close), right.column("__pos")[0].as_py()
+        at = np.minimum(np.searchsorted(np.cumsum(passed), left.column("__need").to_numpy()), np.searchsorted(times, left.column("__late").to_numpy())) + 1
+        gone = np.append(leaf, len(leaf))[at]
+        return pa.Table.from_arrays(
+            [*[left.column(k) for k in key_names], left.column("__node"), left.column("__block"), pa.array(np.where(at < len(leaf), at + first, -1)),
+             pa.array(np.where(gone < len(leaf), gone + first, -1))], names=[*key_names, "__node", "__block", "__entry", "__left"])
+
+    schema = T.StructType([*keys, *[T.StructField(c, long) for c in ("__node", "__block", "__entry", "__left")]])
+    cut = run + ["__block"]
+    closed = waiting.groupBy(*cut).cogroup(_by(placed, waiting.select(*cut).distinct(), cut, "left_semi").groupBy(*cut)).applyInArrow(land, schema)
+    # a step goes from a start to the one left in the block where its window closes,
+    # and brings that block its first start; "the first row of the next block" is
+    # named by the end of the block, below zero
+    def place(node: str) -> Column:
+        return F.when(F.col(node) >= 0, F.col(node)).otherwise(-1 - F.col("__end"))
+
+    steps = _by(closed, blocks.select(*run, "__block", "__end"), cut, "inner")
+    steps = steps.select(*run, F.col("__node").alias("__from"), "__block", "__entry", place("__left").alias("__to"))
+    edge = blocks.select(*run, "__block", "__end", "__first")
+    before = edge.select(*run, (F.col("__block") + 1).alias("__block"), F.col("__end").alias("__entry"))
+    aligned = _by(edge, before, cut, "inner").select(*run, (-1 - F.col("__entry")).alias("__from"), "__block", "__entry", place("__first").alias("__to"))
+    steps = materialize(steps.unionByName(aligned))
+    root = edge.filter(F.col("__block") == 0).select(*run, place("__first").alias("__at"))
+    reached = _reach(root, steps.select(*run, "__from", "__to"), run)
+    taken = _by(steps, reached.withColumnRenamed("__at", "__from"), run + ["__from"], "left_semi")
+    return taken.filter("__entry >= 0").select(*run, "__block", "__entry").distinct()
+
 
-    jumps = hop.join(late, run + ["__pos"], "left")
-    end = F.least(F.col("__at_pass"), F.col("__at_time"))
-    jumps = cut_lineage(jumps.filter(end.isNotNull()).select(*run, "__pos", (end + 1).alias("__to")))
-    reached = cut_lineage(placed.select(*run).distinct().withColumn("__pos", F.lit(0).cast("bigint")))
+def _reach(root: DataFrame, steps: DataFrame, run: list[str]) -> DataFrame:
+    """All places reached from the root of each run; the steps double in length."""
+    reached, jumps = cut_lineage(root), steps
     while True:
-        more = reached.join(jumps, run + ["__pos"]).select(*run, F.col("__to").alias("__pos"))
-        grown = cut_lineage(reached.union(more).distinct())
-        far = jumps.select(*run, "__pos", F.col("__to").alias("__mid")).join(
-            jumps.select(*run, F.col("__pos").alias("__mid"), "__to"), run + ["__mid"]
-        ).select(*run, "__pos", "__to")
-        reached = grown
-        jumps = cut_lineage(far)
+        more = _by(reached.withColumnRenamed("__at", "__from"), jumps, run + ["__from"], "inner").select(*run, F.col("__to").alias("__at"))
+        reached = cut_lineage(reached.unionByName(more).distinct())
+        far = _by(jumps.withColumnRenamed("__from", "__origin").withColumnRenamed("__to", "__from"), jumps, run + ["__from"], "inner")
+        jumps = cut_lineage(far.select(*run, F.col("__origin").alias("__from"), "__to"))
         if jumps.isEmpty():
-            break
-    starts = reached.withColumn("__start", F.lit(1).cast("bigint"))
-    marked = placed.join(starts, run + ["__pos"], "left")
-    numbered = ordered(marked, run, ["__pos"], 65536.0, cumsum={"__w": F.coalesce("__start", F.lit(0).cast("bigint"))})
-    return numbered.select(*rows.columns, (F.col("__w") - 1).alias("win"))
+            return reached
 
 
 def close_reason(last_local: Column, passes: Column, span: Column, has_next: Column,

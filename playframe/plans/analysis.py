@@ -6,7 +6,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from playframe.functions import taxonomy
@@ -16,6 +15,7 @@ from playframe.operators import grids
 from playframe.operators.ordered import ordered
 from playframe.plans import maps, similarity
 from playframe.plans.merge import merge_phase_features, numeric_columns
+from playframe.session import materialize
 
 PHASE = maps.PHASE_KEYS
 INFO = ["sequence_id", "team", "period", "frame_count"]
@@ -72,12 +72,12 @@ class MapComponents:
     shape: tuple[int, int]
 
 
-def map_components(recurrence: DataFrame, n_components: int = 20, **options) -> MapComponents:
+def map_components(recurrence: DataFrame, n_components: int = 20, share: float = 0.95, **options) -> MapComponents:
     """Principal components of occupancy maps: scores per phase, loadings per
-    block and cell, explained variance."""
+    block and cell, explained variance up to a ``share`` of all."""
     vectors, (n_rows, n_cols), blocks = phase_vectors(recurrence, **options)
     vectors = vectors.persist()
-    fitted = linear.fit_components(vectors, "cells")
+    fitted = linear.fit_components(vectors, "cells", n_components, share)
     kept = fitted.keep(min(n_components, len(fitted.ratio)))
     scored = kept.scores(vectors, "cells", "__s").drop("cells")
     scores = scored.select(*[c for c in scored.columns if c != "__s"], *[F.get("__s", F.lit(i)).alias(f"PC{i + 1}") for i in range(len(kept.loadings))])
@@ -174,11 +174,10 @@ def cluster_phases(phases: DataFrame, movement: DataFrame, windows: DataFrame, s
         data = prepare.scaled_vector(data, scaling, columns, weight, other, "__other")
         names = [n for n, a in zip(scaling.names, at) if a]
         if cfg.territory_anchor in names:
-            data = prepare.residual_on(data, "__other", [names.index(cfg.territory_anchor)], len(names), "__other")
-        fitted = linear.fit_components(data, "__other")
-        kept = fitted.keep(fitted.count_for(cfg.keep_variance))
+            data = prepare.residual_on(data, "__other", [names.index(cfg.territory_anchor)], "__other")
+        kept = linear.fit_components(data, "__other", share=cfg.keep_variance)
         data = kept.scores(data, "__other", "__reduced").drop("__other")
-        total = (fitted.variance[:, None] * fitted.loadings ** 2).sum(axis=0)
+        total = kept.spread
         held = (kept.variance[:, None] * kept.loadings ** 2).sum(axis=0)
         group_of = np.array([g for g, a in zip(scaling.groups, at) if a])
         retained.update({g: float(held[group_of == g].sum() / total[group_of == g].sum()) for g in sorted(set(group_of))})
@@ -288,10 +287,9 @@ def prediction(phases: DataFrame, cfg: regress.Boosting | None = None, n_compone
     flags = [f.name for f in df.schema.fields if f.dataType.simpleString() == "boolean"]
     sets = taxonomy.FeatureSets(tuple(numeric_columns(df) + flags), available, tuple(onehot)).build()
     used = sorted({c for cols in sets.values() for c in cols})
-    # trees send missing values one way; a value below the range does the same
-    filled = df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1e6)) for c in used})
+    filled = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in used})  # missing features stay missing
     for name, cols in sets.items():
-        filled = filled.withColumn(f"__{name}", array_to_vector(F.array(*[F.col(f"`{c}`") for c in cols])))
+        filled = filled.withColumn(f"__{name}", F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
     # a feature list is a target as well; targets keep their nulls
     filled = filled.withColumns({f"__t_{t}": df[t].cast("double") for t in targets if t in df.columns})
     vectors = {name: f"__{name}" for name in sets}
@@ -304,10 +302,16 @@ def prediction(phases: DataFrame, cfg: regress.Boosting | None = None, n_compone
     out = {"scalars": regress.predict_scalars(train, test, [f"__t_{t}" for t in targets if t in df.columns], vectors, cfg)
            .withColumn("target", F.regexp_replace("target", "^__t_", ""))}
     if "pc_map" in keep:
-        rows = regress.map_scores(regress.mean_map_baseline(train, test, "pc_map"), "pc_map", "predicted").withColumn("cat", F.lit("baseline"))
-        for name, v in vectors.items():
-            guess = regress.predict_map(train, test, v, "pc_map", n_components, cfg)
-            rows = rows.unionByName(regress.map_scores(guess, "pc_map", "predicted").withColumn("cat", F.lit(name)))
+        rows = regress.map_scores(regress.mean_map_baseline(train, test, "pc_map"), "pc_map", "predicted").withColumns({"model": F.lit("mean map"), "cat": F.lit("baseline")})
+        parts = None
+        for kind, settings in regress.model_kinds(cfg).items():
+            for name, v in vectors.items():
+                guess = materialize(regress.predict_map(train, test, v, "pc_map", n_components, settings).select("pc_map", *[f"predicted{x}" for x in ("", "_scores", "_truth")]))
+                tags = {"model": F.lit(kind), "cat": F.lit(name)}
+                rows = rows.unionByName(regress.map_scores(guess, "pc_map", "predicted").withColumns(tags))
+                one = regress.component_scores(guess).withColumns(tags)
+                parts = one if parts is None else parts.unionByName(one)
+        out["components"] = parts
         out["maps"] = rows
     return out
 

@@ -95,7 +95,7 @@ def phases(events: DataFrame, frames: DataFrame, matches: DataFrame, scores: Dat
     relevant = flagged.filter(F.col("is_stop") | F.col("sequence").isNotNull())
     assigned = segments.assign_windows(
         relevant, ["match_id"], ["sequence"], time="event_time", ordinal="ordinal", stop="is_stop", reason="reason", counted="counted",
-        max_passes=cfg.max_window_passes, max_seconds=cfg.max_window_seconds, width=cfg.block_seconds, fold_rows=cfg.fold_rows)
+        max_passes=cfg.max_window_passes, max_seconds=cfg.max_window_seconds, width=cfg.block_seconds, block_rows=cfg.block_rows)
     assigned = materialize(assigned)
     order = F.struct("event_time", "ordinal")
     extra = [

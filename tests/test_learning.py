@@ -31,14 +31,16 @@ def test_components_match_svd(blobs):
     assert c.count_for(0.5) == int(np.searchsorted(np.cumsum(c.ratio), 0.5) + 1)
 
 
-def test_wide_components_agree(blobs, monkeypatch):
-    _, df = blobs
-    narrow = linear.fit_components(df, "features", 3)
-    monkeypatch.setattr(linear, "MAX_WIDTH", 2)
-    wide = linear.fit_components(df, "features", 3)
-    np.testing.assert_allclose(wide.variance, narrow.variance, rtol=1e-6)
-    np.testing.assert_allclose(wide.loadings, narrow.loadings, atol=1e-6)
-    np.testing.assert_allclose(wide.ratio, narrow.ratio, rtol=1e-6)
+def test_small_blocks_give_the_same_components(blobs):
+    x, df = blobs
+    whole = linear.fit_components(df, "features", 3)
+    for block in (1, 2, 4):
+        small = linear.fit_components(df, "features", 3, block=block)
+        np.testing.assert_allclose(small.variance, whole.variance, rtol=1e-9)
+        np.testing.assert_allclose(small.loadings, whole.loadings, atol=1e-6)
+        np.testing.assert_allclose(small.ratio, whole.ratio, rtol=1e-9)
+    assert len(linear.fit_components(df, "features", share=0.9, block=1).ratio) == whole.count_for(0.9)
+    np.testing.assert_allclose(whole.spread, x.var(axis=0, ddof=1))
 
 
 def test_components_survive_saving(spark, blobs, tmp_path):
@@ -261,6 +263,40 @@ def test_wide_vectors_keep_all_components(spark):
     assert np.cumsum(c.ratio)[c.count_for(0.9) - 1] >= 0.9
     with pytest.raises(ValueError):
         c.keep(100).count_for(0.9)
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)[:149]
+    np.testing.assert_allclose(c.variance, s ** 2 / 149, rtol=1e-8)
+
+
+def test_components_of_maps_of_full_width(spark):
+    """14,280 places: the residuals of the components of a share, against the rows themselves."""
+    rng = np.random.default_rng(8)
+    n, d, rank = 400, 14280, 40
+    x = (rng.normal(size=(n, rank)) * 0.8 ** np.arange(rank)) @ rng.normal(size=(rank, d)) + 0.01 * rng.normal(size=(n, d)) + 3.0
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(8)
+    c = linear.fit_components(df, "v", share=0.95)
+    centred = x - x.mean(0)
+    total = (centred ** 2).sum() / (n - 1)
+    assert c.ratio.sum() >= 0.95 > c.ratio[:-1].sum() and c.variance.sum() / total == pytest.approx(c.ratio.sum())
+    residual = centred.T @ (centred @ c.loadings.T) / (n - 1) - c.loadings.T * c.variance
+    assert np.linalg.norm(residual, axis=0).max() <= 1e-7 * c.variance[0]
+    np.testing.assert_allclose(c.loadings @ c.loadings.T, np.eye(len(c.loadings)), atol=1e-9)
+
+
+def test_components_of_alike_and_of_few_rows(spark):
+    same = spark.createDataFrame([([1.0, 2.0],)] * 3, "v array<double>")
+    assert len(linear.fit_components(same, "v").loadings) == 0
+    two = spark.createDataFrame([([0.0, 0.0, 0.0],), ([1.0, 2.0, 2.0],)], "v array<double>")
+    c = linear.fit_components(two, "v")
+    np.testing.assert_allclose(c.loadings, [[1 / 3, 2 / 3, 2 / 3]])
+    assert c.variance[0] == pytest.approx(4.5)
+
+
+def test_residual_on_anchors(blobs):
+    x, df = blobs
+    for anchors in ([0], [1, 4], [2, 2]):
+        got = np.array([r.f for r in prepare.residual_on(df.withColumn("f", F.col("features")), "f", anchors, "f").orderBy("id").collect()])
+        a = np.column_stack([np.ones(len(x)), x[:, anchors]])
+        np.testing.assert_allclose(got, x - a @ np.linalg.lstsq(a, x, rcond=None)[0], atol=1e-9)
 
 
 def test_weighted_deviation_far_from_zero(spark):
@@ -285,3 +321,65 @@ def test_group_split_by_hash(spark):
     assert a | b == set(range(40)) and not a & b and 1 <= len(b) < 20
     one, none = regress.group_split(df.filter("g = 3"), "g", 0.2)
     assert one.count() + none.count() == 10
+
+
+def lloyd(x, centres, tol, rounds=300):
+    for _ in range(rounds):
+        own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        fresh = np.array([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
+        done = np.sqrt(((fresh - centres) ** 2).sum(axis=1)).max() <= tol
+        centres = fresh
+        if done:
+            break
+    return centres, ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_shared_passes_of_kmeans(blobs, monkeypatch):
+    """Every setting ends where a plain run from its start ends, and all settings
+    together take as many passes as the slowest alone."""
+    from playframe.ml import kmeans
+
+    x, df = blobs
+    parts = df.withColumn("p", F.array(F.col("id") % 2 == 0, F.col("id") < 100))
+    settings = [kmeans.Setting(k, s) for k in (2, 3, 5) for s in range(3)] + [kmeans.Setting(3, 0, r, side) for r in (0, 1) for side in (True, False)]
+    starts, passes, seeded, sums = [], [], kmeans._seeded, kmeans.Rows.sums
+    monkeypatch.setattr(kmeans, "_seeded", lambda *a: starts.append(seeded(*a)) or starts[-1])
+    monkeypatch.setattr(kmeans.Rows, "sums", lambda *a: passes.append(1) or sums(*a))
+    fits = kmeans.fit_many(parts, "features", settings, "p", tol=1e-6)
+    together, ids = len(passes), np.arange(len(x))
+    for fit, start in zip(fits, list(starts)):
+        s = fit.setting
+        use = np.ones(len(x), dtype=bool) if s.part < 0 else ((ids % 2 == 0) if s.part == 0 else (ids < 100)) == s.side
+        centres, cost = lloyd(x[use] - x.mean(0), start, 1e-6)
+        np.testing.assert_allclose(fit.centres, centres + x.mean(0), atol=1e-9)
+        assert fit.cost == pytest.approx(cost)
+    alone = []
+    for s in settings:
+        passes.clear()
+        kmeans.fit_many(parts, "features", [s], "p", tol=1e-6)
+        alone.append(len(passes))
+    assert together <= max(alone) + 3
+    labels = kmeans.assigned(df, "features", {"a": fits[0], "b": fits[3]}).orderBy("id").collect()
+    for name, fit in (("a", fits[0]), ("b", fits[3])):
+        assert [r[name] for r in labels] == ((x[:, None] - fit.centres[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()
+    both = kmeans.assigned(df, "features", {"a": fits[0], "b": fits[3]})
+    assert kmeans.agreements(df, "features", [(fits[0], fits[3])])[0] == pytest.approx(clusters.contingency_ari(both, "a", "b").first().ari)
+    assert kmeans.silhouettes(df, "features", [fits[0], fits[3]]) == pytest.approx([clusters.silhouette(both, c, "features") for c in "ab"])
+
+
+def test_fewer_rows_than_clusters(spark):
+    from playframe.ml import kmeans
+
+    df = spark.createDataFrame([([0.0, 1.0],), ([0.0, 1.0],), ([5.0, 1.0],)], "features array<double>")
+    fit = kmeans.best(kmeans.fit_many(df, "features", [kmeans.Setting(4, 0), kmeans.Setting(4, 1)]))
+    assert fit.cost == pytest.approx(0.0) and len(fit.centres) == 4
+
+
+def test_importance_of_values_far_from_zero(spark):
+    rows = [(i % 3, [1e9 + (i % 3) * 0.01 + (i % 7) * 0.001, float(i % 3)]) for i in range(210)]
+    df = spark.createDataFrame(rows, "c int, f array<double>")
+    x, c = np.array([r[1] for r in rows]) - [1e9, 0.0], np.array([r[0] for r in rows])
+    between = sum((c == k).sum() * (x[c == k].mean(0) - x.mean(0)) ** 2 for k in range(3))
+    want = between / ((x - x.mean(0)) ** 2).sum(axis=0)
+    got = [r.eta_squared for r in clusters.eta_squared(df, "c", "f").orderBy("i").collect()]
+    np.testing.assert_allclose(got, want, rtol=1e-4)

@@ -1,4 +1,4 @@
-"""Segmentation against a plain fold, over all three execution paths."""
+"""Segmentation against a plain fold, over blocks of several sizes."""
 
 import random
 
@@ -47,14 +47,14 @@ def make_events(seed, n, local_share, stop_share, hot):
     return events
 
 
-@pytest.mark.parametrize("fold_rows", [10000, 0])
+@pytest.mark.parametrize("block_rows", [4096, 7, 2])
 @pytest.mark.parametrize("seed,local,stops,hot", [(1, 0.15, 0.05, 0.4), (2, 0.0, 0.0, 0.9)])
-def test_matches_the_fold(spark, seed, local, stops, hot, fold_rows):
+def test_matches_the_fold(spark, seed, local, stops, hot, block_rows):
     events = make_events(seed, 260, local, stops, hot)
     df = spark.createDataFrame([("m", *e) for e in events],
                                "match_id string, ordinal long, t double, seq int, is_stop boolean, counted boolean, reason string")
     shared = dict(time="t", ordinal="ordinal", reason="reason", counted="counted", max_passes=4, max_seconds=9.0)
-    a = segments.assign_windows(df, ["match_id"], ["seq"], stop="is_stop", width=20.0, fold_rows=fold_rows, **shared)
+    a = segments.assign_windows(df, ["match_id"], ["seq"], stop="is_stop", width=20.0, block_rows=block_rows, **shared)
     got = segments.summarise_windows(a, ["match_id"], ["seq"], extra=[F.sort_array(F.collect_list(F.struct("t", "ordinal"))).alias("m")], **shared)
     got = sorted((tuple(x.ordinal for x in r.m), r.reason_closed) for r in got.collect())
     assert got == plain_fold(events, 4, 9.0)
@@ -73,3 +73,60 @@ def test_thresholds_are_strict(spark):
     df = spark.createDataFrame([(2.0, 4.0), (2.1, 4.0), (2.0, 4.1), (2.1, 4.1), (None, None)], "a double, b double")
     r = segments.local_reason(F.lit(True), F.lit(True), F.lit(False), F.col("a"), F.col("b"), 2.0, 4.0)
     assert [x.r for x in df.select(r.alias("r")).collect()] == [None, "threshold_mean", "threshold_max", "threshold_both", None]
+
+
+def numpy_windows(t, passed, max_passes, max_seconds):
+    """Window numbers of one run by walking its events."""
+    out, win, start, n = [], 0, None, 0
+    for x, p in zip(t, passed):
+        start = x if start is None else start
+        n += p
+        out.append(win)
+        if n >= max_passes or x - start > max_seconds:
+            win, start, n = win + 1, None, 0
+    return out
+
+
+def windows_of(spark, t, passed, block_rows, max_passes=4, max_seconds=9.0):
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"ordinal": range(len(t)), "t": t, "counted": [bool(p) for p in passed]}))
+    df = df.select(F.lit("m").alias("match_id"), F.lit(None).cast("string").alias("seq"), "ordinal", "t", "counted",
+                   F.lit(False).alias("is_stop"), F.lit(None).cast("string").alias("reason"))
+    a = segments.assign_windows(df, ["match_id"], ["seq"], time="t", ordinal="ordinal", stop="is_stop", reason="reason", counted="counted",
+                                max_passes=max_passes, max_seconds=max_seconds, width=20.0, block_rows=block_rows)
+    return [r.win for r in a.select("ordinal", "win").orderBy("ordinal").collect()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_runs_and_times_at_the_cap(spark, seed):
+    """Times that differ by 1e-10 around the cap, a null sequence, blocks that windows end with, blocks inside one window."""
+    rng = random.Random(seed)
+    t, now = [], 1000.0
+    for _ in range(300):
+        now += rng.choice([0.0, 1e-10, 3.0, 9.0 - 1e-10, 9.0, 4.5, 0.1])
+        t.append(now)
+    if seed == 3:
+        t = sorted([1000.0] * 200 + [1009.0 + k * 1e-12 for k in range(100)])
+    passed = [rng.random() < (0.05, 0.5, 0.9, 0.0)[seed] for _ in t]
+    want = numpy_windows(t, passed, 4, 9.0)
+    for block_rows in (1, 5, 64):
+        assert windows_of(spark, t, passed, block_rows) == want
+
+
+def test_least_time_past_the_cap():
+    import numpy as np
+
+    start = np.array([0.0, 1e-9, 0.1, 1000.3, 1.7e9, 123456.789])
+    for cap in (0.0, 0.1, 9.0, 29.999999):
+        late = segments._least_late(start, cap)
+        assert (late - start > cap).all() and (np.nextafter(late, -np.inf) - start <= cap).all()
+
+
+def test_a_run_of_a_million_events(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    t = np.cumsum(rng.choice([0.25, 0.5, 1.0], 1_000_000))
+    passed = rng.random(1_000_000) < 0.3
+    assert windows_of(spark, t, passed, 4096) == numpy_windows(t.tolist(), passed.tolist(), 4, 9.0)
