@@ -7,8 +7,9 @@ normalised vectors of its training texts. A text gets the language of the
 centroid with the largest cosine; it is rejected where the cosine is below what
 nearly all training texts of that centroid reach.
 
-The fit takes about ``per_language`` training texts of each language, chosen by
-hash; prediction and the fit read whole texts.
+Document frequencies are counted over all training texts, the centroids of each
+language are fitted on at most ``per_language`` of its texts, those of least hash;
+prediction and the fit read whole texts.
 
 Defined results: a null text or one without letters gets ``und`` and score 0;
 rows are predicted one by one, repeated rows alike; ties go to the language
@@ -24,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from playframe.llm.common import Scratch, batch_of
 
@@ -37,7 +38,6 @@ class LangId:
     centroids: int = 4
     per_language: int = 500
     rounds: int = 8
-    languages: int = 500      # most languages that are fitted, the most frequent
     margin: float = 0.8       # of the smallest cosine of the nearest 99 % of a centroid's texts
     block: int = 1 << 19      # code points handled together
 
@@ -130,34 +130,40 @@ def _cluster(v: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(train: DataFrame, opt: LangId) -> Model | None:
-    """A model from rows (id, text, lang); null languages are left out."""
-    rows = train.filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(opt.languages).collect()
-    if not counts:
-        return None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.0 * opt.per_language / r["n"]))).otherwise(share)
-    drawn = (F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < share
-    scratch = Scratch(train.sparkSession, "langid")
-    sample = scratch.keep(rows.filter(drawn).select("lang", "text"))
-
-    def counted(table: pa.Table) -> np.ndarray:
-        texts = table.column("text").to_pylist()
-        v = np.concatenate([vectors(texts[a:b], opt.cells) for a, b in _blocks(texts, opt.block)])
+    """A model from rows (id, text, lang) of all languages there are; null
+    languages are left out. Document frequencies are counted over all rows, the
+    centroids fitted on at most ``per_language`` rows of each language."""
+    rows = train.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("id", "text").alias("ticket"))
+
+    def counted(texts: list[str]) -> np.ndarray:
+        v = [vectors(texts[a:b], opt.cells) for a, b in _blocks(texts, opt.block)]
+        v = np.concatenate(v) if v else np.empty((0, opt.cells))
         return v[v.sum(axis=1) > 0]
 
-    def frequency(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        v = counted(table)
-        return pa.table({"rows": [len(v)], "df": [(v > 0).sum(axis=0).astype(np.int64)]})
+    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(opt.cells + 1)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in _blocks(texts, opt.block):
+                v = counted(texts[a:b])
+                found += np.concatenate([(v > 0).sum(axis=0), [len(v)]])
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.float64()))], names=["found"])
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
-    found = sample.groupBy("lang").applyInArrow(frequency, "rows long, df array<long>").collect()
-    if not sum(r["rows"] for r in found):
+    parts = rows.select("text").mapInArrow(frequency, "found array<double>")
+    total = parts.groupBy(F.lit("all")).agg(Summarizer.sum(array_to_vector("found")).alias("found")).first()
+    if total is None or not total["found"][opt.cells]:
         return None
-    idf = np.log1p(sum(r["rows"] for r in found) / np.maximum(np.sum([r["df"] for r in found], axis=0), 1))
+    total = total["found"]
+    idf = np.log1p(total[opt.cells] / np.maximum(total.toArray()[:-1], 1))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))
+    scratch = Scratch(train.sparkSession, "langid")
+    sample = scratch.keep(rows.withColumn("place", place).filter(F.col("place") <= opt.per_language).select("lang", "text"))
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        v = _unit(counted(table) * idf)
+        v = _unit(counted(table.column("text").to_pylist()) * idf)
         c, cosine = _cluster(v, opt.centroids, opt.rounds) if len(v) else (np.empty((0, opt.cells)), np.empty((0, 0)))
         own = cosine.argmax(axis=1) if len(v) else np.empty(0)
         used = [j for j in range(len(c)) if (own == j).any()]

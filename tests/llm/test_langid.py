@@ -56,3 +56,22 @@ def test_grams_of_a_text_do_not_depend_on_its_neighbours():
         assert np.array_equal(together[i], L.vectors([t], 512)[0])
     assert np.array_equal(L.vectors(["ABC"], 512), L.vectors(["abc"], 512))
     assert L.vectors(["a b"], 512).sum() > 0 and not L.vectors(["1 2"], 512).any()
+
+
+def test_every_language_is_learned(docs_of):
+    """600 languages of letters of their own, each of a few short texts."""
+    def text(k, n):
+        own = chr(0x4E00 + 7 * k) + chr(0x4E01 + 7 * k) + chr(0x4E02 + 7 * k)
+        return " ".join(own[(n + i) % 3] + own[(n + i * i) % 3] for i in range(8))
+
+    rows = [(4 * k + n, text(k, n), f"l{k}") for k in range(600) for n in range(3)]
+    docs = docs_of(rows).withColumnRenamed("doc_id", "id")
+    model = L.fit(docs, L.LangId())
+    assert len(model.languages) == 600
+    got = {r["id"]: r["lang_pred"] for r in L.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+
+
+def test_one_id_of_many_rows_stays_a_bounded_sample(docs_of):
+    docs = docs_of([(7, f"some words {i}", "en") for i in range(300)]).withColumnRenamed("doc_id", "id")
+    assert L.fit(docs, L.LangId(per_language=5)) is not None
