@@ -185,24 +185,27 @@ def window_confidence(spark, folder):
 
 
 @catalog.query("snapshot_moves", f"""
-WITH {PLAYERS}, p AS (SELECT match_id, frame_idx, player_rank, x * 1.0137 AS x, y * 1.0137 AS y FROM pl WHERE side = 'home' AND x IS NOT NULL),
-j AS (SELECT a.match_id, a.frame_idx, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d FROM p a JOIN p b
-  ON a.match_id = b.match_id AND b.frame_idx = a.frame_idx + 1 AND a.player_rank = b.player_rank)
-SELECT match_id, frame_idx, count(*) AS n_valid, {r('avg(d)', 'mean_disp')}, {r('quantile_cont(d, 0.5)', 'median_disp')}, {r('max(d)', 'max_disp')},
+WITH {PLAYERS}, p AS (SELECT match_id, frame_idx, side, player_rank, x * 1.0137 AS x, y * 1.0137 AS y FROM pl WHERE x IS NOT NULL),
+j AS (SELECT a.match_id, a.frame_idx, a.side, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d FROM p a JOIN p b
+  ON a.match_id = b.match_id AND b.frame_idx = a.frame_idx + 1 AND a.side = b.side AND a.player_rank = b.player_rank)
+SELECT match_id, frame_idx, side, count(*) AS n_valid, {r('avg(d)', 'mean_disp')}, {r('quantile_cont(d, 0.5)', 'median_disp')}, {r('max(d)', 'max_disp')},
   {r('min(d)', 'min_disp')}, {r('stddev_pop(d)', 'std_disp')}, count(*) FILTER (WHERE d > 5) AS n_above_5m
-FROM j GROUP BY 1, 2 HAVING count(*) >= 4""")
+FROM j GROUP BY 1, 2, 3 HAVING count(*) >= 4""")
 def snapshot_moves(spark, folder):
-    """Displacement of the players seen in both of two consecutive frames."""
+    """Displacement of the players of a side seen in both of two consecutive frames."""
     from playframe.plans.movement import displacement_stats
 
     # the factor keeps distances off the whole metres that the counts compare with
-    scaled = F.transform("home", lambda p: F.struct(p["pid"].alias("pid"), (p["x"] * 1.0137).alias("x"), (p["y"] * 1.0137).alias("y")))
-    f = tables.frames(spark, folder).select("match_id", "frame_idx", scaled.alias("home"))
-    nxt = f.select("match_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("home").alias("after"))
-    j = f.join(nxt, ["match_id", "frame_idx"])
-    s = displacement_stats(F.col("home"), F.col("after"), "pid")
+    def scaled(side):
+        return F.transform(side, lambda p: F.struct(p["pid"].alias("pid"), (p["x"] * 1.0137).alias("x"), (p["y"] * 1.0137).alias("y")))
+
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), scaled(s).alias("before")) for s in ("home", "away")])
+    f = tables.frames(spark, folder).select("match_id", "frame_idx", F.explode(sides).alias("e")).select("match_id", "frame_idx", "e.*")
+    nxt = f.select("match_id", (F.col("frame_idx") - 1).alias("frame_idx"), "side", F.col("before").alias("after"))
+    j = f.join(nxt, ["match_id", "frame_idx", "side"])
+    s = displacement_stats(F.col("before"), F.col("after"), "pid")
     out = j.withColumn("s", s).filter(F.col("s.n_valid") >= 4)
-    return out.select("match_id", "frame_idx", F.col("s.n_valid").cast("bigint").alias("n_valid"),
+    return out.select("match_id", "frame_idx", "side", F.col("s.n_valid").cast("bigint").alias("n_valid"),
                       *[rounded(F.col(f"s.{c}")).alias(c) for c in ("mean_disp", "median_disp", "max_disp", "min_disp", "std_disp")],
                       F.col("s.n_above_5m").cast("bigint").alias("n_above_5m"))
 

@@ -50,9 +50,9 @@ def adjusted_rand(spark, folder):
 
 
 @catalog.query("standard_scores", f"""
-WITH {VEC}, {_LONG} SELECT id, i::INT AS i, {r('(v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i)', 'z')} FROM l WHERE i < 8""")
+WITH {VEC}, {_LONG} SELECT id, i::INT AS i, {r('(v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i)', 'z')} FROM l""")
 def standard_scores(spark, folder):
-    names = [f"f{i}" for i in range(8)]
+    names = [f"f{i}" for i in range(DIM)]
     v = tables.vectors(spark, folder).select("id", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
     s = prepare.scaled_vector(v, prepare.fit_scaling(v, names), names)
     return s.select("id", F.posexplode("features").alias("i", "z")).withColumn("z", rounded("z"))
@@ -69,13 +69,13 @@ def peak_scaled_map(spark, folder):
 
 
 @catalog.query("group_weights", f"""
-WITH {VEC}, {_LONG}, z AS (SELECT id, i, (v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i) AS z FROM l WHERE i < 9),
-g AS (SELECT CASE WHEN i < 6 THEN 6 ELSE 3 END AS n, * FROM z)
+WITH {VEC}, {_LONG}, z AS (SELECT id, i, (v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i) AS z FROM l),
+g AS (SELECT CASE WHEN i < 40 THEN 40 ELSE 24 END AS n, * FROM z)
 SELECT id, i::INT AS i, {r('z * sqrt(n ** 0.5 / n)', 'w')} FROM g""")
 def group_weights(spark, folder):
-    """Two groups of six and three features, each brought to the square root
+    """Two groups of 40 and 24 features, each brought to the square root
     of its total variance."""
-    names = [f"width_{i}" for i in range(6)] + [f"depth_{i}" for i in range(3)]
+    names = [f"width_{i}" for i in range(40)] + [f"depth_{i}" for i in range(24)]
     v = tables.vectors(spark, folder).select("id", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
     scaling = prepare.fit_scaling(v, names)
     s = prepare.scaled_vector(v, scaling, names, scaling.group_weights(0.5, set()))
@@ -119,10 +119,11 @@ def one_hot(spark, folder):
 
 
 @catalog.query("cluster_profile", f"""
-WITH {VEC} SELECT label, round(avg(f[1]) * 100, 6) + 0.0 AS a, round(avg(f[2]) * 100, 6) + 0.0 AS b, count(*) AS n_phases FROM vec GROUP BY 1""")
+WITH {VEC} SELECT label, {', '.join(f'round(avg(f[{i + 1}]) * 100, 6) + 0.0 AS f{i}' for i in range(DIM))}, count(*) AS n_phases FROM vec GROUP BY 1""")
 def cluster_profile(spark, folder):
-    v = tables.vectors(spark, folder).select("label", (F.get("features", F.lit(0)) * 100).alias("a"), (F.get("features", F.lit(1)) * 100).alias("b"))
-    return clusters.profile(v, "label", ["a", "b"], 6).select("label", rounded("a").alias("a"), rounded("b").alias("b"), "n_phases")
+    names = [f"f{i}" for i in range(DIM)]
+    v = tables.vectors(spark, folder).select("label", *[(F.get("features", F.lit(i)) * 100).alias(n) for i, n in enumerate(names)])
+    return clusters.profile(v, "label", names, 6).select("label", *[rounded(n).alias(n) for n in names], "n_phases")
 
 
 @catalog.query("regression_scores", f"""

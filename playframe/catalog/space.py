@@ -42,34 +42,36 @@ def _geometry(spark, folder):
     return kernels.frame_geometry(tables.frames(spark, folder))
 
 
-@catalog.query("team_shape", _SHAPES + f"""
-SELECT match_id, frame_idx, side, {r('cx', 'centroid_x')}, {r('cy', 'centroid_y')}, {r('compactness', 'compactness')}, {r('width', 'width')},
-  {r('depth', 'depth')}, {r('elongation', 'elongation')} FROM s""")
-def team_shape(spark, folder):
-    names = ("centroid_x", "centroid_y", "compactness", "width", "depth", "elongation")
-
+def _by_side(g, names):
+    """A row per frame and side with players."""
     def side(s):
         return F.struct(F.lit(s).alias("side"), F.size(s).alias("n"), *[rounded(f"{s}_{c}").alias(c) for c in names])
 
-    both = _geometry(spark, folder).select(*KEY, F.explode(F.array(side("home"), side("away"))).alias("e"))
+    both = g.select(*KEY, F.explode(F.array(side("home"), side("away"))).alias("e"))
     return both.filter(F.col("e.n") > 0).select(*KEY, "e.side", *[F.col(f"e.{c}") for c in names])
 
 
+@catalog.query("team_shape", _SHAPES + f"""
+SELECT match_id, frame_idx, side, {r('cx', 'centroid_x')}, {r('cy', 'centroid_y')}, {r('compactness', 'compactness')}, {r('width', 'width')},
+  {r('depth', 'depth')}, {r('elongation', 'elongation')} FROM s""")
+def team_shape(spark, folder):
+    return _by_side(_geometry(spark, folder), ("centroid_x", "centroid_y", "compactness", "width", "depth", "elongation"))
+
+
 @catalog.query("team_distances", _SHAPES + f"""
-SELECT match_id, frame_idx, {r('nearest', 'nearest_teammate_distance')}, {r('pairwise', 'pairwise_distance')} FROM s WHERE side = 'home'""")
+SELECT match_id, frame_idx, side, {r('nearest', 'nearest_teammate_distance')}, {r('pairwise', 'pairwise_distance')} FROM s""")
 def team_distances(spark, folder):
-    g = _geometry(spark, folder).filter(F.size("home") > 0)
-    return g.select(*KEY, *[rounded(f"home_{c}").alias(c) for c in ("nearest_teammate_distance", "pairwise_distance")])
+    return _by_side(_geometry(spark, folder).filter(F.size("home") + F.size("away") > 0), ("nearest_teammate_distance", "pairwise_distance"))
 
 
 @catalog.query("nearest_opponent", f"""
 WITH {PLAYERS}, p AS (SELECT * FROM pl WHERE x IS NOT NULL),
-m AS (SELECT a.match_id, a.frame_idx, a.player_rank, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM p a JOIN p b
-  ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND a.side = 'home' AND b.side = 'away' GROUP BY 1, 2, 3)
-SELECT match_id, frame_idx, {r('avg(d)', 'nearest_opponent_distance')} FROM m GROUP BY 1, 2""")
+m AS (SELECT a.match_id, a.frame_idx, a.side, a.player_rank, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM p a JOIN p b
+  ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND a.side <> b.side GROUP BY 1, 2, 3, 4)
+SELECT match_id, frame_idx, side, {r('avg(d)', 'nearest_opponent_distance')} FROM m GROUP BY 1, 2, 3""")
 def nearest_opponent(spark, folder):
     g = _geometry(spark, folder).filter((F.size("home") > 0) & (F.size("away") > 0))
-    return g.select(*KEY, rounded("home_nearest_opponent").alias("nearest_opponent_distance"))
+    return _by_side(g, ("nearest_opponent",)).withColumnRenamed("nearest_opponent", "nearest_opponent_distance")
 
 
 @catalog.query("team_interactions", _SHAPES + f""",
@@ -257,27 +259,27 @@ def dangerous_space(spark, folder):
 
 
 @catalog.query("hull_areas", f"""
-WITH {PLAYERS}, p AS (SELECT DISTINCT match_id, frame_idx, x, y FROM pl WHERE side = 'home' AND x IS NOT NULL),
-e AS (SELECT a.match_id, a.frame_idx, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND (a.x, a.y) <> (b.x, b.y)),
-h AS (SELECT e.match_id, e.frame_idx, ax, ay, bx, b_y FROM e JOIN p c ON e.match_id = c.match_id AND e.frame_idx = c.frame_idx GROUP BY ALL
+WITH {PLAYERS}, p AS (SELECT DISTINCT match_id, frame_idx, side, x, y FROM pl WHERE x IS NOT NULL),
+e AS (SELECT a.match_id, a.frame_idx, a.side, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND a.side = b.side AND (a.x, a.y) <> (b.x, b.y)),
+h AS (SELECT e.match_id, e.frame_idx, e.side, ax, ay, bx, b_y FROM e JOIN p c ON e.match_id = c.match_id AND e.frame_idx = c.frame_idx AND e.side = c.side GROUP BY ALL
   HAVING bool_and((round((bx - ax) * 10) * round((c.y - ay) * 10) - round((b_y - ay) * 10) * round((c.x - ax) * 10)) > 0
     OR ((round((bx - ax) * 10) * round((c.y - ay) * 10) - round((b_y - ay) * 10) * round((c.x - ax) * 10)) = 0
         AND (c.x - ax) * (c.x - bx) + (c.y - ay) * (c.y - b_y) <= 1e-9))),
-s AS (SELECT match_id, frame_idx, sum(ax * b_y - bx * ay) / 2 AS area, count(*) AS n FROM h GROUP BY 1, 2)
-SELECT match_id, frame_idx, {r('area', 'area')} FROM s WHERE n >= 3""")
+s AS (SELECT match_id, frame_idx, side, sum(ax * b_y - bx * ay) / 2 AS area, count(*) AS n FROM h GROUP BY 1, 2, 3)
+SELECT match_id, frame_idx, side, {r('area', 'area')} FROM s WHERE n >= 3""")
 def hull_areas(spark, folder):
-    a = _geometry(spark, folder)
-    return a.filter(F.col("home_area").isNotNull()).select(*KEY, rounded("home_area").alias("area"))
+    return _by_side(_geometry(spark, folder), ("area",)).filter(F.col("area").isNotNull())
 
 
 @catalog.query("formation_fit")
 def formation_fit(spark, folder):
-    """Cheapest template of the home side per frame with eight players."""
-    f = tables.frames(spark, folder).filter(F.size("home") >= 8)
-    p = f.select(*KEY, F.transform("home", lambda q: q["x"]).alias("xs"), F.transform("home", lambda q: q["y"]).alias("ys"),
+    """Cheapest template per frame and side with eight players."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("players")) for s in ("home", "away")])
+    f = tables.frames(spark, folder).select(*KEY, F.explode(sides).alias("e")).filter(F.size("e.players") >= 8)
+    p = f.select(*KEY, "e.side", F.transform("e.players", lambda q: q["x"]).alias("xs"), F.transform("e.players", lambda q: q["y"]).alias("ys"),
                  F.lit(L).alias("pl"), F.lit(W).alias("pw"))
-    m = fm.match_templates(p, "xs", "ys", F.lit(False), "pl", "pw", fm.default_templates())
-    return m.select(*KEY, "formation", fm.variant("formation").alias("variant"), fm.family("formation").alias("family"), rounded("cost").alias("cost"))
+    m = fm.match_templates(p, "xs", "ys", F.col("side") == "away", "pl", "pw", fm.default_templates())
+    return m.select(*KEY, "side", "formation", fm.variant("formation").alias("variant"), fm.family("formation").alias("family"), rounded("cost").alias("cost"))
 
 
 @catalog.query("surface_lookup_events", f"""

@@ -20,7 +20,7 @@ SHAPES = (
     "442", "433", "4231", "4141", "4321", "4222", "4312", "4411", "451", "41212",
     "42211", "343", "3421", "352", "3511", "3412", "3142", "3331", "532", "541",
     "523", "5221", "424", "4132", "1423", "1234", "1432", "1324", "2233", "2431",
-    "235", "2323", "3223", "32221",
+    "235", "2323", "3223", "32221", "343flat", "3421flat", "3511flat",
 )
 NAMED_SHAPES = {"pyramid": "235", "metodo": "2323", "wm": "3223"}
 NAMED_FAMILIES = {"pyramid": "back-2", "metodo": "back-3", "wm": "back-3"}
@@ -28,10 +28,13 @@ NAMED_FAMILIES = {"pyramid": "back-2", "metodo": "back-3", "wm": "back-3"}
 
 def line_template(shape: str, length: float, width: float) -> list[tuple[float, float]]:
     """Slots of a shape: lines evenly from 0.16 to 0.80 of the length, the
-    players of a line evenly over the width."""
-    sizes = [int(ch) for ch in shape]
+    players of a line evenly over the width. In a flat shape the outer players of
+    the second line stand half-way back to the first."""
+    sizes = [int(ch) for ch in shape.removesuffix("flat")]
     depth = np.linspace(0.16, 0.80, len(sizes))
-    return [(d * length, width * (i + 1) / (n + 1)) for d, n in zip(depth, sizes) for i in range(n)]
+    back = (depth[1] - depth[0]) / 2 if shape.endswith("flat") else 0.0
+    return [((d - back * (k == 1 and i in (0, n - 1))) * length, width * (i + 1) / (n + 1))
+            for k, (d, n) in enumerate(zip(depth, sizes)) for i in range(n)]
 
 
 def default_templates(length: float = 1.0, width: float = 1.0) -> dict[str, list[tuple[float, float]]]:

@@ -71,22 +71,23 @@ def subsample_roughness(cells: DataFrame, labels: DataFrame, keys: list[str], va
 
     For every pair, the label with many phases is drawn down to the size of the
     other one ``draws`` times and its roughness compared. A draw takes the
-    phases with the smallest hash of (phase, draw), which any cluster repeats.
+    phases with the smallest hash of (phase, draw), which any cluster repeats. A
+    pair of which a label has no phases stays, with the reason.
     """
     spark = cells.sparkSession
     one = cells.filter(F.col("block") == "in") if "block" in cells.columns else cells
     named = labels.filter(F.col("label").isNotNull())
     sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     pair = spark.createDataFrame([(a, b) for a, b in pairs], "high string, low string")
-    pair = (pair.join(sizes.withColumnRenamed("label", "high").withColumnRenamed("n", "n_high"), "high")
-            .join(sizes.withColumnRenamed("label", "low").withColumnRenamed("n", "n_low"), "low"))
+    pair = (pair.join(sizes.withColumnRenamed("label", "high").withColumnRenamed("n", "n_high"), "high", "left")
+            .join(sizes.withColumnRenamed("label", "low").withColumnRenamed("n", "n_low"), "low", "left"))
 
     def score(members: DataFrame, by: list[str], out: str) -> DataFrame:
         d = grids.densify(one.join(members, keys), by, value, n_rows, n_cols)
         return d.select(*by, grids.total_variation(F.col("cells"), n_rows, n_cols).alias(out))
 
     whole = score(named, ["label"], "score")
-    drawn = named.withColumnRenamed("label", "high").join(pair, "high").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    drawn = named.withColumnRenamed("label", "high").join(pair.filter("n_low is not null"), "high").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     ticket = F.xxhash64(*[F.col(k).cast("string") for k in keys], F.col("draw"), F.lit(seed))
     take = _smallest(drawn.withColumn("__t", ticket), ["high", "low", "draw"], F.least("n_low", "n_high"))
     per_draw = score(take.select(*keys, "high", "low", "draw"), ["high", "low", "draw"], "score")
@@ -96,7 +97,8 @@ def subsample_roughness(cells: DataFrame, labels: DataFrame, keys: list[str], va
     return out.select(
         F.col("high").alias("high_n_formation"), "n_high", "score_high_full", F.col("low").alias("low_n_formation"), "n_low", "score_low_real",
         "score_high_subsampled_mean", "score_high_subsampled_std",
-        ratio("score_high_subsampled_mean", "score_low_real").alias("pct_patchiness_explained_by_n"))
+        ratio("score_high_subsampled_mean", "score_low_real").alias("pct_patchiness_explained_by_n"),
+        F.when(F.col("n_high").isNull() | F.col("n_low").isNull(), "label absent").alias("reason"))
 
 
 def _smallest(rows: DataFrame, by: list[str], n) -> DataFrame:
