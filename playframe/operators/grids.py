@@ -7,13 +7,17 @@ the number of cells of the grid, so it is bounded whatever the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from playframe.functions.gridding import edge_bin, rotate_cell
 from playframe.functions.nulls import ratio
+from playframe.session import materialize
 
 
 def histogram2d(points: DataFrame, keys: list[str], x: str, y: str, length, width, n_cols, n_rows,
@@ -174,27 +178,41 @@ def label_correlation(cells: DataFrame, label: str, value: str, n_cells: int, la
     cells included: one row per pair of the labels in the data, or of ``labels``
     where they are given.
 
-    Every cell becomes one centred vector over the labels; their products are
-    added up in a tree of tasks, so only a labels x labels sum leaves them.
+    Every cell becomes one centred vector over the labels; a task adds up the
+    products of its cells, so only labels x labels sums leave it.
     """
     from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
+    from pyspark.ml.stat import Summarizer
 
-    summed = cells.filter(F.col(label).isNotNull()).groupBy(cell, label).agg(F.sum(F.col(value).cast("double")).alias("__v"))
+    named = cells.filter(F.col(label).isNotNull())
+    summed = materialize(named.groupBy(cell, label).agg(F.sum(F.col(value).cast("double")).alias("__v")))
     spark, schema = cells.sparkSession, "label_a string, label_b string, corr double"
     sums = {r[0]: r[1] for r in summed.groupBy(label).agg(F.sum("__v")).orderBy(label).collect()}
     labels = list(sums) if labels is None else labels
     if not labels:
         return spark.createDataFrame([], schema)
     mean = np.array([sums.get(x) or 0.0 for x in labels]) / n_cells
-    packed = summed.groupBy(cell).agg(F.map_from_entries(F.collect_list(F.struct(label, "__v"))).alias("__m"))
-    centred = packed.select(array_to_vector(F.array(*[
-        F.coalesce(F.try_element_at("__m", F.lit(x)), F.lit(0.0)) - F.lit(float(m)) for x, m in zip(labels, mean, strict=True)])).alias("v"))
-    n = centred.count()
-    dots = (n_cells - n) * np.outer(mean, mean)
-    if n:
-        dots += RowMatrix(MLUtils.convertVectorColumnsFromML(centred, "v")).computeGramianMatrix().toArray()
+    code = {str(x): i for i, x in enumerate(labels)}
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((len(mean), len(mean))), 0
+        for batch in batches:
+            column = batch.column(0)
+            flat = column.flatten()
+            at = np.array([code.get(x, -1) for x in flat.field(0).to_pylist()], dtype=np.int64)
+            row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            x = np.tile(-mean, (len(column), 1))
+            x[row[at >= 0], at[at >= 0]] += flat.field(1).to_numpy(zero_copy_only=False)[at >= 0]
+            total, n = total + x.T @ x, n + len(column)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(mean)), pa.int32()), pa.array([np.array([float(n)]), *total], pa.list_(pa.float64()))], names=["row", "part"])
+
+    packed = summed.groupBy(cell).agg(F.collect_list(F.struct(F.col(label).cast("string"), "__v")).alias("m")).select("m")
+    parts = packed.mapInArrow(products, "row int, part array<double>").groupBy("row").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
+    found = {r.row: r.part.toArray() for r in parts.collect()}  # labels x labels numbers
+    dots = (n_cells - (found[-1][0] if found else 0)) * np.outer(mean, mean)
+    if found:
+        dots += np.array([found[i] for i in range(len(mean))])
     size = np.sqrt(np.clip(np.diag(dots), 0, None))
     rows = [(a, b, float(dots[i, j] / (size[i] * size[j])) if size[i] and size[j] else None)
             for i, a in enumerate(labels) for j, b in enumerate(labels)]
