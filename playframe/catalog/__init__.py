@@ -26,10 +26,10 @@ class Catalog:
 
 def load() -> Catalog:
     """All groups in one catalogue."""
-    from playframe.catalog import events, grids, joins, learning, space
+    from playframe.catalog import events, grids, joins, learning, play, space
 
     merged = Catalog()
-    for group in (events, joins, space, grids, learning):
+    for group in (events, joins, space, grids, learning, play):
         merged.runs.update(group.catalog.runs)
         merged.checks.update(group.catalog.checks)
     return merged
