@@ -12,10 +12,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from playframe.catalog import Catalog
-from playframe.catalog.views import r
+from playframe.catalog.views import PLAYERS, r
 from playframe.config import EngineConfig
 from playframe.functions.nulls import rounded
-from playframe.plans import possessions as ps
+from playframe.plans import movement, possessions as ps
 from playframe.sources import tables
 
 catalog = Catalog()
@@ -161,3 +161,45 @@ def possession_events(spark, folder):
     out = ps.event_aggregates(members, located, units, frames, CFG)
     return out.select("match_id", F.col("unit").cast("bigint").alias("sequence_id"), *_COUNTS, *[rounded(c).alias(c) for c in _RATES],
                       *[f"{d}_distribution" for d in _SHARES], *[rounded(c).alias(c) for c in _PROGRESS])
+
+
+_MEASURES = ("mean_disp", "median_disp", "max_disp", "min_disp", "std_disp")
+
+
+@catalog.query("movement_scores", f"""
+WITH {PLAYERS}, p AS (SELECT match_id, frame_idx, side, player_rank, x * 1.0137 AS x, y * 1.0137 AS y FROM pl WHERE x IS NOT NULL),
+ev AS (SELECT *, lead(frame_idx) OVER (PARTITION BY match_id, frame_idx // 10 ORDER BY frame_idx) AS nxt, CASE WHEN frame_idx % 2 = 0 THEN 'home' ELSE 'away' END AS team
+  FROM (SELECT DISTINCT match_id, frame_idx FROM p)),
+c AS (SELECT * FROM ev WHERE frame_idx % 3 <> 0 AND frame_idx % 5 <> 0),
+n AS (SELECT match_id, frame_idx, side, count(*) AS n FROM p WHERE player_rank <> 0 GROUP BY 1, 2, 3),
+j AS (SELECT c.match_id, c.frame_idx, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d FROM c
+  JOIN p a ON a.match_id = c.match_id AND a.frame_idx = c.frame_idx AND a.side = c.team AND a.player_rank <> 0
+  JOIN p b ON b.match_id = c.match_id AND b.frame_idx = c.nxt AND b.side = c.team AND b.player_rank = a.player_rank),
+d AS (SELECT match_id, frame_idx, count(*) AS n_valid, avg(d) AS mean_disp, quantile_cont(d, 0.5) AS median_disp, max(d) AS max_disp, min(d) AS min_disp, stddev_pop(d) AS std_disp,
+  count(*) FILTER (WHERE d > 1) AS a1, count(*) FILTER (WHERE d > 2) AS a2, count(*) FILTER (WHERE d > 5) AS a5 FROM j GROUP BY 1, 2),
+s AS (SELECT c.*, coalesce(d.n_valid, 0) AS nv, d.*, CASE WHEN nxt IS NULL THEN 'no_next_event' WHEN b.n IS NULL OR a.n IS NULL THEN 'empty_snapshot'
+    WHEN coalesce(d.n_valid, 0) < {CFG.min_common_players} THEN 'few_valid' ELSE 'ok' END AS status
+  FROM c LEFT JOIN d ON d.match_id = c.match_id AND d.frame_idx = c.frame_idx LEFT JOIN n b ON b.match_id = c.match_id AND b.frame_idx = c.frame_idx AND b.side = team
+  LEFT JOIN n a ON a.match_id = c.match_id AND a.frame_idx = nxt AND a.side = team)
+SELECT match_id, frame_idx AS possession_event_id, frame_idx // 10 AS sequence_id, team, status,
+  CASE WHEN status = 'ok' THEN CASE WHEN nxt % 3 <> 0 THEN 'PA' ELSE 'BC' END END AS next_event_type, CASE WHEN status IN ('ok', 'few_valid') THEN nv::DOUBLE END AS n_valid,
+  CASE WHEN status = 'ok' AND frame_idx % 4 * 4 <= {CFG.max_touch_seconds} THEN frame_idx % 4 * 4.0::DOUBLE END AS touch_duration,
+  CASE WHEN status = 'ok' THEN (nxt - frame_idx)::DOUBLE END AS time_to_next, {', '.join(r(f"CASE WHEN status = 'ok' THEN {m} END", m) for m in _MEASURES)},
+  {', '.join(f"CASE WHEN status = 'ok' THEN a{t}::DOUBLE END AS n_above_{t}m" for t in (1, 2, 5))} FROM s""")
+def movement_scores(spark, folder):
+    """Frames as events, ten to a sequence: two of three are passes, one of five of them fails; each squad's first player keeps goal."""
+    f = tables.frames(spark, folder).filter(F.size("home") + F.size("away") > 0)
+    n = F.col("frame_idx")
+
+    def players(side):
+        return F.transform(side, lambda p: F.struct(p["pid"].alias("playerId"), F.when(p["pid"] == 0, "GK").otherwise("M").alias("positionGroupType"),
+                                                    (p["x"] * 1.0137).alias("x"), (p["y"] * 1.0137).alias("y")))
+
+    events = f.select(
+        "match_id", n.alias("ordinal"), F.floor(n / 10).alias("sequence"), n.cast("double").alias("event_time"), n.cast("double").alias("start_time"),
+        (n + n % 4 * 4).cast("double").alias("end_time"), n.alias("game_event_id"), n.alias("possession_event_id"), F.lit(1).alias("period"), (n % 2 == 0).alias("home_team"),
+        F.lit("O").alias("setpiece_type"), F.when(n % 3 != 0, "PA").otherwise("BC").alias("possession_event_type"), F.lit("OTB").alias("game_event_type"),
+        F.when(n % 5 != 0, "C").otherwise("I").alias("outcome"), players("home").alias("homePlayers"), players("away").alias("awayPlayers"))
+    s = movement.movement_scores(events, replace(CFG, block_seconds=64.0))
+    return s.select("match_id", "possession_event_id", "sequence_id", "team", "status", "next_event_type", F.col("n_valid").cast("double").alias("n_valid"), "touch_duration",
+                    "time_to_next", *[rounded(m).alias(m) for m in _MEASURES], *[F.col(f"n_above_{t}m").cast("double").alias(f"n_above_{t}m") for t in (1, 2, 5)])
