@@ -8,7 +8,7 @@ centroid with the largest cosine; it is rejected where the cosine is below what
 nearly all training texts of that centroid reach.
 
 Document frequencies are counted over all training texts, the centroids of each
-language are fitted on at most ``per_language`` of its texts, those of least hash;
+language are fitted on at most ``per_language`` of its texts, drawn by hash;
 prediction and the fit read whole texts.
 
 Defined results: a null text or one without letters gets ``und`` and score 0;
@@ -158,9 +158,12 @@ def fit(train: DataFrame, opt: LangId) -> Model | None:
         return None
     total = total["found"]
     idf = np.log1p(total[opt.cells] / np.maximum(total.toArray()[:-1], 1))
+    # a share of the tickets leaves some rows more than wanted, whatever the number of tasks
+    rates = rows.groupBy("lang").agg((4.0 * opt.per_language / F.count("*")).alias("rate"))
+    drawn = rows.join(rates, "lang").filter(F.col("ticket").bitwiseAND(F.lit((1 << 30) - 1)) < F.col("rate") * float(1 << 30))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))
     scratch = Scratch(train.sparkSession, "langid")
-    sample = scratch.keep(rows.withColumn("place", place).filter(F.col("place") <= opt.per_language).select("lang", "text"))
+    sample = scratch.keep(drawn.withColumn("place", place).filter(F.col("place") <= opt.per_language).select("lang", "text"))
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         v = _unit(counted(table.column("text").to_pylist()) * idf)
