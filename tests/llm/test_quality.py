@@ -87,3 +87,20 @@ def test_repeated_rows_and_broadcast_limit(docs_of, monkeypatch):
     want = quality.judge(docs_of(rows)).collect()
     monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 0)
     assert quality.judge(docs_of(rows)).collect() == want and len(want) == 3
+
+
+def test_a_filter_on_the_verdict_gives_the_same_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = quality.judge(docs).collect()
+    kept = quality.judge(docs).filter("kept AND n_words > 60").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(r["doc_id"] for r in out if r["kept"] and r["n_words"] > 60)
+
+
+def test_short_junk_goes_and_good_documents_stay(spark):
+    """Documents labelled bad that pass the base rules and are compared go, of 60 to 190 words as well; those labelled good stay."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.judge(docs.select("doc_id", "text", "lang")).filter("NOT base_failed").join(labels, "doc_id").select("quality", "kept", "n_words").collect()
+    bad = [r for r in out if r["quality"] == 0]
+    assert len(bad) > 20 and not any(r["kept"] for r in bad) and any(60 <= r["n_words"] <= 190 for r in bad)
+    assert all(r["kept"] for r in out if r["quality"] == 1)
