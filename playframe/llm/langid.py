@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from playframe.llm.common import Scratch, batch_of
 
 UNKNOWN = "und"
+#: most languages whose shares are broadcast
+BROADCAST_LANGUAGES = 100_000
 
 
 @dataclass(frozen=True)
@@ -159,10 +161,12 @@ def fit(train: DataFrame, opt: LangId) -> Model | None:
     total = total["found"]
     idf = np.log1p(total[opt.cells] / np.maximum(total.toArray()[:-1], 1))
     # a share of the tickets leaves some rows more than wanted, whatever the number of tasks
-    rates = rows.groupBy("lang").agg((4.0 * opt.per_language / F.count("*")).alias("rate"))
+    scratch = Scratch(train.sparkSession, "langid")
+    rates = scratch.keep(rows.groupBy("lang").agg((4.0 * opt.per_language / F.count("*")).alias("rate")))
+    if rates.count() <= BROADCAST_LANGUAGES:  # else by shuffle
+        rates = F.broadcast(rates)
     drawn = rows.join(rates, "lang").filter(F.col("ticket").bitwiseAND(F.lit((1 << 30) - 1)) < F.col("rate") * float(1 << 30))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))
-    scratch = Scratch(train.sparkSession, "langid")
     sample = scratch.keep(drawn.withColumn("place", place).filter(F.col("place") <= opt.per_language).select("lang", "text"))
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
