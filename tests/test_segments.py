@@ -47,7 +47,7 @@ def make_events(seed, n, local_share, stop_share, hot):
     return events
 
 
-@pytest.mark.parametrize("block_rows", [4096, 7, 2])
+@pytest.mark.parametrize("block_rows", [4096, 7])
 @pytest.mark.parametrize("seed,local,stops,hot", [(1, 0.15, 0.05, 0.4), (2, 0.0, 0.0, 0.9)])
 def test_matches_the_fold(spark, seed, local, stops, hot, block_rows):
     events = make_events(seed, 260, local, stops, hot)
@@ -98,8 +98,8 @@ def windows_of(spark, t, passed, block_rows, max_passes=4, max_seconds=9.0):
     return [r.win for r in a.select("ordinal", "win").orderBy("ordinal").collect()]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_long_runs_and_times_at_the_cap(spark, seed):
+@pytest.mark.parametrize("seed,block_rows", [(0, 5), (1, 1), (2, 16), (3, 5)])
+def test_long_runs_and_times_at_the_cap(spark, seed, block_rows):
     """Times that differ by 1e-10 around the cap, a null sequence, blocks that windows end with, blocks inside one window."""
     rng = random.Random(seed)
     t, now = [], 1000.0
@@ -110,8 +110,7 @@ def test_long_runs_and_times_at_the_cap(spark, seed):
         t = sorted([1000.0] * 200 + [1009.0 + k * 1e-12 for k in range(100)])
     passed = [rng.random() < (0.05, 0.5, 0.9, 0.0)[seed] for _ in t]
     want = numpy_windows(t, passed, 4, 9.0)
-    for block_rows in (1, 5, 64):
-        assert windows_of(spark, t, passed, block_rows) == want
+    assert windows_of(spark, t, passed, block_rows) == want
 
 
 def test_least_time_past_the_cap():
