@@ -53,6 +53,30 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its file system, as Hadoop resolves it on the driver, so
+    that tasks which open it by other means find the same place."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: list[str], parts: int = 1024) -> DataFrame:
+    """``many`` left joined with ``few``, which has at most one row per key. Keys
+    with over 1/``parts`` of the rows are cut by a hash of the columns ``by`` and
+    meet a copy of their row in each piece; rows without a key meet nothing and are
+cut as well. There are fewer than ``parts`` such
+    keys, so their table (a key and a number each) may be broadcast."""
+    cut, pieces = "_j_cut", "_j_pieces"
+    total = many.count()
+    hot = F.broadcast(many.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") * parts > total).select(
+        key, F.ceil(F.col("n") * parts / F.lit(max(total, 1))).cast("int").alias(pieces)))
+    own = F.pmod(F.xxhash64(*by), F.when(F.col(key).isNull(), F.lit(parts)).otherwise(F.coalesce(pieces, F.lit(1)))).cast("int")
+    left = many.join(hot, key, "left").withColumn(cut, own).drop(pieces)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1))
+    right = few.join(hot, key, "left").withColumn(cut, every).drop(pieces)
+    return left.join(right, [key, cut], "left").drop(cut)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from playframe.llm.common import Scratch, batch_of, text_of
+from playframe.llm.common import Scratch, batch_of, spread_join, text_of
 from playframe.llm.components import components
 from playframe.llm.wordhash import U, blocks, distinct, mix, shingles, word_hashes
 
@@ -281,8 +281,9 @@ def near_duplicates(docs: DataFrame, opt: NearDup = NearDup()) -> DataFrame:
     first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = first.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    per_node = named.join(classes, "root").join(degree, "node", "left").select("node", "class_id", "n_links")
-    return rows.select("doc_id", "node").join(per_node, "node", "left").select(
+    per_node = spread_join(named, classes, "root", ["node"]).join(degree, "node", "left").select("node", "class_id", "n_links")
+    # copies of one text share a node, members of a class a root
+    return spread_join(rows.select("doc_id", "node"), per_node, "node", ["doc_id"]).select(
         "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

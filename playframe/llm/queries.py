@@ -40,7 +40,8 @@ def op4_contamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_secrets", sql.SECRETS)
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    out = secrets.findings(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = secrets.findings(docs, secrets.Ledger(spark).update(docs), complete=True)
     found = F.col("findings")
     base = F.filter(found, lambda x: x["kind"].isin([r.kind for r in secrets.BASE]))
 

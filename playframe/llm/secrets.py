@@ -4,26 +4,37 @@ A blob is the content of a text, addressed by its SHA-256. The ledger holds a
 row per blob and rule version that was ever scanned, with what was found. A scan
 takes a history of texts (any number of versions per path), scans each distinct
 blob once for each rule version the ledger lacks, and joins all findings back to
-every row of the history.
+every row of the history. ``Ledger`` keeps the rows as a table under the shared
+folder: ``update`` appends what a history adds, and findings and redaction read
+them from there. A task run again writes its rows once (the table is committed
+as a whole); two writers at a time may both add a pair, which counts once.
+
+A content that many rows share is cut by a hash of the rows' other columns when
+findings are joined back, so that no task takes them all.
 
 Spans count code points, end exclusive. The places of the matches of a rule are
 sums of the lengths of the matches and of the pieces between them.
 
 Defined results: a null text is the empty blob; a blob without findings has a
 ledger row with an empty list; repeated rows get the same findings; other columns
-of the history pass through, and helper columns carry a prefix no table uses.
+of the history pass through, and helper columns carry a prefix no table uses; an empty
+history adds no row. Texts are scanned whole, however long; spans that start at
+the same place are listed in the order of the rules.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from playframe.llm.common import text_of
+from playframe.llm.common import shared_root, spread_join, text_of
 
 P = "_s_"
 FINDING = "array<struct<start:int,rank:int,kind:string,end:int>>"
+ROWS = f"blob string, version string, findings {FINDING}"
+KEPT = "playframe.secrets.ledger"   # session setting: folder of a ledger that outlives the run
 MARK = "[SECRET]"
 
 
@@ -121,17 +132,57 @@ def _listed() -> Column:
     return F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).cast(FINDING).alias("findings")
 
 
-def findings(history: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+class Ledger:
+    """Ledger rows as a Parquet table that only grows. Its folder is ``path``,
+    else the one the session names, else a new one under the shared folder."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or spark.conf.get(KEPT, None) or f"{shared_root(spark)}/secrets-{uuid.uuid4().hex}"
+
+    def rows(self) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.read.schema(ROWS).parquet(self.path)
+        return self.spark.createDataFrame([], ROWS)
+
+    def update(self, history: DataFrame) -> DataFrame:
+        """Scan the contents of ``history`` under the rule versions the ledger
+        lacks for them, append the rows, and give all rows."""
+        known = self.rows()
+        scan(history, None if known.isEmpty() else known).write.mode("append").parquet(self.path)
+        return self.rows()
+
+
+def _found(history: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """Findings of the contents of ``history``, a row each; the contents that
+    the ledger lacks are scanned here."""
+    return matches_of(blobs_of(history, ledger)).select(f"{P}blob", "start", "rank", "kind", "end")
+
+
+def _recorded(ledger: DataFrame) -> DataFrame:
+    """Findings in the ledger, a row each; those of a blob and version once."""
+    some = ledger.filter(F.col("version").isin(*VERSIONS) & (F.size("findings") > 0)).dropDuplicates(["blob", "version"])
+    return some.select(F.col("blob").alias(f"{P}blob"), F.explode("findings").alias("f")).select(
+        f"{P}blob", "f.start", "f.rank", "f.kind", "f.end")
+
+
+def _others(history: DataFrame) -> list[str]:
+    """The columns that tell rows of equal content apart."""
+    return [c for c in history.columns if c != "text"] or [f"{P}blob"]
+
+
+def findings(history: DataFrame, ledger: DataFrame | None = None, complete: bool = False) -> DataFrame:
     """The history with the findings of each row, from the ledger and from
-    scanning what it lacks; without a ledger, from scanning alone."""
-    found = matches_of(blobs_of(history, ledger)).select(f"{P}blob", "start", "rank", "kind", "end")
-    if ledger is not None:
-        old = ledger.filter(F.col("version").isin(*VERSIONS)).dropDuplicates(["blob", "version"])
-        found = found.union(old.select(F.col("blob").alias(f"{P}blob"), F.explode("findings").alias("f")).select(
-            f"{P}blob", "f.start", "f.rank", "f.kind", "f.end"))
+    scanning what it lacks; without a ledger, from scanning alone. A ledger that
+    was updated with this history is ``complete``: no text is read for it."""
+    if ledger is None:
+        found = _found(history, None)
+    else:
+        found = _recorded(ledger) if complete else _found(history, ledger).union(_recorded(ledger))
     per_blob = found.groupBy(f"{P}blob").agg(_listed().alias(f"{P}findings"))
     rows = history.withColumn(f"{P}blob", content(text_of()))
-    joined = rows.join(per_blob, f"{P}blob", "left")
+    joined = spread_join(rows, per_blob, f"{P}blob", _others(history))
     return joined.select(*history.columns, F.coalesce(f"{P}findings", F.array().cast(FINDING)).alias("findings"))
 
 
@@ -140,19 +191,20 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """``docs`` with every finding in its text replaced by a mark and n_chars
-    set to the new length; texts without findings stay as they are."""
-    blobs = blobs_of(docs)
+    set to the new length; texts without findings stay as they are. ``ledger``
+    has been updated with these texts; without one they are scanned."""
+    found = _found(docs, None) if ledger is None else _recorded(ledger)
     order = Window.partitionBy(f"{P}blob").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
-    spans = matches_of(blobs).withColumn("last", F.coalesce(F.max("end").over(order), F.lit(0))).filter("end > last")
-    cuts = spans.groupBy(f"{P}blob").agg(F.sort_array(F.collect_list(F.struct("end", "last", "start"))).alias("cuts"))
-    text, c = F.col(f"{P}text"), F.col("cuts")
+    spans = found.withColumn("last", F.coalesce(F.max("end").over(order), F.lit(0))).filter("end > last")
+    cuts = spans.groupBy(f"{P}blob").agg(F.sort_array(F.collect_list(F.struct("end", "last", "start"))).alias(f"{P}cuts"))
+    rows = spread_join(docs.withColumn(f"{P}blob", content(text_of())), cuts, f"{P}blob", _others(docs))
+    c = F.col(f"{P}cuts")
     pieces = F.transform(c, lambda x: F.when(x["start"] < x["last"], F.lit("")).otherwise(
-        F.concat(F.substring(text, x["last"] + 1, x["start"] - x["last"]), F.lit(MARK))))
-    tail = F.substring(text, F.element_at(c, -1)["end"] + 1, F.length(text))
-    clean = blobs.join(cuts, f"{P}blob").select(f"{P}blob", F.concat(F.array_join(pieces, ""), tail).alias(f"{P}clean"))
-    rows = docs.withColumn(f"{P}blob", content(text_of())).join(clean, f"{P}blob", "left")
+        F.concat(F.substring("text", x["last"] + 1, x["start"] - x["last"]), F.lit(MARK))))
+    tail = F.substring("text", F.element_at(c, -1)["end"] + 1, F.length("text"))
+    rows = rows.withColumn(f"{P}clean", F.when(c.isNotNull(), F.concat(F.array_join(pieces, ""), tail)))
     new = {"text": F.coalesce(f"{P}clean", "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(f"{P}clean").isNull(), F.col("n_chars")).otherwise(

@@ -11,11 +11,14 @@ Of records with equal payloads of at least ``least_payload`` bytes, that with th
 largest id is a response; the others are revisits that name it and hold the HTTP
 header block alone. The digest of a payload is its SHA-1 in base 32.
 
-Defined results: a null payload is empty; a null URL is written as empty and
-read as null; null ids are records like others and never chosen before one with
+Defined results: a null payload is empty; a record without a URL has no URL
+field and is read back as null, an empty one as empty; line ends in a URL are
+percent-encoded; very long payloads are written whole; an empty table gives an
+empty index; null ids are records like others and never chosen before one with
 an id; rows that repeat the largest id of their payload are responses each; other
-columns are not written. Archives lie under a folder the cluster shares; Arrow's
-file systems open it (local or mounted paths, S3, GCS, HDFS with libhdfs).
+columns are not written. Archives lie under a folder the cluster shares. A folder
+without a scheme is where Hadoop's default file system has it; Arrow's file
+systems open it in the tasks (mounted paths, S3, GCS, HDFS with libhdfs).
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from playframe.llm.common import Scratch, batch_of
+from playframe.llm.common import Scratch, batch_of, qualified, spread_join
 
 DATE = "2000-01-01T00:00:00Z"
 ID = "<urn:x-page:{}>"
@@ -61,13 +64,15 @@ def _header(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, size: int) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, size: int) -> bytes:
     """The bytes of a record; a revisit where ``refers_to`` is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     name = "null" if page_id is None else page_id
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", ID.format(name)),
-              ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", ID.format(name))]
+    if url is not None:
+        fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
+    fields += [("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
         fields += [("WARC-Refers-To", ID.format(refers_to)),
                    ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
@@ -103,13 +108,14 @@ def _page(name: str | None) -> int | None:
 
 def write(pages: DataFrame, folder: str, scratch: Scratch, opt: Warc = Warc()) -> DataFrame:
     """Write a record per row (page_id, url, html); the index table."""
+    folder = qualified(pages.sparkSession, folder)
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"))
     keyed = rows.select("page_id", base32_sha1(F.col("html")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
     keyed = scratch.keep(keyed)
     first = keyed.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    revisit = (keyed.filter(F.col("size") >= opt.least_payload).join(first, "digest")
-               .filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct())
+    revisit = (spread_join(keyed.filter(F.col("size") >= opt.least_payload), first, "digest", ["page_id"])
+               .filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct())
     marked = rows.withColumn("digest", base32_sha1(F.col("html"))).alias("p").join(
         revisit.alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.digest") == F.col("r.digest")), "left")
     marked = marked.select("p.page_id", "p.url", F.when(F.col("r.first").isNull(), F.col("p.html")).otherwise("").alias("html"),
@@ -128,7 +134,7 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, opt: Warc = Warc()) -
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = system.open_output_stream(f"{root}/{name}", compression=None)
-                    raw = gzip.compress(record(r["page_id"], r["url"] or "", r["html"].encode("utf-8", "surrogatepass"), r["digest"],
+                    raw = gzip.compress(record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["digest"],
                                                r["first"], r["size"]), opt.level, mtime=0)
                     out.write(raw)
                     for k, v in zip(index, (name, at, len(raw), r["url"], r["digest"]), strict=True):
@@ -162,6 +168,8 @@ def ranges(rows: list[tuple[int, int]], opt: Warc) -> list[tuple[int, int, int,
 def read(index: DataFrame, folder: str, opt: Warc = Warc()) -> DataFrame:
     """The records of the index rows: page_id, url, record_type, refers_to,
     payload_digest, payload_bytes and payload (null for a revisit)."""
+    folder = qualified(index.sparkSession, folder)
+
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         name, source = None, None
@@ -203,7 +211,7 @@ def _records(raw: bytes, start: int, rows: list[tuple[int, int]]) -> pa.RecordBa
             digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
             if f["warc-payload-digest"] != f"sha1:{digest}" or size != r["size"]:
                 raise ValueError(f"payload of {f['warc-record-id']} differs from its digest")
-        for k, v in zip(out, (_page(f["warc-record-id"]), f["warc-target-uri"] or None, kind, _page(f.get("warc-refers-to")), digest, size,
+        for k, v in zip(out, (_page(f["warc-record-id"]), f.get("warc-target-uri"), kind, _page(f.get("warc-refers-to")), digest, size,
                               payload.decode("utf-8", "surrogatepass") if kind == "response" else None), strict=True):
             out[k].append(v)
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from playframe.llm.common import most_frequent
+from playframe.llm.common import most_frequent, spread_join
 
 
 def test_most_frequent_takes_whole_steps_from_the_top(spark):
@@ -16,3 +16,17 @@ def test_most_frequent_takes_whole_steps_from_the_top(spark):
         assert sorted(rest + taken) == sorted(counts) and (not taken or not rest or min(taken) > max(rest))
     assert len(most_frequent(df, "n", 3000).collect()) == 3000
     assert most_frequent(df.filter(F.lit(False)), "n", 5).count() == 0
+
+
+def test_spread_join_is_a_left_join(spark):
+    many = [(i, None if i % 7 == 0 else i % 3 * (i % 11) if i % 2 else 5, f"v{i}") for i in range(3000)]
+    few = [(k, f"w{k}") for k in range(0, 40, 2)] + [(5, "hot")]
+    left = spark.createDataFrame(many, "id long, k long, v string")
+    right = spark.createDataFrame(few, "k long, w string")
+    want = sorted(map(tuple, left.join(right, "k", "left").select("id", "k", "v", "w").collect()), key=str)
+    for parts in (1, 4, 1024):
+        got = spread_join(left, right, "k", ["id"], parts)
+        assert got.columns == ["k", "id", "v", "w"]
+        assert sorted(map(tuple, got.select("id", "k", "v", "w").collect()), key=str) == want
+    assert spread_join(left.limit(0), right, "k", ["id"]).count() == 0
+    assert spread_join(left, right.limit(0), "k", ["id"]).filter("w is not null").count() == 0

@@ -92,3 +92,24 @@ def test_redaction(docs_of):
     for r in out.collect():
         assert r["text"] == plain(use[r["doc_id"]])
         assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+
+
+def test_a_kept_ledger_is_read_and_grows(spark, docs_of, tmp_path):
+    docs = docs_of([(i, t, None) for i, t in enumerate(ODD)] + [(900 + i, ODD[2], None) for i in range(400)])
+    held = S.Ledger(spark, str(tmp_path / "ledger"))
+    rows = held.update(docs)
+    blobs = {hashlib.sha256((t or "").encode()).hexdigest() for t in ODD}
+    assert sorted((r["blob"], r["version"]) for r in rows.collect()) == sorted((b, v) for b in blobs for v in S.VERSIONS)
+    want = sorted(map(str, S.findings(docs).collect()))
+    assert sorted(map(str, S.findings(docs, rows, complete=True).collect())) == want
+    assert sorted(map(str, S.redact(docs, rows).collect())) == sorted(map(str, S.redact(docs).collect()))
+    assert held.update(docs).count() == rows.count()  # the second run adds no pair, so it scanned none
+    assert held.update(docs_of([])).count() == rows.count()
+    more = held.update(docs_of([(1, "token=newnewnewnew1", None), (2, ODD[4], None)]))
+    assert more.count() == rows.count() + len(S.VERSIONS)
+    spark.conf.set(S.KEPT, held.path)
+    try:
+        assert S.Ledger(spark).rows().count() == more.count()
+    finally:
+        spark.conf.unset(S.KEPT)
+    assert S.Ledger(spark).rows().count() == 0

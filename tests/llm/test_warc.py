@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playframe.llm import warc as W
-from playframe.llm.common import Scratch
+from playframe.llm.common import Scratch, qualified
 
 
 def digest(t):
@@ -89,3 +89,20 @@ def test_base32_digest(spark):
     texts = ["", "a", "é", "x" * 1000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(W.base32_sha1(F.col("t")))
     assert [r[0] for r in df.collect()] == [digest(t) for t in texts]
+
+
+def test_null_and_empty_urls_are_told_apart(spark):
+    pages = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "u\nv", "c")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["url"] for r in W.round_trip(pages).collect()} == {1: None, 2: "", 3: "u%0Av"}
+
+
+def test_folders_without_a_scheme_are_on_the_default_file_system(spark, tmp_path):
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.shared.link./data", f"file:{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://shared/")
+    try:
+        assert qualified(spark, "/data/w") == "viewfs://shared/data/w"
+    finally:
+        conf.set("fs.defaultFS", before)
