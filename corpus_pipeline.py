@@ -3,6 +3,15 @@
 Each stage reads the table the one before wrote, works on all of it and keeps
 the columns of documents; the last returns packed pieces. Stage tables lie under
 the folder of spark.checkpoint.dir, so a lost executor costs tasks, not stages.
+
+Defined results of the stages: null and empty texts have too few words for the
+quality rules and go there; a stage that meets one all the same keeps it, and
+packing makes a piece of its end mark alone. Texts are read whole, however long.
+Null ids are rows like others: of equal texts the smallest id stays and nulls come
+last; if a row with a null id holds a test item, all rows with a null id go. Rows
+that repeat in every column count as copies, one of them stays. Of equal secrets
+or seeds all count. Empty tables give empty tables, and columns beside those of
+documents pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +38,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts become a mark; the documents stay."""
-    return secrets.redact(docs)
+    """Secrets in the texts become a mark; the documents stay. Texts are scanned
+    into the ledger, a new one or that which the session names."""
+    return secrets.redact(docs, secrets.Ledger(spark).update(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
