@@ -25,6 +25,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], width: float, *,
             lag: dict[str, Column] | None = None,
             lead: dict[str, Column] | None = None,
             cumsum: dict[str, Column] | None = None,
+            cummax: dict[str, Column] | None = None,
             fill_forward: dict[str, Column] | None = None,
             fill_backward: dict[str, Column] | None = None,
             index: str | None = None,
@@ -33,16 +34,16 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], width: float, *,
 
     ``order`` must be total within a key, and its first column (or
     ``on_block``) numeric. ``lag`` and ``lead`` look one row back or ahead,
-    ``cumsum`` and the two fills include the current row, ``index`` numbers
+    ``cumsum``, ``cummax`` and the two fills include the current row, ``index`` numbers
     the rows from zero.
     """
-    lag, lead, cumsum = lag or {}, lead or {}, cumsum or {}
+    lag, lead, cumsum, cummax = lag or {}, lead or {}, cumsum or {}, cummax or {}
     forward, backward = fill_forward or {}, fill_backward or {}
     names = df.columns
     base = df.withColumn(BLOCK, F.coalesce(block_of(on_block if on_block is not None else order[0], width),
                                            F.lit(-1).cast("bigint")))
     inputs = {}
-    for group, exprs in (("lag", lag), ("lead", lead), ("sum", cumsum), ("ff", forward), ("bf", backward)):
+    for group, exprs in (("lag", lag), ("lead", lead), ("sum", cumsum), ("max", cummax), ("ff", forward), ("bf", backward)):
         for alias, e in exprs.items():
             inputs[f"__{group}_{alias}"] = e
     base = base.withColumns(inputs) if inputs else base
@@ -55,6 +56,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], width: float, *,
     aggs += [F.max_by(F.struct(F.col(f"__lag_{a}").alias("v")), key).alias(f"__tail_{a}") for a in lag]
     aggs += [F.min_by(F.struct(F.col(f"__lead_{a}").alias("v")), key).alias(f"__head_{a}") for a in lead]
     aggs += [F.sum(f"__sum_{a}").alias(f"__total_{a}") for a in cumsum]
+    aggs += [F.max(f"__max_{a}").alias(f"__most_{a}") for a in cummax]
     aggs += [F.max_by(f"__ff_{a}", F.when(F.col(f"__ff_{a}").isNotNull(), key)).alias(f"__fflast_{a}") for a in forward]
     aggs += [F.min_by(f"__bf_{a}", F.when(F.col(f"__bf_{a}").isNotNull(), key)).alias(f"__bffirst_{a}") for a in backward]
     summary = base.groupBy(*cut).agg(*aggs)
@@ -66,6 +68,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], width: float, *,
     carried += [F.lag(f"__tail_{a}").over(across).alias(f"__prev_{a}") for a in lag]
     carried += [F.lead(f"__head_{a}").over(across).alias(f"__next_{a}") for a in lead]
     carried += [F.coalesce(F.sum(f"__total_{a}").over(before), F.lit(0)).alias(f"__upto_{a}") for a in cumsum]
+    carried += [F.max(f"__most_{a}").over(before).alias(f"__mostupto_{a}") for a in cummax]
     carried += [F.last(f"__fflast_{a}", ignorenulls=True).over(before).alias(f"__ffprev_{a}") for a in forward]
     carried += [F.first(f"__bffirst_{a}", ignorenulls=True).over(after).alias(f"__bfnext_{a}") for a in backward]
     if index:
@@ -82,6 +85,8 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], width: float, *,
         local[f"__loc_lead_{a}"] = F.lead(F.struct(F.col(f"__lead_{a}").alias("v"))).over(inside)
     for a in cumsum:
         local[f"__loc_sum_{a}"] = F.sum(f"__sum_{a}").over(upto)
+    for a in cummax:
+        local[f"__loc_max_{a}"] = F.max(f"__max_{a}").over(upto)
     for a in forward:
         local[f"__loc_ff_{a}"] = F.last(f"__ff_{a}", ignorenulls=True).over(upto)
     for a in backward:
@@ -97,6 +102,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], width: float, *,
     out += [F.coalesce(F.col(f"__loc_lag_{a}"), F.col(f"__prev_{a}"))["v"].alias(a) for a in lag]
     out += [F.coalesce(F.col(f"__loc_lead_{a}"), F.col(f"__next_{a}"))["v"].alias(a) for a in lead]
     out += [(F.coalesce(F.col(f"__loc_sum_{a}"), F.lit(0)) + F.col(f"__upto_{a}")).alias(a) for a in cumsum]
+    out += [F.greatest(f"__loc_max_{a}", f"__mostupto_{a}").alias(a) for a in cummax]
     out += [F.coalesce(F.col(f"__loc_ff_{a}"), F.col(f"__ffprev_{a}")).alias(a) for a in forward]
     out += [F.coalesce(F.col(f"__loc_bf_{a}"), F.col(f"__bfnext_{a}")).alias(a) for a in backward]
     if index:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playframe.operators.ordered import ordered
+from playframe.session import materialize
 
 BUCKET = "__bucket"
 
@@ -45,22 +46,93 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     the earliest right interval wins ties. Left rows without an overlap are
     absent from the result.
 
-    Both sides are spread over buckets. A pair is counted in the first bucket
-    that both touch. The best candidate of a bucket is combined map-side, so
-    the pairs themselves are never shuffled.
+    No pairs are made. Right intervals are numbered by their start; the best of
+    a left interval is one of three:
+
+    * the first that reaches its end, found among those that end later than all
+      before them;
+    * of those that begin no later than it, the one that ends last;
+    * of those that lie inside it, the longest. They are a range of numbers,
+      cut into aligned blocks of 1, 2, 4, ... numbers; per block, a running
+      maximum of the lengths in the order of the ends gives the answer.
+
+    So a key of n intervals costs n times the logarithm of the longest range,
+    however many lie over one another.
     """
     (ls, le), (rs, re) = left_span, right_span
-    a = spread(left.select(*keys, *left_id, ls, le), ls, le, width)
-    b = spread(right.select(*keys, rs, re, *carry), rs, re, width)
-    pairs = a.join(b, keys + [BUCKET]).filter(
-        (F.col(rs) < F.col(le)) & (F.col(re) > F.col(ls))
-        & (F.col(BUCKET) == F.greatest(_bucket(ls, width), _bucket(rs, width)))
-    )
-    overlap = F.least(F.col(re), F.col(le)) - F.greatest(F.col(rs), F.col(ls))
-    chosen = F.max_by(F.struct(*carry, overlap.alias("overlap")), F.struct(overlap, -F.col(rs)))
-    return pairs.groupBy(*keys, *left_id).agg(chosen.alias("__c")).select(
-        *keys, *left_id, *[F.col(f"__c.{c}").alias(c) for c in carry], F.col("__c.overlap").alias("overlap")
-    )
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    a = left.filter(known & (F.col(ls) <= F.col(le))).select(
+        *keys, F.struct(*left_id).alias("__id"), F.col(ls).alias("__s"), F.col(le).alias("__e"))
+    b = right.filter(known & (F.col(rs) <= F.col(re))).select(
+        *keys, F.col(rs).alias("__s"), F.col(re).alias("__e"), F.struct(*carry).alias("__carry"))
+    b = materialize(ordered(b, keys, ["__s", "__e", "__carry"], width, index="__i"))
+
+    # starts and ends of the left intervals among the right ones
+    own = F.struct(F.col("__e").alias("e"), (-F.col("__i")).alias("ni"), F.col("__s").alias("s"))
+    some = F.col("__s") < F.col("__e")
+    marks = F.explode(F.array(
+        F.struct(F.lit(True).alias("first"), F.col("__s").alias("p"), F.when(some, F.col("__s")).alias("q")),
+        F.struct(F.lit(False).alias("first"), F.col("__e").alias("p"), F.lit(None).cast(a.schema["__s"].dataType).alias("q"))))
+    asked = a.select(*keys, F.struct("__id", "__s", "__e").alias("__ask"), marks.alias("m")).select(
+        *keys, "__ask", F.col("m.first").alias("__first"), F.col("m.p").alias("__p"), F.col("m.q").alias("__q"), F.lit(1).alias("__side"))
+    given = b.select(*keys, F.col("__s").alias("__p"), F.col("__e").alias("__q"), F.lit(0).alias("__side"), "__i", own.alias("__own"))
+    seen = materialize(ordered(
+        given.unionByName(asked, allowMissingColumns=True), keys, ["__p", "__q", "__side", "__i"], width,
+        cumsum={"__n": F.when(F.col("__side") == 0, 1).otherwise(0)}, cummax={"__top": F.col("__own")}))
+    places = seen.filter("__side = 1").groupBy(*keys, "__ask").agg(
+        F.max(F.when(F.col("__first"), F.col("__n"))).alias("__lo"), F.max(F.when(~F.col("__first"), F.col("__n"))).alias("__hi"),
+        F.max(F.when(F.col("__first"), F.col("__top"))).alias("__top"))
+
+    # the first right interval that reaches the end of a left one
+    reach = seen.filter((F.col("__side") == 0) & (F.col("__top") == F.col("__own"))).select(
+        *keys, F.col("__own.e").alias("__p"), F.lit(1).alias("__side"), "__i", "__own")
+    late = places.select(*keys, F.col("__ask.__e").alias("__p"),
+                         F.when(F.col("__ask.__s") < F.col("__ask.__e"), 0).otherwise(2).alias("__side"),
+                         F.struct("__ask", "__lo", "__hi", "__top").alias("__place"))
+    met = ordered(reach.unionByName(late, allowMissingColumns=True), keys, ["__p", "__side", "__i"], width,
+                  fill_backward={"__hit": F.col("__own")})
+    met = materialize(met.filter(F.col("__place").isNotNull()).select(*keys, "__place.*", "__hit"))
+
+    def overlap(x: str) -> Column:
+        return F.least(F.col(f"{x}.e"), F.col("__ask.__e")) - F.greatest(F.col(f"{x}.s"), F.col("__ask.__s"))
+
+    def found(df: DataFrame, x: str) -> DataFrame:
+        return df.select(*keys, "__ask.__id", overlap(x).alias("__o"), F.col(f"{x}.ni").alias("__ni"))
+
+    reached = F.col("__hit.s") < F.col("__ask.__e")
+    whole = F.coalesce(reached & (F.col("__hit.s") <= F.col("__ask.__s")), F.lit(False))
+
+    # the longest right interval inside a left one
+    lo, hi = F.col("__lo"), F.col("__hi")
+    levels = F.sequence(F.lit(0), F.floor(F.log2(hi - lo)).cast("int"))
+
+    def blocks(p: Column) -> Column:
+        size = F.pow(F.lit(2), p)
+        x, y = F.ceil(lo / size), F.floor(hi / size)
+        return F.array(F.when((x < y) & (x % 2 == 1), F.struct(p.alias("level"), x.alias("block"))),
+                       F.when((x < y) & (y % 2 == 1), F.struct(p.alias("level"), (y - 1).alias("block"))))
+
+    cuts = met.filter((lo < hi) & ~whole).select(*keys, "__ask", F.explode(F.flatten(F.transform(levels, blocks))).alias("__b"))
+    cuts = materialize(cuts.filter(F.col("__b").isNotNull()).select(*keys, "__ask", "__b.level", "__b.block")
+                       .withColumnsRenamed({"level": "__level", "block": "__blk"}))
+    deepest = cuts.agg(F.max("__level")).first()[0]
+    parts = found(met.filter(reached), "__hit").union(found(met.filter(F.col("__top.e") > F.col("__ask.__s")), "__top"))
+    if deepest is not None:
+        cell = keys + ["__level", "__blk"]
+        each = b.select(*keys, "__i", F.col("__e").alias("__p"), F.struct((F.col("__e") - F.col("__s")).alias("len"), (-F.col("__i")).alias("ni"),
+                        F.col("__s").alias("s"), F.col("__e").alias("e")).alias("__own"), F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("__level"))
+        each = each.withColumn("__blk", F.floor(F.col("__i") / F.pow(F.lit(2), F.col("__level"))).cast("bigint"))
+        each = each.join(cuts.select(*cell).distinct(), cell, "left_semi").withColumn("__side", F.lit(0))
+        inside = cuts.select(*cell, F.col("__ask.__e").alias("__p"), "__ask", F.lit(1).alias("__side"))
+        longest = ordered(each.unionByName(inside, allowMissingColumns=True), cell, ["__p", "__side", "__i"], width,
+                          cummax={"__long": F.col("__own")})
+        parts = parts.union(found(longest.filter((F.col("__side") == 1) & F.col("__long").isNotNull()), "__long"))
+    best = parts.groupBy(*keys, "__id").agg(F.max(F.struct("__o", "__ni")).alias("__m")).select(
+        *keys, "__id", F.col("__m.__o").alias("overlap"), (-F.col("__m.__ni")).alias("__i"))
+    return best.join(b.select(*keys, "__i", "__carry"), keys + ["__i"]).select(
+        *keys, *[F.col(f"__id.{c}").alias(c) for c in left_id], *[F.col(f"__carry.{c}").alias(c) for c in carry], "overlap")
 
 
 def stamp_last(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str,

@@ -29,7 +29,7 @@ def frame(spark, pdf):
 def test_all_requests_match_pandas(spark, rows, width):
     out = od.ordered(
         frame(spark, rows), ["k"], ["t", "id"], width, lag={"before": F.col("id")}, lead={"after": F.col("id")},
-        cumsum={"run": F.col("w")}, fill_forward={"ff": F.col("v")}, fill_backward={"bf": F.col("v")}, index="pos").toPandas()
+        cumsum={"run": F.col("w")}, cummax={"top": F.col("v")}, fill_forward={"ff": F.col("v")}, fill_backward={"bf": F.col("v")}, index="pos").toPandas()
     out = out.sort_values(["k", "t", "id"]).reset_index(drop=True)
     want = rows.sort_values(["k", "t", "id"]).reset_index(drop=True)
     g = want.groupby("k")
@@ -37,6 +37,7 @@ def test_all_requests_match_pandas(spark, rows, width):
     np.testing.assert_array_equal(out["before"].fillna(-1), g["id"].shift(1).fillna(-1))
     np.testing.assert_array_equal(out["after"].fillna(-1), g["id"].shift(-1).fillna(-1))
     np.testing.assert_array_equal(out["run"], g["w"].cumsum())
+    np.testing.assert_allclose(out["top"], g["v"].cummax().groupby(want["k"]).ffill())
     np.testing.assert_array_equal(out["pos"], g.cumcount())
     np.testing.assert_allclose(out["ff"], g["v"].ffill())
     np.testing.assert_allclose(out["bf"], g["v"].bfill())
@@ -95,6 +96,44 @@ def test_overlap_ties_go_to_the_earlier(spark):
     assert got == {7: ("x", 4.0), 8: ("z", 1.0)}
 
 
+def plain_overlaps(a, b):
+    """Best of all pairs: (key, id) -> (overlap, start)."""
+    best = {}
+    for k, i, s, e in a:
+        for k2, bs, be, _ in b:
+            if k == k2 and None not in (k, s, e, bs, be) and s <= e and bs <= be and bs < e and be > s:
+                best[k, i] = max(best.get((k, i), (-1, 0)), (min(e, be) - max(s, bs), -bs))
+    return {x: (o, -s) for x, (o, s) in best.items()}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_overlaps_match_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+
+    def spans(n, reach, length):
+        s, d = rng.integers(0, reach, n), rng.integers(-1, length, n)
+        return [(int(k), int(x), int(x + y)) for k, x, y in zip(rng.integers(0, 3, n), s, d, strict=True)]
+
+    a = [(k, i, s, e) for i, (k, s, e) in enumerate(spans(150, 60, 30))] + [(0, 900, 5, None), (None, 901, 0, 60)]
+    b = [(k, s, e, s) for k, s, e in spans(120, 60, 12) + spans(20, 60, 60)] + [(1, None, 9, 0), (None, 0, 60, 0)]
+    left, right = spark.createDataFrame(a, "k int, id int, s long, e long"), spark.createDataFrame(b, "k int, bs long, be long, v long")
+    for width in (7.0, 1000.0):
+        got = ranges.best_overlap(left, right, ["k"], ("s", "e"), ("bs", "be"), ["id"], ["v"], width).collect()
+        assert {(r.k, r.id): (r.overlap, r.v) for r in got} == plain_overlaps(a, b) and len(got) == len(plain_overlaps(a, b))
+    assert ranges.best_overlap(left, right.limit(0), ["k"], ("s", "e"), ("bs", "be"), ["id"], ["v"], 7.0).count() == 0
+    assert ranges.best_overlap(left.limit(0), right, ["k"], ("s", "e"), ("bs", "be"), ["id"], ["v"], 7.0).count() == 0
+
+
+def test_many_intervals_over_one_another(spark):
+    """A pairing would make ten thousand million pairs here."""
+    n = 100_000
+    nested = spark.range(n).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("bs"), (3.0 * n - F.col("id")).alias("be"), F.col("id").alias("v"))
+    left = spark.range(n).select(F.lit(1).alias("k"), "id", (F.col("id") + 0.5).alias("s"), (3.0 * n - F.col("id") - 0.5).alias("e"))
+    out = ranges.best_overlap(left, nested, ["k"], ("s", "e"), ("bs", "be"), ["id"], ["v"], 1000.0)
+    # the first interval covers every left one, so it wins all ties
+    assert out.filter("v = 0 and overlap = %d - 2 * id - 1" % (3 * n)).count() == n
+
+
 def test_quantiles_are_exact_with_hot_values(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate([np.full(400, 2.5), rng.lognormal(0, 4, 700), -rng.random(100)])
