@@ -63,21 +63,23 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], width: float, *,
 
     across = Window.partitionBy(*keys).orderBy(BLOCK)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    after = across.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in the opposite order: a frame that ends with
+    # the partition is read anew for every row
+    after = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.col(c) for c in cut]
     carried += [F.lag(f"__tail_{a}").over(across).alias(f"__prev_{a}") for a in lag]
     carried += [F.lead(f"__head_{a}").over(across).alias(f"__next_{a}") for a in lead]
     carried += [F.coalesce(F.sum(f"__total_{a}").over(before), F.lit(0)).alias(f"__upto_{a}") for a in cumsum]
     carried += [F.max(f"__most_{a}").over(before).alias(f"__mostupto_{a}") for a in cummax]
     carried += [F.last(f"__fflast_{a}", ignorenulls=True).over(before).alias(f"__ffprev_{a}") for a in forward]
-    carried += [F.first(f"__bffirst_{a}", ignorenulls=True).over(after).alias(f"__bfnext_{a}") for a in backward]
+    carried += [F.last(f"__bffirst_{a}", ignorenulls=True).over(after).alias(f"__bfnext_{a}") for a in backward]
     if index:
         carried.append(F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__upto_n"))
     summary = summary.select(*carried)
 
     inside = Window.partitionBy(*cut).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rest = inside.rowsBetween(0, Window.unboundedFollowing)
+    rest = Window.partitionBy(*cut).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     local = {}
     for a in lag:
         local[f"__loc_lag_{a}"] = F.lag(F.struct(F.col(f"__lag_{a}").alias("v"))).over(inside)
@@ -90,7 +92,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], width: float, *,
     for a in forward:
         local[f"__loc_ff_{a}"] = F.last(f"__ff_{a}", ignorenulls=True).over(upto)
     for a in backward:
-        local[f"__loc_bf_{a}"] = F.first(f"__bf_{a}", ignorenulls=True).over(rest)
+        local[f"__loc_bf_{a}"] = F.last(f"__bf_{a}", ignorenulls=True).over(rest)
     if index:
         local["__loc_n"] = F.row_number().over(inside)
 

@@ -21,6 +21,8 @@ exactly before it is searched for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -115,6 +117,32 @@ def _closings(time: np.ndarray, passed: np.ndarray, max_passes: int, max_seconds
     return np.minimum(np.searchsorted(upto, before + max_passes), np.searchsorted(time, late)), before, late
 
 
+def _window_numbers(head: np.ndarray, time: np.ndarray, passed: np.ndarray, entry: np.ndarray, max_passes: int, max_seconds: float) -> np.ndarray:
+    """Windows begun up to each row of its block, over many blocks one after
+    another. ``head`` is the first row of each block, ``entry`` the place of its
+    first window start after the head, NaN where it has none."""
+    n = len(time)
+    size = np.diff(np.append(head, n))
+    block, end = np.repeat(np.arange(len(head)), size), np.append(head[1:], n)
+    upto, late = np.cumsum(passed), _least_late(time, max_seconds)
+    # rows of the block before the time cap, counted in one order of times and caps
+    order = np.lexsort((np.repeat([0, 1], n), np.concatenate([late, time]), np.concatenate([block, block])))
+    is_row = order >= n
+    by_time = np.empty(n, dtype=np.int64)
+    by_time[order[~is_row]] = np.cumsum(is_row)[~is_row]
+    by_pass = np.searchsorted(upto, upto - passed + max_passes)
+    follow = np.minimum(np.minimum(by_pass, by_time), end[block]) + 1
+    mark, known = np.zeros(n, dtype=np.int64), ~np.isnan(entry)
+    at, stop = head[known] + entry[known].astype(np.int64), end[known]
+    while len(at):
+        inside = at < stop
+        at, stop = at[inside], stop[inside]
+        mark[at] = 1
+        at = follow[at]
+    total = np.cumsum(mark)
+    return total - np.repeat(total[head] - mark[head], size)
+
+
 def _leaves(close: np.ndarray) -> np.ndarray:
     """The last window start reached from each row inside the block; the number
     of rows where the next window starts with the next block."""
@@ -136,24 +164,44 @@ def _capped(rows: DataFrame, run: list[str], time: str, ordinal: str, counted: s
     """Windows of the runs that may meet a cap."""
     placed = ordered(rows, run, [time, ordinal], width, index="__pos").withColumn(counted, F.coalesce(counted, F.lit(False)))
     placed = materialize(placed.withColumn("__block", F.floor(F.col("__pos") / block_rows)))
-    entries = placed.filter(F.col("__pos") == 0).select(*run, "__block", F.lit(0).cast("bigint").alias("__entry"))
     many = placed.filter((F.col("__pos") == block_rows)).select(*run)
+    known = placed.withColumn("__entry", F.when(F.col("__block") == 0, F.lit(0).cast("bigint")))
     if not many.isEmpty():
-        entries = entries.unionByName(_entries(_by(placed, cut_lineage(many), run, "left_semi"), run, time, counted, max_passes, max_seconds))
-
-    def starts(table: pa.Table) -> pa.Table:
-        """Numbers the windows of a block whose first start is known."""
-        table, times, passed = _placed(table, time, counted)
-        close, _, _ = _closings(times, passed, max_passes, max_seconds)
-        mark, entry = np.zeros(len(close), dtype=np.int64), table.column("__entry")[0].as_py()
-        at = len(close) if entry is None else entry - table.column("__pos")[0].as_py()
-        while at < len(close):
-            mark[at] = 1
-            at = int(close[at]) + 1
-        return table.drop_columns(["__entry"]).append_column("__start", pa.array(np.cumsum(mark)))
-
-    known = _by(placed, entries, run + ["__block"], "left")
-    marked = known.groupBy(*run, "__block").applyInArrow(starts, T.StructType([*placed.schema.fields, T.StructField("__start", T.LongType())]))
+        entries = _entries(_by(placed, cut_lineage(many), run, "left_semi"), run, time, counted, max_passes, max_seconds)
+        later = entries.filter("__block > 0").withColumnRenamed("__entry", "__later")
+        known = _by(known, later, run + ["__block"], "left").withColumn("__entry", F.coalesce("__entry", "__later")).drop("__later")
+
+    # a block begins where the place of a row is a multiple of its length; the rows
+    # of many blocks are numbered together, since most runs have a few rows only
+    names = [*placed.columns, "__entry"]
+    schema = T.StructType([*placed.schema.fields, T.StructField("__start", T.LongType())])
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers the windows of blocks whose first start is known. The last
+        block of a batch waits for the next one."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).select(names)
+            table = pa.concat_tables([held, table]) if held is not None else table
+            heads = np.flatnonzero(table.column("__pos").to_numpy() % block_rows == 0)
+            last = int(heads[-1]) if len(heads) else 0
+            held = table.slice(last)
+            if last:
+                yield from numbered_windows(table.slice(0, last))
+        if held is not None and held.num_rows:
+            yield from numbered_windows(held)
+
+    def numbered_windows(table: pa.Table) -> list[pa.RecordBatch]:
+        table = table.combine_chunks()
+        pos = table.column("__pos").to_numpy()
+        head = np.flatnonzero(pos % block_rows == 0)
+        passed, times = table.column(counted).cast(pa.int64()).to_numpy(), table.column(time).cast(pa.float64()).to_numpy()
+        entry = table.column("__entry").take(pa.array(head)).to_numpy(zero_copy_only=False).astype(float)
+        number = _window_numbers(head, times, passed, entry - pos[head], max_passes, max_seconds)
+        return table.drop_columns(["__entry"]).append_column("__start", pa.array(number)).to_batches()
+
+    dealt = known.repartition(*run, "__block").sortWithinPartitions(*run, "__pos")
+    marked = dealt.mapInArrow(starts, schema)
     if many.isEmpty():
         return marked.select(*rows.columns, (F.col("__start") - 1).alias("win"))
     marked = materialize(marked)

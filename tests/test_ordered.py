@@ -143,3 +143,19 @@ def test_quantiles_are_exact_with_hot_values(spark):
     for r in exact_quantiles(df, ["k"], "v", qs).collect():
         np.testing.assert_allclose(r.q, np.quantile(v[k == r.k], qs))
     assert column_medians(df, ["v"])["v"] == pytest.approx(np.median(v))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_looking_ahead_costs_no_square(spark):
+    """A frame that ends with its partition is read anew for every row."""
+    n = 40_000
+    known = (np.arange(n) * 7919) % 13 == 0
+    df = spark.range(n).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"), F.when(F.col("id") * 7919 % 13 == 0, F.col("id")).alias("v"))
+    out = od.ordered(df, ["k"], ["t"], 30_000.0, fill_backward={"b": F.col("v")})
+    assert "unboundedfollowing" not in plan_of(out)
+    want = pd.Series(np.where(known, np.arange(n), np.nan)).bfill()
+    got = out.orderBy("t").toPandas().b.astype(float)
+    assert got.equals(want.rename("b"))

@@ -129,3 +129,33 @@ def test_a_run_of_a_million_events(spark):
     t = np.cumsum(rng.choice([0.25, 0.5, 1.0], 1_000_000))
     passed = rng.random(1_000_000) < 0.3
     assert windows_of(spark, t, passed, 4096) == numpy_windows(t.tolist(), passed.tolist(), 4, 9.0)
+
+
+def test_short_runs_share_their_batches(spark):
+    """Most runs have a few rows; a Python call for each costs more than its rows."""
+    df = spark.createDataFrame([("m", *e) for e in make_events(5, 120, 0.2, 0.1, 0.5)],
+                               "match_id string, ordinal long, t double, seq int, is_stop boolean, counted boolean, reason string")
+    a = segments.assign_windows(df, ["match_id"], ["seq"], time="t", ordinal="ordinal", stop="is_stop", reason="reason",
+                                counted="counted", max_passes=2, max_seconds=1.0, width=50.0)
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_of_many_blocks_at_once(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 12, 300)
+    head = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    time = np.concatenate([np.sort(rng.integers(0, 20, n)) / 2.0 for n in sizes])
+    passed = rng.integers(0, 2, len(time))
+    entry = np.where(rng.random(len(sizes)) < 0.2, np.nan, np.floor(rng.random(len(sizes)) * sizes))
+    got = segments._window_numbers(head, time, passed, entry, 2, 3.0)
+    for h, n, e in zip(head, sizes, entry):
+        close, _, _ = segments._closings(time[h:h + n], passed[h:h + n], 2, 3.0)
+        mark, at = np.zeros(n, dtype=int), n if np.isnan(e) else int(e)
+        while at < n:
+            mark[at] = 1
+            at = int(close[at]) + 1
+        assert got[h:h + n].tolist() == np.cumsum(mark).tolist()
