@@ -137,7 +137,7 @@ def control_maps(frames: DataFrame, units: DataFrame, cfg: EngineConfig) -> Data
     held = points_in_intervals(sampled.select("match_id", "period", "elapsed", "home", "away"), spans, ["match_id", "period"], "elapsed",
                                "start_sec_period", "end_sec_period", cfg.block_seconds)
     nx, ny = cfg.control_nodes_x, cfg.control_nodes_y
-    totals = kernels.control_totals(held, KEY, "nodes", cfg.control_min_players, nx, ny)
+    totals = kernels.control_totals(held, KEY, "nodes", cfg.control_min_players, nx, ny, order="elapsed", block=cfg.block_seconds)
     j = totals.join(units.select(*KEY, "team", "direction"), KEY)
     share = F.col("home_frames") / F.col("frames")
     own = F.when(F.col("team") == "home", share).otherwise(1.0 - share)

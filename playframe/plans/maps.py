@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from playframe.functions.gridding import metre_cells
 from playframe.functions.nulls import ratio
 from playframe.operators import grids
-from playframe.operators.kernels import control_totals
+from playframe.operators.kernels import control_arrays, open_totals
 from playframe.operators.ordered import ordered, top_per_key
 
 PHASE_KEYS = ["match_id", "window_id"]
@@ -123,12 +123,13 @@ def phase_control(phase_frames: DataFrame, stride: int, min_players: int, width:
     cell; cells it never controls are left out."""
     numbered = ordered(phase_frames, PHASE_KEYS, ["frame_idx"], width, index="__pos")
     sampled = numbered.filter(F.col("__pos") % stride == 0)
-    totals = control_totals(sampled, PHASE_KEYS, "centres", min_players)
     info = phase_frames.groupBy(*PHASE_KEYS).agg(
         *[F.first(c).alias(c) for c in PHASE_INFO], F.count(F.lit(1)).alias("frame_count"),
         metre_cells(F.first("pitch_length")).alias("__nc"),
     )
-    j = totals.join(info, PHASE_KEYS)
+    # frames meet their phase, since their maps are far larger than they are
+    told = sampled.drop(*PHASE_INFO).join(info, PHASE_KEYS)
+    j = open_totals(control_arrays(told, [*PHASE_KEYS, *PHASE_INFO, "frame_count", "__nc"], "centres", min_players))
     own = F.when(F.col("team") == "home", F.col("home_frames")).otherwise(F.col("frames") - F.col("home_frames"))
     return j.filter(own > 0).select(
         *PHASE_KEYS, *PHASE_INFO, F.floor(F.col("cell") / F.col("__nc")).cast("int").alias("row"),

@@ -147,3 +147,68 @@ def test_smoothing_keeps_mass(spark):
     df = spark.createDataFrame([(1, [float(i == 5) for i in range(12)])], "k int, cells array<double>")
     s = grids.smooth(df, "cells", 3, 4, 1.0).first().cells
     assert sum(s) == pytest.approx(1.0) and max(s) == s[5]
+
+
+def test_control_totals_match_brute_force_and_hold_no_cells(spark):
+    """Keys with few frames, a hot key over several blocks, a null key, a key with two sizes of pitch."""
+    data = random_frames(60, 4)
+    df = frame_table(spark, data).withColumns({
+        "k": F.when(F.col("frame_idx") < 40, 0).when(F.col("frame_idx") % 3 != 0, F.col("frame_idx") % 3),
+        "pitch_length": F.when(F.col("frame_idx") % 7 == 0, 90.0).otherwise(105.0)})
+    arrays = kernels.control_arrays(df, ["k"], "centres", 4, block=8.0)
+    plan = arrays.filter("k > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+    got = {(r.k, r.cell): (r.home_frames, r.frames) for r in kernels.open_totals(arrays).collect()}
+    assert arrays.filter("start = 0 and size(owned) > 1").count() == 3  # maps, not cells, for keys that are not hot
+    want = {}
+    for i, (h, a, _, _) in enumerate(data):
+        if len(h) + len(a) < 4:
+            continue
+        k, pl = 0 if i < 40 else i % 3 or None, 90.0 if i % 7 == 0 else 105.0
+        pts = [np.array(s).reshape(1, -1, 2) for s in (h, a)]
+        own = kernels.home_owned(pts[0][..., 0], pts[0][..., 1], pts[1][..., 0], pts[1][..., 1], *kernels.centre_axes(pl, 68.0, round(pl), 68), False)[0]
+        for c, o in enumerate(own):
+            n = want.get((k, c), (0, 0))
+            want[k, c] = (n[0] + int(o), n[1] + 1)
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [7, 8, 10, 13])
+def test_cheapest_template_is_found_with_few_assignments(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    slots = np.array(list(fm.default_templates(105.0, 68.0).values()))
+    cost = np.sqrt(((rng.random((40, 1, n, 1, 2)) * [105, 68] - slots[None, :, None]) ** 2).sum(-1))
+    cost = cost.transpose(0, 1, 3, 2) if n > 10 else cost
+    cost[:, 20] = cost[:, 4]  # a tie goes to the first
+    plain = kernels.assignment_cost
+    total = plain(cost.reshape(-1, *cost.shape[2:]))[0].reshape(40, -1)
+    solved = []
+    monkeypatch.setattr(kernels, "assignment_cost", lambda c: (solved.append(len(c)), plain(c))[1])
+    best, least = kernels.cheapest_assignment(cost)
+    assert best.tolist() == total.argmin(axis=1).tolist() and least.tolist() == total.min(axis=1).tolist()
+    assert sum(solved) < total.size / 4
+
+
+def test_dense_maps_are_made_in_pieces(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000))], names=["i"])
+    parts = list(grids._pieces(iter([batch]), 550))
+    assert max(p.num_rows for p in parts) * 550 <= grids.CELLS and sum(p.num_rows for p in parts) == 5000
+    d = grids.densify(spark.createDataFrame([(1, 0, 1, 2.0), (1, 0, 1, 3.0), (2, 1, 2, 1.5)], "k int, row int, col int, v double"), ["k"], "v", 2, 3)
+    assert {r.k: list(r.cells) for r in d.collect()} == {1: [0, 5.0, 0, 0, 0, 0], 2: [0, 0, 0, 0, 0, 1.5]}
+
+
+def test_cells_do_not_meet_by_label(spark):
+    from playframe.plans.similarity import label_sums
+
+    cells = spark.createDataFrame([(i, 0, i % 2, "in", 1.0) for i in range(6)], "map_id int, row int, col int, block string, amount double")
+    labels = spark.createDataFrame([(i, "x" if i < 4 else "y") for i in range(6)], "map_id int, label string")
+    s = label_sums(cells, labels, ["map_id"], "amount", 3)
+    assert sorted((r.label, r.col, r.n_phases, r.in_possession_sum) for r in s.collect()) == [("x", 0, 4, 2.0), ("x", 1, 4, 2.0)]
+    depth = {}
+    for line in s._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        for key in ("map_id", "label"):
+            if f"Join Inner, ({key}" in line:
+                depth[key] = line.index("Join")
+    assert depth["label"] > depth["map_id"]
