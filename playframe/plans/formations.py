@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playframe.config import FOUL_TYPES, EngineConfig
-from playframe.operators.kernels import assignment_cost
+from playframe.operators.kernels import cheapest_assignment
 from playframe.operators.ordered import islands, steps
 from playframe.operators.ranges import best_overlap, points_in_intervals
+from playframe.session import materialize
+
+TASK_ROWS = 5_000  # rows matched by one task
 
 # Shapes that make up the default template library: outfield line sizes from
 # the own goal forwards. Coordinates follow from the rule in ``line_template``.
@@ -56,8 +59,9 @@ def match_templates(df: DataFrame, xs: str, ys: str, flipped: Column, length: st
     """Cheapest template per row of averaged player positions.
 
     Adds ``formation`` and ``cost`` (mean distance per assigned player). All
-    rows of a batch with the same number of players, and all templates, are
-    assigned together. The first template wins ties.
+    rows of a batch with the same number of players go together; templates whose
+    lower bound is above a cost already found are not assigned. The first
+    template wins ties.
     """
     names = list(templates)
     unit = np.array([templates[n] for n in names], dtype=float)           # (T, 10, 2)
@@ -82,17 +86,17 @@ def match_templates(df: DataFrame, xs: str, ys: str, flipped: Column, length: st
                     slots = np.where(turn[:, None, None, None], size[:, None, None, :] - slots, slots)
                     diff = pos[:, None, :, None, :] - slots[:, :, None, :, :]
                     d = np.sqrt((diff ** 2).sum(-1))                       # (rows, T, players, slots)
-                    flat = d.reshape(-1, d.shape[2], d.shape[3])
-                    if flat.shape[1] > flat.shape[2]:
-                        flat = flat.transpose(0, 2, 1)
-                    total, _ = assignment_cost(flat)
-                    mean = (total / flat.shape[1]).reshape(len(r), len(names))
-                    best = mean.argmin(axis=1)
+                    if d.shape[2] > d.shape[3]:
+                        d = d.transpose(0, 1, 3, 2)
+                    best, total = cheapest_assignment(d)
                     formation[r] = np.array(names, dtype=object)[best]
-                    cost[r] = mean[np.arange(len(r)), best]
+                    cost[r] = total / d.shape[2]
             yield pdf[keep].assign(formation=formation, cost=cost)
 
-    return df.withColumn("__flip", flipped).mapInPandas(run, schema)
+    # rows cost far more time than bytes, so their number tells the partitions
+    held = materialize(df.withColumn("__flip", flipped))
+    n_tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // TASK_ROWS))
+    return held.repartition(n_tasks).mapInPandas(run, schema)
 
 
 def variant(formation: Column | str) -> Column:
