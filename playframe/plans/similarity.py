@@ -22,7 +22,9 @@ def label_sums(cells: DataFrame, labels: DataFrame, keys: list[str], value: str,
     label counts with all of its phases, also those without cells."""
     kept = labels.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n_phases")).filter(
         F.col("n_phases") >= min_phases)
-    tagged = cells.join(labels, keys).join(kept, "label")
+    # labels meet their counts before the cells: there are few, so all cells of a
+    # label would go to one task
+    tagged = cells.join(labels.join(kept, "label"), keys)
     v = F.col(value)
     return tagged.groupBy("label", "n_phases", "row", "col").agg(
         F.sum(F.when(F.col("block") == "in", v).otherwise(0.0)).alias("in_possession_sum"),
