@@ -10,15 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from playframe.functions.gridding import edge_bin, rotate_cell
 from playframe.functions.nulls import ratio
 from playframe.session import materialize
 
+CELLS = 1 << 18  # cells of dense maps held at once
+
 
 def histogram2d(points: DataFrame, keys: list[str], x: str, y: str, length, width, n_cols, n_rows,
                 count: str = "n") -> DataFrame:
@@ -41,20 +41,31 @@ def densify(cells: DataFrame, keys: list[str], value: str, n_rows: int, n_cols:
     index = (F.col("row") * n_cols + F.col("col")).cast("int")
     summed = cells.groupBy(*keys, index.alias("__i")).agg(F.sum(F.col(value).cast("double")).alias("__v"))
     packed = summed.groupBy(*keys).agg(F.collect_list(F.struct("__i", "__v")).alias("__m"))
-    pairs = packed.select(*keys, F.transform("__m", lambda s: s["__i"]).alias("__i"), F.transform("__m", lambda s: s["__v"]).alias("__v"))
-    return pairs.select(*keys, _scatter(n_rows * n_cols)("__i", "__v").alias(out))
+    size = n_rows * n_cols
+    schema = T.StructType([*[packed.schema[k] for k in keys], T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, size):
+            listed = part.column(len(keys))
+            pair = listed.flatten()
+            row = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+            dense = np.zeros((len(listed), size))
+            dense[row, pair.field(0).to_numpy()] = pair.field(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(dense)], names=[*keys, out])
+
+    return packed.select(*keys, "__m").mapInArrow(fill, schema)
 
 
-def _scatter(size: int):
-    """Arrow function from cell indices and values to a dense array."""
-    @pandas_udf("array<double>")
-    def fill(at: pd.Series, value: pd.Series) -> pd.Series:
-        out = np.zeros((len(at), size))
-        for row, (i, v) in enumerate(zip(at, value)):
-            out[row, i] = v
-        return pd.Series(list(out))
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose dense maps have ``CELLS`` cells in all at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, max(1, CELLS // size)):
+            yield batch.slice(at, max(1, CELLS // size))
 
-    return fill
+
+def _lists(dense: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1, dtype=np.int32) * dense.shape[1]), pa.array(dense.ravel()))
 
 
 def sparsify(maps: DataFrame, keys: list[str], cells: str, n_cols: int, value: str = "value") -> DataFrame:
@@ -123,14 +134,16 @@ def smooth(maps: DataFrame, cells: str, n_rows: int, n_cols: int, sigma: float,
 
     by_row, by_col = mixing(n_rows), mixing(n_cols)
 
-    @pandas_udf("array<double>")
-    def apply(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        grid = np.stack(v.to_numpy()).reshape(-1, n_rows, n_cols)
-        return pd.Series(list((by_row @ grid @ by_col.T).reshape(len(grid), -1)))
+    names, place, size = maps.columns, maps.columns.index(cells), n_rows * n_cols
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, size):
+            grid = part.column(place).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_rows, n_cols)
+            columns = part.columns
+            columns[place] = _lists((by_row @ grid @ by_col.T).reshape(len(grid), -1))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return maps.withColumn(cells, apply(F.col(cells)))
+    return maps.mapInArrow(apply, maps.schema)
 
 
 def total_variation(cells: Column, n_rows: int, n_cols: int) -> Column:
