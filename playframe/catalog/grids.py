@@ -269,7 +269,6 @@ b AS (SELECT map_id, row, mc.at AS col, sum(v * w) AS v FROM a JOIN mc ON a.col
 WITH {CELLS}, {_UNIT}, {_TAPS} SELECT map_id, round(sum(v) * 0.7310585, 4) + 0.0 AS mass, round(max(v) * 0.7310585, 4) + 0.0 AS peak FROM b GROUP BY 1""")
 def smoothed_grid(spark, folder):
     """Gaussian smoothing of dense maps; mass is kept by mirrored borders."""
-    d = grids.densify(_unit_cells(spark, folder), ["map_id"], "v", N_ROWS, N_COLS)
-    s = grids.smooth(d, "cells", N_ROWS, N_COLS, 1.0)
+    s = grids.densify(_unit_cells(spark, folder), ["map_id"], "v", N_ROWS, N_COLS, then=grids.smoother(N_ROWS, N_COLS, 1.0))
     return s.select("map_id", rounded(F.aggregate("cells", F.lit(0.0), lambda a, v: a + v) * 0.7310585, 4).alias("mass"),
                     rounded(F.array_max("cells") * 0.7310585, 4).alias("peak"))

@@ -7,7 +7,7 @@ the number of cells of the grid, so it is bounded whatever the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,10 @@ def with_share(cells: DataFrame, keys: list[str], value: str, out: str) -> DataF
     return cells.withColumn(out, F.col(value) / F.sum(value).over(whole))
 
 
-def densify(cells: DataFrame, keys: list[str], value: str, n_rows: int, n_cols: int, out: str = "cells") -> DataFrame:
-    """One array per map; absent cells are zero and repeated cells add up."""
+def densify(cells: DataFrame, keys: list[str], value: str, n_rows: int, n_cols: int, out: str = "cells",
+            then: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """One array per map; absent cells are zero and repeated cells add up.
+    ``then`` changes the dense maps (one per row) in the same pass."""
     index = (F.col("row") * n_cols + F.col("col")).cast("int")
     summed = cells.groupBy(*keys, index.alias("__i")).agg(F.sum(F.col(value).cast("double")).alias("__v"))
     packed = summed.groupBy(*keys).agg(F.collect_list(F.struct("__i", "__v")).alias("__m"))
@@ -51,7 +53,7 @@ def densify(cells: DataFrame, keys: list[str], value: str, n_rows: int, n_cols:
             row = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
             dense = np.zeros((len(listed), size))
             dense[row, pair.field(0).to_numpy()] = pair.field(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(dense)], names=[*keys, out])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(then(dense) if then else dense)], names=[*keys, out])
 
     return packed.select(*keys, "__m").mapInArrow(fill, schema)
 
@@ -116,8 +118,8 @@ def centroid_x(cells: DataFrame, keys: list[str], value: str, n_cols, length: fl
     return cells.groupBy(*keys).agg(ratio(F.sum(F.col(value) * x), F.sum(value)).alias(out))
 
 
-def smooth(maps: DataFrame, cells: str, n_rows: int, n_cols: int, sigma: float, truncate: float = 4.0) -> DataFrame:
-    """Gaussian smoothing of dense maps, separable, with mirrored borders."""
+def smoother(n_rows: int, n_cols: int, sigma: float, truncate: float = 4.0) -> Callable[[np.ndarray], np.ndarray]:
+    """Gaussian smoothing of dense maps, one per row; separable, with mirrored borders."""
 
     radius = int(truncate * sigma + 0.5)
     taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
@@ -134,13 +136,18 @@ def smooth(maps: DataFrame, cells: str, n_rows: int, n_cols: int, sigma: float,
 
     by_row, by_col = mixing(n_rows), mixing(n_cols)
 
+    return lambda dense: (by_row @ dense.reshape(-1, n_rows, n_cols) @ by_col.T).reshape(len(dense), -1)
+
+
+def smooth(maps: DataFrame, cells: str, n_rows: int, n_cols: int, sigma: float, truncate: float = 4.0) -> DataFrame:
+    """``smoother`` over dense maps of a table."""
     names, place, size = maps.columns, maps.columns.index(cells), n_rows * n_cols
+    change = smoother(n_rows, n_cols, sigma, truncate)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batches, size):
-            grid = part.column(place).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_rows, n_cols)
             columns = part.columns
-            columns[place] = _lists((by_row @ grid @ by_col.T).reshape(len(grid), -1))
+            columns[place] = _lists(change(part.column(place).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return maps.mapInArrow(apply, maps.schema)

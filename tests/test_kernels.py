@@ -212,3 +212,11 @@ def test_cells_do_not_meet_by_label(spark):
             if f"Join Inner, ({key}" in line:
                 depth[key] = line.index("Join")
     assert depth["label"] > depth["map_id"]
+
+
+def test_smoothing_shares_the_pass_of_dense_maps(spark):
+    cells = spark.createDataFrame([(1, 0, 1, 2.0), (1, 3, 4, 3.0), (2, 1, 2, 1.5)], "k int, row int, col int, v double")
+    one = grids.densify(cells, ["k"], "v", 4, 5, then=grids.smoother(4, 5, 1.0))
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = grids.smooth(grids.densify(cells, ["k"], "v", 4, 5), "cells", 4, 5, 1.0)
+    assert {r.k: list(r.cells) for r in one.collect()} == {r.k: list(r.cells) for r in two.collect()}
