@@ -193,7 +193,7 @@ SELECT match_id, poss_id AS window_id, side, row, col, recurrence_count::BIGINT
   {r('recurrence_count / sum(recurrence_count) OVER (PARTITION BY match_id, poss_id)', 'recurrence_frac_combined')} FROM h""")
 def phase_occupancy(spark, folder):
     pf = _phase_frames(spark, folder)
-    keeper = pf.select("match_id").distinct().select("match_id", F.lit("home").alias("side"), F.lit("0").alias("pid"))
+    keeper = tables.possession_spans(spark, folder).select("match_id").distinct().select("match_id", F.lit("home").alias("side"), F.lit("0").alias("pid"))
     o = maps.occupancy(pf, keeper, 10)
     return o.select("match_id", "window_id", "side", "row", "col", "recurrence_count", rounded("recurrence_frac").alias("recurrence_frac"),
                     rounded("recurrence_frac_combined").alias("recurrence_frac_combined"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from playframe.functions.gridding import metre_cells
+from playframe.functions.gridding import edge_bin, metre_cells
 from playframe.functions.nulls import ratio
 from playframe.operators import grids
 from playframe.operators.kernels import control_arrays, open_totals
-from playframe.operators.ordered import ordered, top_per_key
+from playframe.operators.ordered import ordered
+from playframe.session import materialize
 
 PHASE_KEYS = ["match_id", "window_id"]
 PHASE_INFO = ["sequence_id", "team", "period"]
+TASK_FRAMES = 4096  # frames of phases dealt to a task
 
 
 def path_summary(points: DataFrame, keys: list[str], order: str, x: str, y: str, width: float,
@@ -41,51 +43,60 @@ def path_summary(points: DataFrame, keys: list[str], order: str, x: str, y: str,
     return out.withColumn("straightness", ratio("net_displacement_m", "path_length_m"))
 
 
-def active_players(players: DataFrame, n: int) -> DataFrame:
-    """The ``n`` players of each side with most valid frames in a phase, ties
-    by id as text. A phase has at most a roster of rows after the count."""
-    counted = players.groupBy(*PHASE_KEYS, "side", "pid").agg(F.count(F.lit(1)).alias("n_valid"))
-    return top_per_key(counted, PHASE_KEYS + ["side"], [F.desc("n_valid"), F.col("pid")], n).drop("rank")
-
-
-def occupancy(phase_frames: DataFrame, keepers: DataFrame, players_per_side: int = 10) -> DataFrame:
-    """Occupied cells of both sides per phase, on cells of about one metre.
+def occupancy(phase_frames: DataFrame, keepers: DataFrame, players_per_side: int = 10, block: int = 2048) -> DataFrame:
+    """Occupied cells of both sides per phase, on cells of about one metre, of
+    the ``players_per_side`` players of each side with most valid frames, ties
+    by id as text.
 
     ``phase_frames`` holds one row per phase and frame, with the player arrays
     and pitch size; ``keepers`` the goalkeeper id per match and side.
+
+    Frames are dealt by phase over as many tasks as their number asks for, and
+    a task does the rest of its phases without another exchange. Phases with
+    over a thousandth of the frames (and over ``block`` of them) are counted
+    per cell before they are dealt.
     """
-    opened = phase_frames.select(
-        *PHASE_KEYS, "pitch_length", "pitch_width",
-        F.explode(F.concat(
-            F.transform("home", lambda p: F.struct(F.lit("home").alias("side"), p["pid"].alias("pid"), p["x"].alias("x"), p["y"].alias("y"))),
-            F.transform("away", lambda p: F.struct(F.lit("away").alias("side"), p["pid"].alias("pid"), p["x"].alias("x"), p["y"].alias("y"))),
-        )).alias("p"),
-    ).select(*PHASE_KEYS, "pitch_length", "pitch_width", "p.*")
-    keeper = keepers.select("match_id", "side", F.col("pid").alias("__keeper"))
-    out = opened.join(keeper, ["match_id", "side"], "left").filter(~F.coalesce(F.col("pid") == F.col("__keeper"), F.lit(False))).drop("__keeper")
-    n_cols, n_rows = metre_cells("pitch_length"), metre_cells("pitch_width")
-    chosen = active_players(out, players_per_side)
-    cells = grids.histogram2d(
-        out.withColumns({"__nc": n_cols, "__nr": n_rows}), PHASE_KEYS + ["side", "pid"], "x", "y",
-        F.col("pitch_length"), F.col("pitch_width"), F.col("__nc"), F.col("__nr"),
-    )
-    # players are chosen on counts and cells are counted per player first, so
-    # only aggregated rows meet in the join
-    kept = cells.join(chosen.select(*PHASE_KEYS, "side", "pid"), PHASE_KEYS + ["side", "pid"])
-    counts = kept.groupBy(*PHASE_KEYS, "side", "row", "col").agg(F.sum("n").alias("recurrence_count"))
-    side_totals = chosen.groupBy(*PHASE_KEYS).agg(
-        F.sum("n_valid").alias("valid_player_frame_count"),
-        F.sum(F.when(F.col("side") == "home", F.col("n_valid")).otherwise(0)).alias("__home"),
-        F.sum(F.when(F.col("side") == "away", F.col("n_valid")).otherwise(0)).alias("__away"),
-        F.count_if(F.col("side") == "home").cast("int").alias("n_home_outfielders"),
-        F.count_if(F.col("side") == "away").cast("int").alias("n_away_outfielders"),
-    )
-    info = phase_frames.groupBy(*PHASE_KEYS).agg(
-        *[F.first(c).alias(c) for c in PHASE_INFO], F.count(F.lit(1)).alias("frame_count"),
-    )
-    j = counts.join(side_totals, PHASE_KEYS).join(info, PHASE_KEYS)
+    keeper = keepers.groupBy("match_id").agg(*[F.collect_set(F.when(F.col("side") == s, F.col("pid"))).alias(f"__{s}_keepers") for s in ("home", "away")])
+    sized = [F.col(c).cast("double").alias(c) for c in ("pitch_length", "pitch_width")]
+    packed = materialize(phase_frames.join(keeper, "match_id", "left").select(
+        *PHASE_KEYS, *PHASE_INFO, *sized, "__home_keepers", "__away_keepers",
+        F.concat(F.array_repeat(F.lit("home"), F.size("home")), F.array_repeat(F.lit("away"), F.size("away"))).alias("side"),
+        *[F.concat(f"home.{c}", f"away.{c}").alias(c) for c in ("pid", "x", "y")]))
+    total = packed.count()
+    # fewer than a thousand phases, so their table may be broadcast
+    hot = F.broadcast(packed.groupBy(*PHASE_KEYS).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > block) & (F.col("n") * 1000 > total)).select(*PHASE_KEYS))
+    n_tasks = max(int(phase_frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_FRAMES))
+    whole = packed.join(hot, PHASE_KEYS, "left_anti").repartition(n_tasks, *PHASE_KEYS)
+    return _occupied(whole, players_per_side).unionByName(_occupied(packed.join(hot, PHASE_KEYS, "left_semi"), players_per_side))
+
+
+def _occupied(packed: DataFrame, players_per_side: int) -> DataFrame:
     home = F.col("side") == "home"
-    side_total = F.when(home, F.col("__home")).otherwise(F.col("__away"))
+    opened = packed.select(
+        *PHASE_KEYS, "pitch_length", "pitch_width", "__home_keepers", "__away_keepers", F.explode(F.arrays_zip("side", "pid", "x", "y")).alias("p"),
+    ).select(*PHASE_KEYS, "pitch_length", "pitch_width", "__home_keepers", "__away_keepers", "p.*")
+    is_keeper = F.array_contains(F.when(home, F.col("__home_keepers")).otherwise(F.col("__away_keepers")), F.col("pid"))
+    # players without a position have no cell, but count as seen
+    seen = F.col("x").isNotNull() & F.col("y").isNotNull()
+    cells = opened.filter(~F.coalesce(is_keeper, F.lit(False))).groupBy(
+        *PHASE_KEYS, "side", "pid",
+        F.when(seen, edge_bin("y", F.col("pitch_width"), metre_cells("pitch_width"))).alias("row"),
+        F.when(seen, edge_bin("x", F.col("pitch_length"), metre_cells("pitch_length"))).alias("col"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+    valid = F.sum("n").over(Window.partitionBy(*PHASE_KEYS, "side", "pid"))
+    rank = F.dense_rank().over(Window.partitionBy(*PHASE_KEYS, "side").orderBy(F.desc("n_valid"), "pid"))
+    chosen = cells.withColumn("n_valid", valid).withColumn("rank", rank).filter(F.col("rank") <= players_per_side)
+    counts = chosen.groupBy(*PHASE_KEYS, "side", "row", "col").agg(F.sum("n").alias("recurrence_count"), F.max("rank").alias("rank"))
+    phase = Window.partitionBy(*PHASE_KEYS)
+    counts = counts.withColumns({
+        "valid_player_frame_count": F.sum("recurrence_count").over(phase),
+        "__home": F.sum(F.when(home, F.col("recurrence_count")).otherwise(0)).over(phase),
+        "n_home_outfielders": F.max(F.when(home, F.col("rank")).otherwise(0)).over(phase),
+        "n_away_outfielders": F.max(F.when(home, 0).otherwise(F.col("rank"))).over(phase),
+    }).filter(F.col("row").isNotNull())
+    info = packed.groupBy(*PHASE_KEYS).agg(*[F.first(c).alias(c) for c in PHASE_INFO], F.count(F.lit(1)).alias("frame_count"))
+    j = counts.join(info, PHASE_KEYS)
+    side_total = F.when(home, F.col("__home")).otherwise(F.col("valid_player_frame_count") - F.col("__home"))
     return j.select(
         *PHASE_KEYS, "sequence_id", "team", "side", "period", "row", "col", "frame_count",
         "n_home_outfielders", "n_away_outfielders",

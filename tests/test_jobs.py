@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from match_data import PITCHES
 from playframe.config import STOPPAGE_TYPES, EngineConfig
-from playframe.plans import jobs, movement
+from playframe.plans import jobs, maps, movement
 from playframe.sources import events as ev
 from playframe.sources import files
 from playframe.sources.tracking import quality_report
@@ -269,6 +269,43 @@ def test_occupancy_sums_and_counts(inputs, phases, phase_rows):
     assert {(r.row, r.col): r.recurrence_count for r in mine.itertuples()} == want
 
 
+def test_occupancy_is_dealt_by_frames(spark, monkeypatch):
+    """A hot phase, players without a position, more players than are kept, ties by id as text, two sizes of pitch."""
+    monkeypatch.setattr(maps, "TASK_FRAMES", 50, raising=False)
+    rng = np.random.default_rng(3)
+    rows, want, total, frames = [], {}, {}, {}
+    for f in range(900):
+        w = 0 if f < 300 else f % 60
+        m = w % 3
+        sides = {s: [(str(p), float(rng.integers(0, 5)) if rng.random() < 0.9 else None, float(rng.integers(0, 70)))
+                     for p in range(12) if rng.random() < 0.7] for s in ("home", "away")}
+        rows.append((m, w, w + 7, "home", 1, 90.0 if m else 105.0, 68.0, sides["home"], sides["away"]))
+        frames[m, w] = frames.get((m, w), 0) + 1
+        for s, ps in sides.items():
+            for p, x, y in ps:
+                if (s, p) != ("away", "3") or m == 2:
+                    want.setdefault((m, w, s), {}).setdefault(p, []).append(None if x is None else (min(int(y), 67), int(x)))
+    player = "array<struct<pid:string,x:double,y:double>>"
+    df = spark.createDataFrame(rows, f"match_id int, window_id int, sequence_id int, team string, period int, pitch_length double, pitch_width double, home {player}, away {player}")
+    keepers = spark.createDataFrame([(0, "away", "3"), (1, "away", "3"), (2, "away", None)], "match_id int, side string, pid string")
+    out = maps.occupancy(df, keepers, 4, block=100)
+    assert out.rdd.getNumPartitions() >= 600 / 50
+    got, cells = {}, {}
+    for r in out.collect():
+        assert (r.match_id, r.window_id, r.side, r.row, r.col) not in got
+        got[r.match_id, r.window_id, r.side, r.row, r.col] = (r.recurrence_count, r.side_valid_player_frame_count, r.n_side_outfielders, r.frame_count)
+        total.setdefault((r.match_id, r.window_id), set()).add((r.valid_player_frame_count, r.n_outfielders))
+    for (m, w, s), by in want.items():
+        keep = sorted(by, key=lambda p: (-len(by[p]), p))[:4]
+        n = sum(len(by[p]) for p in keep)
+        for c in (c for p in keep for c in by[p] if c):
+            had = cells.get((m, w, s, *c), (0,))[0]
+            cells[m, w, s, *c] = (had + 1, n, len(keep), frames[m, w])
+        want[m, w, s] = (n, len(keep))
+    assert got == cells
+    assert total == {k: {tuple(np.sum([want.get((*k, s), (0, 0)) for s in ("home", "away")], axis=0))} for k in total}
+
+
 def test_phase_control_matches_brute_force(inputs, phases, phase_rows):
     row = phase_rows.iloc[5]
     pl, pw = PITCHES[row.match_id]
