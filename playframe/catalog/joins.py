@@ -11,6 +11,7 @@ from playframe.functions.nulls import rounded
 from playframe.operators import ordered as od
 from playframe.operators import ranges
 from playframe.plans import formations as fm
+from playframe.session import materialize
 from playframe.sources import tables
 
 catalog = Catalog()
@@ -63,7 +64,7 @@ p AS (SELECT a.entity, a.ordinal, b.seg, b.label, b.s, least(a.e, b.e) - greates
 k AS (SELECT *, row_number() OVER (PARTITION BY entity, ordinal ORDER BY overlap DESC, s) AS rn FROM p)
 SELECT entity, ordinal, label, {r('overlap', 'overlap')} FROM k WHERE rn = 1""")
 def overlap_pick(spark, folder):
-    os = closed_spans(spark, folder)
+    os = materialize(closed_spans(spark, folder))
     a = os.filter(F.col("status") == "F").select("entity", "ordinal", (F.col("day") - 30).alias("a0"), (F.col("end_day") + 5).alias("a1"))
     b = os.filter(F.col("status") != "F").select("entity", F.col("day").alias("b0"), F.col("end_day").alias("b1"), "label")
     best = ranges.best_overlap(a, b, ["entity"], ("a0", "a1"), ("b0", "b1"), ["ordinal"], ["label"], 180.0)

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from playframe.operators.ordered import ordered
+from playframe.operators.ordered import ordered, top_per_key
 from playframe.session import materialize
 
 BUCKET = "__bucket"
@@ -41,13 +41,44 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str]
 
 
 def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str],
-                 right_span: tuple[str, str], left_id: list[str], carry: list[str], width: float) -> DataFrame:
+                 right_span: tuple[str, str], left_id: list[str], carry: list[str], width: float, few: int = 32) -> DataFrame:
     """For every left interval the right one with the largest open overlap;
     the earliest right interval wins ties. Left rows without an overlap are
     absent from the result.
 
-    No pairs are made. Right intervals are numbered by their start; the best of
-    a left interval is one of three:
+    Keys with at most ``few`` intervals on either side are paired, so that a row
+    meets a bounded number of others. All other keys make no pairs, see
+    ``_best_of_many``.
+    """
+    (ls, le), (rs, re) = left_span, right_span
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    a = materialize(left.filter(known & (F.col(ls) <= F.col(le))).select(
+        *keys, F.struct(*left_id).alias("__id"), F.col(ls).alias("__s"), F.col(le).alias("__e")))
+    b = materialize(right.filter(known & (F.col(rs) <= F.col(re))).select(
+        *keys, F.col(rs).alias("__s"), F.col(re).alias("__e"), F.struct(*carry).alias("__carry")))
+    sides = a.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    many = sides.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).filter((F.col("l") > few) | (F.col("r") > few))
+    many = materialize(many.select(*keys))
+    crowded = not many.isEmpty()
+
+    def picked(df: DataFrame) -> DataFrame:
+        return df.select(*keys, *[F.col(f"__id.{c}").alias(c) for c in left_id], *[F.col(f"__carry.{c}").alias(c) for c in carry], "overlap")
+
+    x, y = (a.join(many, keys, "left_anti"), b.join(many, keys, "left_anti")) if crowded else (a, b)
+    y = y.withColumnsRenamed({"__s": "__rs", "__e": "__re"})
+    pairs = x.join(y, keys).filter((F.col("__rs") < F.col("__e")) & (F.col("__re") > F.col("__s")))
+    pairs = pairs.withColumn("overlap", F.least("__re", "__e") - F.greatest("__rs", "__s"))
+    best = picked(top_per_key(pairs, keys + ["__id"], [F.desc("overlap"), F.col("__rs"), F.col("__re"), F.col("__carry")], 1))
+    if not crowded:
+        return best
+    return best.unionByName(picked(_best_of_many(a.join(many, keys, "left_semi"), b.join(many, keys, "left_semi"), keys, width)))
+
+
+def _best_of_many(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """No pairs are made. Right intervals are numbered by their start; the best
+    of a left interval is one of three:
 
     * the first that reaches its end, found among those that end later than all
       before them;
@@ -59,14 +90,6 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     So a key of n intervals costs n times the logarithm of the longest range,
     however many lie over one another.
     """
-    (ls, le), (rs, re) = left_span, right_span
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    a = left.filter(known & (F.col(ls) <= F.col(le))).select(
-        *keys, F.struct(*left_id).alias("__id"), F.col(ls).alias("__s"), F.col(le).alias("__e"))
-    b = right.filter(known & (F.col(rs) <= F.col(re))).select(
-        *keys, F.col(rs).alias("__s"), F.col(re).alias("__e"), F.struct(*carry).alias("__carry"))
     b = materialize(ordered(b, keys, ["__s", "__e", "__carry"], width, index="__i"))
 
     # starts and ends of the left intervals among the right ones
@@ -131,8 +154,7 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_span:
         parts = parts.union(found(longest.filter((F.col("__side") == 1) & F.col("__long").isNotNull()), "__long"))
     best = parts.groupBy(*keys, "__id").agg(F.max(F.struct("__o", "__ni")).alias("__m")).select(
         *keys, "__id", F.col("__m.__o").alias("overlap"), (-F.col("__m.__ni")).alias("__i"))
-    return best.join(b.select(*keys, "__i", "__carry"), keys + ["__i"]).select(
-        *keys, *[F.col(f"__id.{c}").alias(c) for c in left_id], *[F.col(f"__carry.{c}").alias(c) for c in carry], "overlap")
+    return best.join(b.select(*keys, "__i", "__carry"), keys + ["__i"])
 
 
 def stamp_last(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str,

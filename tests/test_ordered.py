@@ -124,6 +124,35 @@ def test_overlaps_match_all_pairs(spark, seed):
     assert ranges.best_overlap(left.limit(0), right, ["k"], ("s", "e"), ("bs", "be"), ["id"], ["v"], 7.0).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 15, 1000])
+def test_few_and_many_intervals_of_a_key(spark, monkeypatch, few):
+    """Keys are paired, cut into blocks, or both; equal intervals and repeated ids included."""
+    rng = np.random.default_rng(5)
+
+    def spans(keys, n, length):
+        s, d = rng.integers(0, 60, n), rng.integers(-1, length, n)
+        return [(int(k), int(x), int(x + y)) for k, x, y in zip(rng.choice(keys, n), s, d, strict=True)]
+
+    a = [(k, i // 2, s, e) for i, (k, s, e) in enumerate(spans([0, 1, 2, 3, 4], 90, 30) + spans([5], 80, 30))] + [(None, 901, 0, 60)]
+    b = [(k, s, e, s) for k, s, e in spans([0, 1, 2, 3], 24, 60) + spans([4, 6], 60, 12) + spans([5], 5, 20)]
+    b += b[:10] + [(1, None, 9, 0), (None, 0, 60, 0)]
+    left, right = spark.createDataFrame(a, "k int, id int, s long, e long"), spark.createDataFrame(b, "k int, bs long, be long, v long")
+    blocks = []
+    monkeypatch.setattr(ranges, "ordered", lambda *x, **y: blocks.append(1) or od.ordered(*x, **y))
+    got = ranges.best_overlap(left, right, ["k"], ("s", "e"), ("bs", "be"), ["id"], ["v"], 7.0, few=few).collect()
+    assert {(r.k, r.id): (r.overlap, r.v) for r in got} == plain_overlaps(a, b) and len(got) == len(plain_overlaps(a, b))
+    assert bool(blocks) == (few < 1000)
+
+
+def test_few_intervals_are_not_numbered(spark, monkeypatch):
+    """Numbering and cutting cost far more than the pairs of a key with few intervals."""
+    monkeypatch.setattr(ranges, "ordered", None)
+    left = spark.range(100).selectExpr("id div 10 as k", "id", "id as s", "id + 2 as e")
+    right = spark.range(100).selectExpr("id div 10 as k", "id as v", "id + 0.5 as bs", "id + 1.5 as be")
+    got = {r.id: (r.v, r.overlap) for r in ranges.best_overlap(left, right, ["k"], ("s", "e"), ("bs", "be"), ["id"], ["v"], 7.0).collect()}
+    assert got == {i: (i, 1) for i in range(100)}
+
+
 def test_many_intervals_over_one_another(spark):
     """A pairing would make ten thousand million pairs here."""
     n = 100_000
